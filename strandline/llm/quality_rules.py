@@ -15,6 +15,8 @@ not kept; every input row gives one row; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,14 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Base counts and verdict of every row; ``with_text`` adds the text without its failing lines."""
-    rows = only(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Base counts and verdict of every row.
+
+    ``with_text`` adds the text without its failing lines; the input columns of ``carry`` come along,
+    before the operator's own and without the ones that it returns itself.
+    """
+    kept_columns = {f"carried_{k}": c for k, c in enumerate(carry)}
+    rows = only(docs, doc_id=id_col, text=text_col, **kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("lines", F.split("text", "\n"))
     rows = rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
     mark = lambda i: F.get("marks", i)
@@ -93,6 +100,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
     counted = rows.select(
         "doc_id",
+        *kept_columns,
         *(["text", "lines"] if with_text else []),
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -108,6 +116,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "kept", ~F.col("base_failed") & (F.col("chars_removed") * 100 <= F.col("line_chars") * MAX_LOSS_PERCENT)
     )
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "chars_removed"]
+    if carry:
+        own = [c for c in out if c not in set(carry)]
+        return judged.select(*[F.col(k).alias(c) for k, c in kept_columns.items()], *own)
     if with_text:
         cleaned = F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n")
         return judged.select(*out, cleaned.alias("cleaned_text"))

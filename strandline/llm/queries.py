@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.cluster import documents
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.mixing import mix_sources
+from strandline.llm.ngram_join import ngram_components
 from strandline.llm.packing import best_fit_pack
 from strandline.llm.quality_rules import quality_rules
 from strandline.llm.token_counts import token_counts
@@ -35,5 +36,9 @@ def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_best_fit_pack)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_best_fit_pack, op10_ngram_join)}
 ORACLES: dict[str, str] = {}
