@@ -25,7 +25,7 @@ ORACLE_SQL = None  # rounding, packing and tokenisation are beyond SQL; tests co
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules and base limits keep."""
     ship(spark)
-    return quality_rules(docs, carry=docs.columns).filter("kept").select(*docs.columns)
+    return quality_rules(docs, carry=docs.columns).filter("verdict_kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

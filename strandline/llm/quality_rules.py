@@ -67,7 +67,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base counts and verdict of every row.
 
     ``with_text`` adds the text without its failing lines; the input columns of ``carry`` come along,
-    before the operator's own and without the ones that it returns itself.
+    before the operator's own (of which clashing ones are left out), and the verdict again as verdict_kept.
     """
     kept_columns = {f"carried_{k}": c for k, c in enumerate(carry)}
     rows = only(docs, doc_id=id_col, text=text_col, **kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
@@ -115,11 +115,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = counted.withColumn("base_failed", base).withColumn(
         "kept", ~F.col("base_failed") & (F.col("chars_removed") * 100 <= F.col("line_chars") * MAX_LOSS_PERCENT)
     )
-    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "chars_removed"]
+    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "chars_removed"]
+    cleaned = [F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n").alias("cleaned_text")] if with_text else []
+    # A filter on the verdict must not be pushed below: it would put the expressions above into one another's
+    # lambdas and run them once per element. Generators are a barrier to that.
+    row = F.explode(F.array(F.struct(*out, *cleaned))).alias("row")
+    judged = judged.select("doc_id", *kept_columns, row)
+    own = [F.col(f"row.{c}").alias(c) for c in [*out, *(["cleaned_text"] if with_text else [])] if c not in set(carry)]
     if carry:
-        own = [c for c in out if c not in set(carry)]
-        return judged.select(*[F.col(k).alias(c) for k, c in kept_columns.items()], *own)
-    if with_text:
-        cleaned = F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n")
-        return judged.select(*out, cleaned.alias("cleaned_text"))
-    return judged.select(*out)
+        return judged.select(*[F.col(k).alias(c) for k, c in kept_columns.items()], *own, F.col("row.kept").alias("verdict_kept"))
+    return judged.select("doc_id", *own)
