@@ -8,8 +8,12 @@
    passage that many documents share then rarely stands in a prefix. The
    sketch has a fixed size and only steers the order, never the result.
 3. Prefix shingles meet by a shuffle. In a group of up to ``SMALL`` sets, pairs whose
-   sizes and prefix bitmaps still allow the needed overlap become candidate edges; a
-   larger group gives a star, which keeps it together in one cluster.
+   sizes and prefix bitmaps rule the needed overlap out are left. Of the others,
+   those that look much alike join a forest of candidate edges, so a group of
+   near copies gives as many edges as it has sets; for the doubtful ones the shared
+   prefix shingles are counted: two linked sets must share so many of them that
+   the rest of the set whose prefix ends first can make up for what is missing.
+   A larger group gives a star, which keeps it together in one cluster.
 4. The clusters (components of the candidate edges) hold every link. Their texts
    meet in tasks, where a signature tree - nodes with OR-combined bitmaps of
    all tokens and size ranges - is traversed against itself; node pairs are left
@@ -42,7 +46,9 @@ WORDS = 5
 PERCENT = 80
 SLOTS = 1 << 20
 CHUNK = 1 << 16
-SMALL = 64
+SMALL = 512
+#: Bitmaps that allow this share of the smaller prefix make an edge without a count.
+ALIKE_PERCENT = 75
 SIGNATURE_BITS = 512
 BLOCK_SHINGLES = 1_500_000
 LEAF = 64
@@ -231,41 +237,67 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep])], ["token", "sid"])
 
 
+class _Sparse:
+    """Union-find over long ids."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        root = x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while (y := up.get(x, x)) != root:
+            up[x] = root
+            x = y
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
 def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges of each token's group; edges are distinct within the task as far as memory is bounded."""
-    seen: set[tuple[int, int]] = set()
-    a_out: list[int] = []
-    b_out: list[int] = []
+    """Candidate edges (a, b, sure). What is remembered to leave out repeats is bounded; forgetting only repeats some."""
+    forest, seen = _Sparse(), set()
+    out: list[tuple[int, int, bool]] = []
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-        a_out.clear()
-        b_out.clear()
-        return out
-
-    def add(a: int, b: int) -> None:
-        if (a, b) not in seen:
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.add((a, b))
-            a_out.append(a)
-            b_out.append(b)
+        table = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], ["a", "b", "sure"])
+        out.clear()
+        return table
 
     for part, rows in _groups(batches, ["token", "sid", "n", "sig"]):
+        if len(forest.up) > 1_000_000:
+            forest.up.clear()
+        if len(seen) > 500_000:
+            seen.clear()
         if part:  # a large group: a star around its first set
-            for r in rows[1:]:
-                add(rows[0][1], r[1])
+            out += [(rows[0][1], r[1], True) for r in rows[1:] if forest.join(rows[0][1], r[1])]
         else:
-            for i, j in _possible(rows):
-                add(rows[i][1], rows[j][1])
-        if len(a_out) > 20_000:
+            for i, j, alike in _possible(rows):
+                a, b = rows[i][1], rows[j][1]
+                if alike:
+                    if forest.join(a, b):
+                        out.append((a, b, True))
+                elif (a, b) not in seen and forest.find(a) != forest.find(b):
+                    seen.add((a, b))
+                    out.append((a, b, False))
+        if len(out) > 20_000:
             yield flush()
-    if a_out:
+    if out:
         yield flush()
 
 
-def _possible(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Pairs of a small group that sizes and prefix bitmaps allow."""
+def _possible(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+    """Pairs of a group that sizes and prefix bitmaps allow, and whether the two look much alike."""
+    if len(rows) > 24:
+        yield from _possible_many(rows)
+        return
     sets = [(n, prefix_size(n), sig[:8], int.from_bytes(sig[8:], "big")) for _, _, n, sig in rows]
     for j in range(1, len(sets)):
         m, q, to, right = sets[j]
@@ -277,7 +309,26 @@ def _possible(rows: list[tuple]) -> Iterator[tuple[int, int]]:
             # beyond the prefix that ends first, at most its set's rest can be common
             rest = n - p if until <= to else m - q
             if shared + rest >= -(-PERCENT * (n + m) // (100 + PERCENT)):
-                yield i, j
+                yield i, j, shared * 100 >= ALIKE_PERCENT * min(p, q)
+
+
+def _possible_many(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+    n = np.array([r[2] for r in rows], dtype=np.int64)
+    p = n - -(-PERCENT * n // 100) + 1
+    raw = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    end = raw[:, :8].copy().view(">u8")[:, 0].astype(U64)
+    bits = np.unpackbits(raw[:, 8:], axis=1).astype(np.float32)
+    room = p[:, None] - (bits.sum(axis=1)[:, None] - bits @ bits.T)  # less those of i that j lacks
+    i, j = np.triu_indices(len(rows), 1)
+    fits = np.minimum(n[i], n[j]) * 100 >= PERCENT * np.maximum(n[i], n[j])
+    i, j = i[fits], j[fits]
+    shared = np.minimum(room[i, j], room[j, i])
+    rest = np.where(end[i] <= end[j], n[i] - p[i], n[j] - p[j])
+    ok = shared + rest >= needed(n[i], n[j])
+    i, j, shared = i[ok], j[ok], shared[ok]
+    alike = shared * 100 >= ALIKE_PERCENT * np.minimum(p[i], p[j])
+    first = np.argsort(~alike, kind="stable")  # those that look alike first: they spare the others' counts
+    return zip(i[first].tolist(), j[first].tolist(), alike[first].tolist(), strict=True)
 
 
 # --- exact join within a cluster --------------------------------------------------------------
@@ -335,7 +386,7 @@ def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterato
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[k] for k in order.tolist()]
     most = max(map(len, sets))
-    bits = 1 << min(14, max(9, (2 * most - 1).bit_length()))
+    bits = 1 << min(14, max(9, (4 * most).bit_length()))
     tree, forest = SignatureTree(sets, bits), Forest(len(sets))
     sides = None if side is None else np.asarray(side)[order]
     todo = [(len(tree.levels) - 1, 0, 0)]
@@ -400,9 +451,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     postings = rows.select("text").mapInArrow(_postings(common), "token long, sid long").repartition("token").sortWithinPartitions("token", "sid")
     shared = settled(postings.mapInArrow(_shared, "token long, sid long"))
-    signed = rows.select("text").mapInArrow(_signatures(common), "sid long, n long, sig binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    signed = settled(rows.select("text").mapInArrow(_signatures(common), "sid long, n long, sig binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
     near = shared.join(signed, "sid").select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token", "sid")
-    labels = components(near.mapInArrow(_candidate_edges, "a long, b long"))
+    edges = settled(near.mapInArrow(_candidate_edges, "a long, b long, sure boolean"))
+    doubtful = edges.filter("not sure").select("a", "b").distinct()
+    known = shared.groupBy("sid").agg(F.collect_list("token").alias("tokens")).join(signed, "sid").select("sid", "tokens", "n", F.substring("sig", 1, 8).alias("end"))
+    left = known.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"), F.col("end").alias("ea"))
+    right = known.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"), F.col("end").alias("eb"))
+    rest = lambda n: F.ceil(n * PERCENT / 100) - 1
+    most = F.size(F.array_intersect("ta", "tb")) + F.when(F.col("ea") <= F.col("eb"), rest(F.col("na"))).otherwise(rest(F.col("nb")))
+    counted = doubtful.join(left, "a").join(right, "b").filter(most >= F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))).select("a", "b")
+    labels = components(edges.filter("sure").select("a", "b").unionByName(counted))
 
     of_set = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = of_set.join(labels, F.col("sid") == F.col("node")).select("sid", "doc_id", "n", "label")
