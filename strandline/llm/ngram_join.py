@@ -46,10 +46,12 @@ WORDS = 5
 PERCENT = 80
 SLOTS = 1 << 20
 CHUNK = 1 << 16
+SIGNATURE_BITS = 512
 SMALL = 512
 #: Bitmaps that allow this share of the smaller prefix make an edge without a count.
 ALIKE_PERCENT = 75
-SIGNATURE_BITS = 512
+#: Bitmaps of more shingles than this are too full to tell.
+ALIKE_MOST = SIGNATURE_BITS // 3
 BLOCK_SHINGLES = 1_500_000
 LEAF = 64
 FAN = 8
@@ -309,7 +311,7 @@ def _possible(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
             # beyond the prefix that ends first, at most its set's rest can be common
             rest = n - p if until <= to else m - q
             if shared + rest >= -(-PERCENT * (n + m) // (100 + PERCENT)):
-                yield i, j, shared * 100 >= ALIKE_PERCENT * min(p, q)
+                yield i, j, max(p, q) <= ALIKE_MOST and shared * 100 >= ALIKE_PERCENT * min(p, q)
 
 
 def _possible_many(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
@@ -326,7 +328,7 @@ def _possible_many(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
     rest = np.where(end[i] <= end[j], n[i] - p[i], n[j] - p[j])
     ok = shared + rest >= needed(n[i], n[j])
     i, j, shared = i[ok], j[ok], shared[ok]
-    alike = shared * 100 >= ALIKE_PERCENT * np.minimum(p[i], p[j])
+    alike = (shared * 100 >= ALIKE_PERCENT * np.minimum(p[i], p[j])) & (np.maximum(p[i], p[j]) <= ALIKE_MOST)
     first = np.argsort(~alike, kind="stable")  # those that look alike first: they spare the others' counts
     return zip(i[first].tolist(), j[first].tolist(), alike[first].tolist(), strict=True)
 
