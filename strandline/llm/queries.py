@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.cluster import documents
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.language_id import language_id
+from strandline.llm.lm_scoring import lm_scores
 from strandline.llm.mixing import mix_sources
 from strandline.llm.ngram_join import ngram_components
 from strandline.llm.packing import best_fit_pack
@@ -51,9 +52,13 @@ def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir), RANKS)
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_best_fit_pack, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_best_fit_pack, op9_lm_scores, op10_ngram_join)}
 ORACLES: dict[str, str] = {}
