@@ -44,7 +44,7 @@ from strandline.llm.textbuf import U64, Words, mix, run_hashes, word_blocks
 
 WORDS = 5
 PERCENT = 80
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 CHUNK = 1 << 16
 SIGNATURE_BITS = 512
 SMALL = 512
@@ -130,13 +130,13 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_slots(chunks: DataFrame) -> bytes:
-    """One bit a slot: far above the mean, so it holds a common shingle. 128 KB, whatever the corpus."""
+    """One bit a slot: well above the median, so it holds a common shingle. 512 KB, whatever the corpus."""
     parts = chunks.repartition(SLOTS // CHUNK, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").collect()
     sketch = np.zeros(SLOTS, dtype=np.float64)
     for c, raw in parts:
         sketch[c * CHUNK : (c + 1) * CHUNK] += np.frombuffer(zlib.decompress(bytes(raw)), dtype=np.uint32)
     usual = float(np.median(sketch))
-    return np.packbits(sketch > usual + 8 * math.sqrt(usual) + 16).tobytes()
+    return np.packbits(sketch > usual + 5 * math.sqrt(usual) + 8).tobytes()
 
 
 # --- second pass: prefixes ---------------------------------------------------------------------
