@@ -14,6 +14,7 @@ from strandline.llm.ngram_join import ngram_components
 from strandline.llm.packing import best_fit_pack
 from strandline.llm.quality_classifier import quality_classifier
 from strandline.llm.quality_rules import quality_rules
+from strandline.llm.sql import ORACLES  # noqa: F401
 from strandline.llm.substring_dedup import substring_dedup
 from strandline.llm.token_counts import token_counts
 
@@ -61,4 +62,3 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_best_fit_pack, op9_lm_scores, op10_ngram_join)}
-ORACLES: dict[str, str] = {}
