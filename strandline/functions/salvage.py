@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What may be missing behind the last complete object.
 TAILS = ("", "]}", "}")
@@ -36,6 +37,6 @@ def salvage(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged_json(texts: pd.Series) -> pd.Series:
     return texts.map(salvage)

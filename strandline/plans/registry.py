@@ -232,7 +232,7 @@ _SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 @query(f"WITH e AS (SELECT event_id, user_id, event_type, {_SECONDS} AS s FROM events) SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.s < b.s + 7200 AND a.s + 3600 > b.s AND a.event_type = 'click' AND b.event_type = 'purchase'")
 def interval_overlap_join(spark, d):
-    e = events(spark, d).withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    e = events(spark, d).withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp_ltz")))
     a = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("a"), F.col("s").alias("a0"), (F.col("s") + 3600).alias("a1"))
     b = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), F.col("s").alias("b0"), (F.col("s") + 7200).alias("b1"))
     return joins.overlap(a, b, ["user_id"], ("a0", "a1"), ("b0", "b1"), 3600).select("a", "b")
@@ -240,7 +240,7 @@ def interval_overlap_join(spark, d):
 
 @query(f"WITH e AS (SELECT event_id, user_id, event_type, {_SECONDS} AS s FROM events), p AS (SELECT * FROM e WHERE event_type = 'click'), m AS (SELECT * FROM e WHERE event_type = 'purchase') SELECT p.event_id, min_by(m.event_id, m.s * 1000000 + m.event_id) AS span FROM p LEFT JOIN m ON p.user_id = m.user_id AND m.s <= p.s AND p.s < m.s + 86400 GROUP BY p.event_id")
 def point_in_interval(spark, d):
-    e = events(spark, d).withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    e = events(spark, d).withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp_ltz")))
     p = e.filter("event_type = 'click'").select("user_id", "event_id", "s")
     m = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("s").alias("s0"), (F.col("s") + 86400).alias("s1"), (F.col("s") * 1000000 + F.col("event_id")).alias("o"))
     return joins.containing(p, m, ["user_id"], "s", ("s0", "s1"), "o", 86400).select("event_id", "span")
@@ -248,7 +248,7 @@ def point_in_interval(spark, d):
 
 @query(f"WITH e AS (SELECT event_id, user_id, event_type, {_SECONDS} AS s FROM events), p AS (SELECT * FROM e WHERE event_type = 'click'), m AS (SELECT * FROM e WHERE event_type = 'purchase') SELECT event_id, gap FROM (SELECT p.event_id, abs(p.s - m.s) AS gap, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.s - m.s), m.s) AS r FROM p LEFT JOIN m ON p.user_id = m.user_id) WHERE r = 1")
 def nearest_event_asof(spark, d):
-    e = events(spark, d).withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    e = events(spark, d).withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp_ltz")))
     m = e.filter("event_type = 'purchase'").select("user_id", F.col("s").alias("ms"), F.col("s").alias("at"))
     found = joins.nearest(e.filter("event_type = 'click'").select("user_id", "event_id", "s"), m, ["user_id"], "s", "ms", "at")
     return found.select("event_id", F.abs(F.col("s") - F.col("at")).alias("gap"))
