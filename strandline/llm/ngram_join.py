@@ -46,12 +46,11 @@ WORDS = 5
 PERCENT = 80
 SLOTS = 1 << 22
 CHUNK = 1 << 16
-SIGNATURE_BITS = 512
+#: Bits of prefix bitmaps: three a shingle or more, within these limits. Fuller ones don't make sure edges.
+SIGNATURE_BITS = (512, 2048)
 SMALL = 512
 #: Bitmaps that allow this share of the smaller prefix make an edge without a count.
-ALIKE_PERCENT = 75
-#: Bitmaps of more shingles than this are too full to tell.
-ALIKE_MOST = SIGNATURE_BITS // 3
+ALIKE_PERCENT = 60
 BLOCK_SHINGLES = 1_500_000
 LEAF = 64
 FAN = 8
@@ -182,8 +181,9 @@ def _signatures(common_bits):
         for batch in batches:
             out: list[tuple[int, int, bytes]] = []
             for sid, n, _, prefix, _ in _prefixes(batch.column("text"), common, seen):
-                bits = np.zeros(SIGNATURE_BITS, dtype=np.uint8)
-                bits[((prefix >> U64(24)) % U64(SIGNATURE_BITS)).astype(np.int64)] = 1
+                width = min(SIGNATURE_BITS[1], max(SIGNATURE_BITS[0], 1 << (3 * len(prefix) - 1).bit_length()))
+                bits = np.zeros(width, dtype=np.uint8)
+                bits[((prefix >> U64(24)) % U64(width)).astype(np.int64)] = 1
                 # the last prefix shingle in the common order: (common, hash)
                 last = int(prefix[-1] >> U64(1)) | (int(common[int(prefix[-1] & U64(SLOTS - 1))]) << 63)
                 out.append((sid, n, last.to_bytes(8, "big") + np.packbits(bits).tobytes()))
@@ -295,42 +295,36 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield flush()
 
 
+def _folded(x: int, bits: int, to: int) -> int:
+    """The bitmap that ``to`` bits would have given."""
+    while bits > to:
+        bits //= 2
+        x = (x >> bits) | (x & ((1 << bits) - 1))
+    return x
+
+
 def _possible(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
-    """Pairs of a group that sizes and prefix bitmaps allow, and whether the two look much alike."""
-    if len(rows) > 24:
-        yield from _possible_many(rows)
-        return
-    sets = [(n, prefix_size(n), sig[:8], int.from_bytes(sig[8:], "big")) for _, _, n, sig in rows]
+    """Pairs of a group that sizes and prefix bitmaps allow, and whether the two look much alike; those that do come first."""
+    sets = [(n, prefix_size(n), sig[:8], int.from_bytes(sig[8:], "big"), 8 * (len(sig) - 8)) for _, _, n, sig in rows]
+    doubtful = []
     for j in range(1, len(sets)):
-        m, q, to, right = sets[j]
+        m, q, to, right, many = sets[j]
         for i in range(j):
-            n, p, until, left = sets[i]
+            n, p, until, left, bits = sets[i]
             if min(n, m) * 100 < PERCENT * max(n, m):
                 continue
-            shared = min(p - (left & ~right).bit_count(), q - (right & ~left).bit_count())
+            mine, other = right, left
+            if bits != many:
+                mine, other = _folded(right, many, bits), _folded(left, bits, many)
+            shared = min(p - (other & ~mine).bit_count(), q - (mine & ~other).bit_count())
             # beyond the prefix that ends first, at most its set's rest can be common
             rest = n - p if until <= to else m - q
             if shared + rest >= -(-PERCENT * (n + m) // (100 + PERCENT)):
-                yield i, j, max(p, q) <= ALIKE_MOST and shared * 100 >= ALIKE_PERCENT * min(p, q)
-
-
-def _possible_many(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
-    n = np.array([r[2] for r in rows], dtype=np.int64)
-    p = n - -(-PERCENT * n // 100) + 1
-    raw = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-    end = raw[:, :8].copy().view(">u8")[:, 0].astype(U64)
-    bits = np.unpackbits(raw[:, 8:], axis=1).astype(np.float32)
-    room = p[:, None] - (bits.sum(axis=1)[:, None] - bits @ bits.T)  # less those of i that j lacks
-    i, j = np.triu_indices(len(rows), 1)
-    fits = np.minimum(n[i], n[j]) * 100 >= PERCENT * np.maximum(n[i], n[j])
-    i, j = i[fits], j[fits]
-    shared = np.minimum(room[i, j], room[j, i])
-    rest = np.where(end[i] <= end[j], n[i] - p[i], n[j] - p[j])
-    ok = shared + rest >= needed(n[i], n[j])
-    i, j, shared = i[ok], j[ok], shared[ok]
-    alike = (shared * 100 >= ALIKE_PERCENT * np.minimum(p[i], p[j])) & (np.maximum(p[i], p[j]) <= ALIKE_MOST)
-    first = np.argsort(~alike, kind="stable")  # those that look alike first: they spare the others' counts
-    return zip(i[first].tolist(), j[first].tolist(), alike[first].tolist(), strict=True)
+                if max(p, q) * 3 <= min(bits, many) and shared * 100 >= ALIKE_PERCENT * min(p, q):
+                    yield i, j, True
+                else:
+                    doubtful.append((i, j, False))
+    yield from doubtful
 
 
 # --- exact join within a cluster --------------------------------------------------------------
