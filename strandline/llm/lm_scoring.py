@@ -93,10 +93,6 @@ def spell(words: list[bytes]) -> Spelling:
     return Spelling(raw, token, context)
 
 
-def _logit(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -109,7 +105,7 @@ class MixingModel:
     """Bit counts per order and slot, gated mixing weights, and the refining table."""
 
     def __init__(self, ones: np.ndarray, seen: np.ndarray):
-        self.logit = _logit((ones.astype(np.float32) + np.float32(0.4)) / (seen.astype(np.float32) + np.float32(0.8)))
+        self.logit = np.log((ones + 0.4) / (seen - ones + 0.4)).astype(np.float32)  # of (ones + 0.4) / (seen + 0.8)
         self.gate = _gate(seen)
         # at first, the prefix counts the more the better it is known
         self.weights = np.full((GATES, ORDERS), 0.25)
@@ -148,7 +144,7 @@ class MixingModel:
             for bit, slots in s.bits():
                 n = np.stack([seen[x] for x in slots], axis=1) - 1.0
                 n1 = np.stack([ones[x] for x in slots], axis=1) - bit[:, None]
-                inputs = _logit((np.maximum(n1, 0) + 0.4) / (np.maximum(n, 0) + 0.8))
+                inputs = np.log((np.maximum(n1, 0) + 0.4) / (np.maximum(n - n1, 0) + 0.4))
                 gate = _gate(n[:, -1]).astype(np.int64)
                 z = self.mixed(inputs, gate)
                 error = (bit - _sigmoid(z)) * weight
