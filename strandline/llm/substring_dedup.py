@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import only, release, settled
+from strandline.llm.cluster import only, release, written
 from strandline.llm.textbuf import U64, Words, mix, powers, run_hashes, word_blocks
 
 WINDOW = 50
@@ -181,15 +181,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one exchange serves both sides: the least and the greatest id tell whether an anchor has several documents
     seeds = rows.mapInArrow(_seeds, _SEED_ROWS).repartition("anchor")
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    seeds = settled(seeds.join(shared, "anchor", "left_semi"))
+    seeds = written(seeds.join(shared, "anchor", "left_semi"))
     release(docs.sparkSession)
     contexts = seeds.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > 1).alias("several"))
-    owners = settled(contexts.join(several, "anchor"))
+    owners = written(contexts.join(several, "anchor"))
     asked = owners.filter("several").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("context")).alias("asked"))
     known = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
     windows = known.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_extended, "anchor long, context long, step int, window long, owner long")
-    windows = settled(windows)
+    windows = written(windows)
     release(docs.sparkSession)
     least = windows.groupBy("anchor", "window").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most").drop("most")
     # of an owner's own windows, those that start in a smaller document too
