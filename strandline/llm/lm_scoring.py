@@ -1,18 +1,18 @@
 """Text scoring by logistic context mixing over bits, beside a smoothed unigram base score.
 
 A text is its tokens: lower-cased (A-Z) words, then one end. A word is spelt as its
-bytes and a blank, the end as a line feed, and every bit of these bytes is a binary
-decision. Five predictors know it from hashed contexts: the last one to four
-bytes of the word, and all of its prefix. Their bit counts come from all training
-tokens. The predictors' logits are mixed by weights that a gate selects (how many
-of the contexts are well known), learned online by gradient steps; a table over the
-mixed probability, moved towards the bits seen, refines it.
-
-As contexts end at words, a word's probability depends on the word only. So each
-block of documents (an input split) sends its distinct words with their counts,
-the counts meet by word, and go back to the blocks, where words are scored once and
-documents add up their tokens. What is gathered grows with the vocabulary and the
-blocks; the model's tables have a fixed size and are broadcast.
+bytes and a blank, the end as a line feed, and every bit of a document's bytes is a
+binary decision. Five predictors know it from hashed contexts: the last two, three
+and five bytes, which run over words' ends; the prefix of the word; and that prefix
+with the whole word before. Their bit counts come from all training bytes. The
+predictors' logits are mixed by weights that a gate selects (how well the last two
+contexts are known), learned online by gradient steps in every task over all its training
+texts and then averaged by the bits seen; a table over the mixed probability, of the
+ones among all training bits, refines it.
+
+The base score needs words' counts: each block of documents (an input split) sends its
+distinct words with their counts, which meet by word and go back to the blocks. The
+model's tables have a fixed size; they are gathered at the driver and broadcast.
 
 Defined cases: null text is empty and has the end token only; a null doc_id is
 held out; without training texts all counts are 0 and every bit costs what an
@@ -33,132 +33,196 @@ from pyspark.sql import functions as F
 
 from strandline.llm.cluster import only, written
 from strandline.llm.language_id import fold
-from strandline.llm.textbuf import U64, mix, powers, span_hashes, text_buffers, word_blocks
+from strandline.llm.textbuf import U64, Words, mix, powers, span_hashes, text_buffers, word_blocks
 
 FOLDS = 10
 ALPHA = 0.1
-ORDERS = 5
-#: Slots per order as powers of two; the last order is the whole prefix. 13 million cells in all, whatever the corpus.
-SLOT_BITS = (16, 18, 20, 22, 22)
-EDGES = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
-CELLS = int(EDGES[-1])
+#: Predictors by the last bytes; two more are the word's prefix, and that with the word before.
+BACK = (2, 3, 5)
+ORDERS = len(BACK) + 2
 CHUNK = 1 << 16
 END = b"\n"
-#: The gate is the size class (a power of two) of the count behind the prefix's prediction.
-GATES = 14
+SIZES, PAIRS = 14, 4
+GATES = SIZES * PAIRS
 SSE_STEPS = 33
-SAMPLE_WORDS = 60_000
-BATCH = 2_000
-RATE = 0.02
+RATE = 0.2
+#: Cells per order as powers of two.
+SLOT_BITS = (18, 19, 21, 22, 22)
+#: Bits that a refining cell's first value counts for.
+PRIOR = 50
+_LOW = np.int64((1 << 32) - 1)
 _BASES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 @dataclass
-class Spelling:
-    """Bytes of a list of tokens and their context hashes, one row of hashes per order."""
+class Stream:
+    """Bytes of the documents' tokens one after another, their documents, and their context hashes, one row of hashes per order."""
 
     byte: np.ndarray
-    token: np.ndarray
+    doc: np.ndarray
     context: list[np.ndarray]
 
-    def bits(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each of the eight places: the bits and every order's cells."""
-        for k in range(8):
-            node = (self.byte.astype(np.uint32) | 0x100) >> (8 - k)
+    def bits(self, size: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """For each of the eight places: the bits and every order's cells. The nodes of half a byte lie side by side."""
+        edge = np.cumsum([0, *[1 << b for b in size]])
+        for half in range(2):
+            four = (self.byte >> 4 if half == 0 else self.byte & 15).astype(np.int64)
+            salt = np.zeros(len(four), dtype=U64) if half == 0 else ((self.byte >> 4).astype(U64) + U64(1)) * U64(0xFF51AFD7ED558CCD)
             with np.errstate(over="ignore"):
-                salt = node.astype(U64) * U64(0xFF51AFD7ED558CCD)
-                slots = [((c ^ salt) * _BASES[o] >> U64(64 - SLOT_BITS[o])).astype(np.int64) + EDGES[o] for o, c in enumerate(self.context)]
-            yield (self.byte >> (7 - k)) & 1, slots
-
-
-def spell(words: list[bytes]) -> Spelling:
-    tokens = [w if w == END else w + b" " for w in words]
-    raw = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-    size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    token = np.repeat(np.arange(len(tokens)), size)
-    start = np.repeat(np.cumsum(size) - size, size)
+                slots = [((c ^ salt) * _BASES[o] >> U64(64 - size[o])).astype(np.int64) for o, c in enumerate(self.context)]
+            for k in range(4):
+                node = (four | 16) >> (4 - k)
+                yield (four >> (3 - k)) & 1, [(x ^ node) + edge[o] for o, x in enumerate(slots)]
+
+
+def stream(w: Words) -> Stream:
+    """Every word with a blank, and a line feed after a document's last one. Contexts run over words' ends, not over documents' ends."""
+    docs, size = len(w.counts), w.end - w.start + 1
+    before = np.cumsum(size) - size
+    start = before + w.doc()
+    inside = np.arange(int(size.sum())) - np.repeat(before, size)
+    raw = np.full(len(inside) + docs, END[0], dtype=np.uint8)
+    if len(w):
+        raw[np.repeat(start, size) + inside] = w.buf[np.minimum(np.repeat(w.start, size) + inside, len(w.buf) - 1)]
+        raw[start + size - 1] = 32
+    per_doc = np.diff(np.concatenate([[0], np.cumsum(size)])[w.first]) + 1
+    doc = np.repeat(np.arange(docs), per_doc)
     at = np.arange(len(raw))
-    inside = at - start
+    in_doc = at - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    opens = np.zeros(len(raw), dtype=bool)
+    opens[in_doc == 0] = True
+    opens[start + size] = True
+    first = np.flatnonzero(opens)
+    token = np.cumsum(opens) - 1
     context, code = [], np.ones(len(raw), dtype=U64)
     with np.errstate(over="ignore"):
-        for back in range(1, ORDERS):
+        for back in range(1, max(BACK) + 1):
             last = np.zeros(len(raw), dtype=U64)
             last[back:] = raw[:-back]
-            last[inside < back] = 0
+            last[in_doc < back] = 0
             code = code * U64(0x100000001B3) + last + U64(1)
-            context.append(mix(code))
+            if back in BACK:
+                context.append(mix(code))
         total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum((raw.astype(U64) + U64(1)) * powers(_BASES[3], len(raw)))])
         inverse = powers(U64(pow(int(_BASES[3]), -1, 1 << 64)), len(raw) + 1)
-        context.append(mix((total[at] - total[start]) * inverse[start] + inside.astype(U64)))
-    return Spelling(raw, token, context)
+        begin = first[token]
+        prefix = mix((total[at] - total[begin]) * inverse[begin] + (at - begin).astype(U64))
+        ends = np.append(first[1:], len(raw))
+        whole = mix((total[ends] - total[first]) * inverse[first])
+        previous = np.zeros(len(first), dtype=U64)
+        previous[1:] = whole[:-1]
+        previous[in_doc[first] == 0] = 0
+        context += [prefix, mix(prefix * U64(3) + previous[token])]
+    return Stream(raw, doc, context)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-np.minimum(np.maximum(x, -30), 30)))
+
+
+def _class(n: np.ndarray, most: int) -> np.ndarray:
+    """The number of whole powers of two in n + 1, from a float's exponent."""
+    return np.minimum(((np.maximum(n, 0) + np.float32(1)).view(np.int32) >> 23) - 127, most - 1).astype(np.int64)
+
+
+def _gate(prefix: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The size class of the count behind the prefix's prediction, with that of the pair's up to PAIRS classes."""
+    return _class(prefix, SIZES) * PAIRS + _class(pair, PAIRS)
 
 
-def _gate(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(n, 0) + 1.0), GATES - 1).astype(np.uint8)
+def _split(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of bits seen and of ones among them; a cell holds both."""
+    return (cells & _LOW).astype(np.float32), (cells >> 32).astype(np.float32)
+
+
+def _logit(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(0.4)) / (seen - ones + np.float32(0.4)))  # of (ones + 0.4) / (seen + 0.8)
 
 
 class MixingModel:
     """Bit counts per order and slot, gated mixing weights, and the refining table."""
 
-    def __init__(self, ones: np.ndarray, seen: np.ndarray):
-        self.logit = np.log((ones + 0.4) / (seen - ones + 0.4)).astype(np.float32)  # of (ones + 0.4) / (seen + 0.8)
-        self.gate = _gate(seen)
+    def __init__(self, size: tuple[int, ...]):
+        self.size = size
         # at first, the prefix counts the more the better it is known
-        self.weights = np.full((GATES, ORDERS), 0.25)
-        trust = np.linspace(0, 0.9, GATES)
-        self.weights[:, -1] = trust
-        self.weights[:, :-1] = (1 - trust[:, None]) * 0.3
-        grid = np.linspace(-8, 8, SSE_STEPS)
-        self.refine = np.tile(_sigmoid(grid), (GATES, 1))
-
-    def _refined(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = np.clip((z + 8) * (SSE_STEPS - 1) / 16, 0, SSE_STEPS - 1.001)
+        trust = np.repeat(np.linspace(0, 0.6, SIZES), PAIRS)
+        self.weights = np.empty((ORDERS, GATES), dtype=np.float32)
+        self.weights[-1] = 0.3
+        self.weights[-2] = trust
+        self.weights[:-2] = (0.9 - trust) * 0.4
+        self.refine = np.tile(_sigmoid(np.linspace(-8, 8, SSE_STEPS)), (GATES, 1))
+
+    def _place(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.maximum((z + 8) * np.float32((SSE_STEPS - 1) / 16), 0), np.float32(SSE_STEPS - 1.001))
         low = place.astype(np.int64)
-        part = place - low
-        return self.refine[gate, low] * (1 - part) + self.refine[gate, low + 1] * part, low, part
-
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", inputs, self.weights[gate])
-
-    def cost(self, words: list[bytes]) -> np.ndarray:
-        """Bits that each token takes."""
-        s = spell(words)
-        total = np.zeros(len(words))
-        for bit, slots in s.bits():
-            inputs = np.stack([self.logit[x] for x in slots], axis=1)
-            gate = self.gate[slots[-1]].astype(np.int64)
+        return low, place - low.astype(np.float32)
+
+    def mixed(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return sum(x * self.weights[o].take(gate) for o, x in enumerate(inputs))
+
+    def cost(self, w: Words, tables: "Tables") -> tuple[np.ndarray, np.ndarray]:
+        """Bits and bytes that each document takes."""
+        s = stream(w)
+        chance = np.ones(len(s.byte))  # of the whole byte, 1e-48 at least
+        flat = self.refine.ravel().astype(np.float32)
+        for bit, slots in s.bits(self.size):
+            gate = (tables.known.take(slots[-2] - tables.first) * np.uint8(PAIRS) + np.minimum(tables.known.take(slots[-1] - tables.first), PAIRS - 1)).astype(np.int64)
+            z = self.mixed([tables.logit.take(x) for x in slots], gate)
+            low, part = self._place(z)
+            cell = gate * SSE_STEPS + low
+            refined = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
+            p = np.minimum(np.maximum(0.5 * _sigmoid(z) + 0.5 * refined, 1e-6), 1 - 1e-6)
+            chance *= np.where(bit == 1, p, 1 - p)
+        docs = len(w.counts)
+        return np.bincount(s.doc, weights=-np.log2(chance), minlength=docs), np.bincount(s.doc, minlength=docs)
+
+    def learn(self, w: Words, cells: np.ndarray, hits: np.ndarray) -> None:
+        """Online steps over the documents, each bit's own occurrence taken out of its counts; adds to ``hits`` (bits and ones per refining cell)."""
+        s = stream(w)
+        for bit, slots in s.bits(self.size):
+            counts = [(n - 1, n1 - bit.astype(np.float32)) for n, n1 in (_split(cells.take(x)) for x in slots)]
+            inputs = [_logit(n1, n) for n, n1 in counts]
+            gate = _gate(counts[-2][0], counts[-1][0])
             z = self.mixed(inputs, gate)
-            p = np.clip(0.5 * _sigmoid(z) + 0.5 * self._refined(z, gate)[0], 1e-6, 1 - 1e-6)
-            total += np.bincount(s.token, weights=-np.log2(np.where(bit == 1, p, 1 - p)), minlength=len(words))
-        return total
-
-    def learn(self, words: list[bytes], counts: np.ndarray, ones: np.ndarray, seen: np.ndarray) -> None:
-        """Online steps over batches of training tokens, each bit's own occurrence taken out of its counts."""
-        for k in range(0, len(words), BATCH):
-            s = spell(words[k : k + BATCH])
-            weight = np.minimum(counts[k : k + BATCH], 1000.0)[s.token]
-            for bit, slots in s.bits():
-                n = np.stack([seen[x] for x in slots], axis=1) - 1.0
-                n1 = np.stack([ones[x] for x in slots], axis=1) - bit[:, None]
-                inputs = np.log((np.maximum(n1, 0) + 0.4) / (np.maximum(n - n1, 0) + 0.4))
-                gate = _gate(n[:, -1]).astype(np.int64)
-                z = self.mixed(inputs, gate)
-                error = (bit - _sigmoid(z)) * weight
-                for g in np.unique(gate).tolist():
-                    here = gate == g
-                    share = weight[here].sum()
-                    self.weights[g] += RATE * min(1.0, share / 500) * (error[here, None] * inputs[here]).sum(axis=0) / share * 10
-                _, low, _ = self._refined(z, gate)
-                cell = gate * SSE_STEPS + low
-                w = np.bincount(cell, weights=weight, minlength=GATES * SSE_STEPS)
-                hit = np.bincount(cell, weights=weight * bit, minlength=GATES * SSE_STEPS)
-                pull = (w / (w + 2000)).reshape(GATES, SSE_STEPS)
-                mean = np.divide(hit, w, out=np.zeros_like(hit), where=w > 0).reshape(GATES, SSE_STEPS)
-                self.refine += pull * 0.5 * (mean - self.refine)
+            error = bit - _sigmoid(z)
+            share = np.bincount(gate, minlength=GATES)
+            step = RATE * np.minimum(1.0, share / 500) / np.maximum(share, 1)
+            for o, x in enumerate(inputs):
+                self.weights[o] += step * np.bincount(gate, weights=error * x, minlength=GATES)
+            cell = gate * SSE_STEPS + self._place(z)[0]
+            hits[0] += np.bincount(cell, minlength=GATES * SSE_STEPS)
+            hits[1] += np.bincount(cell, weights=bit, minlength=GATES * SSE_STEPS)
+
+    def merge(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The tasks' weights, each gate's by the bits that it saw, and the sum of their refining cells."""
+        if not parts:
+            return
+        share = np.stack([h[0].reshape(GATES, SSE_STEPS).sum(axis=1) for _, h in parts])
+        every = share.sum(axis=0)
+        mean = np.einsum("tg,tog->og", share, np.stack([x for x, _ in parts])) / np.maximum(every, 1)
+        self.weights = np.where(every > 0, mean, self.weights).astype(np.float32)
+        n, ones = np.sum([h for _, h in parts], axis=0).reshape(2, GATES, SSE_STEPS)
+        self.refine = (ones + PRIOR * self.refine) / (n + PRIOR)
+
+
+@dataclass
+class Tables:
+    """The cells' logits, and the size classes of the last two orders' counts, whose cells begin at ``first``."""
+
+    logit: np.ndarray
+    known: np.ndarray
+    first: int
+
+    @staticmethod
+    def of(cells: np.ndarray, size: tuple[int, ...]) -> Tables:
+        first = sum(1 << b for b in size[:-2])
+        logit, known = np.empty(len(cells), dtype=np.float32), np.empty(len(cells) - first, dtype=np.uint8)
+        for k in range(0, len(cells), CHUNK):
+            n, ones = _split(cells[k : k + CHUNK])
+            logit[k : k + CHUNK] = _logit(ones, n)
+        for k in range(0, len(known), CHUNK):
+            known[k : k + CHUNK] = _class(_split(cells[first + k : first + k + CHUNK])[0], SIZES)
+        return Tables(logit, known, first)
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +255,21 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64())], ["block", "word", "n"])
 
 
-def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ones, seen = np.zeros(CELLS), np.zeros(CELLS)
-    some = False
-    for batch in batches:
-        words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
-        for k in range(0, len(words), 20_000):
-            some = True
-            s = spell(words[k : k + 20_000])
-            weight = counts[k : k + 20_000][s.token]
-            for bit, slots in s.bits():
-                for x in slots:
-                    np.add.at(seen, x, weight)
-                    np.add.at(ones, x, weight * bit)
-    if some:
-        for k in range(0, 2 * CELLS, CHUNK):
-            part = ones[k : k + CHUNK] if k < CELLS else seen[k - CELLS : k - CELLS + CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+def _bit_counts(size: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(sum(1 << b for b in size), dtype=np.int64)
+        for batch in batches:
+            for _, _, w in word_blocks(batch.column("text"), lower=True):
+                for bit, slots in stream(w).bits(size):
+                    more = 1 + (bit << 32)
+                    for x in slots:
+                        np.add.at(cells, x, more)
+        for k in range(0, len(cells), CHUNK):
+            part = cells[k : k + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+
+    return run
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,35 +282,45 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
 
-def _model(words: DataFrame) -> MixingModel:
-    """The tables have a fixed number of cells whatever the corpus; only they and a bounded sample of words come to the driver."""
-    learned = words.filter("c > 0").select("word", "c")
-    chunks = learned.mapInArrow(_bit_counts, "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-    flat = np.zeros(2 * CELLS)
+def _learned(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, size = shared.value
+        model, hits, some = MixingModel(size), np.zeros((2, GATES * SSE_STEPS)), False
+        for batch in batches:
+            for _, _, w in word_blocks(batch.column("text"), lower=True):
+                some = True
+                model.learn(w, cells, hits)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([hits.tobytes()], pa.binary())], ["task", "weights", "hits"])
+
+    return run
+
+
+def _model(train: DataFrame):
+    """The broadcast tables, and the model's weights and refining table, from every training text."""
+    size = SLOT_BITS
+    chunks = train.mapInArrow(_bit_counts(size), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
+    cells = np.zeros(sum(1 << b for b in size), dtype=np.int64)
     for c, raw in chunks.toLocalIterator():
-        flat[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(raw)), dtype="<i8")
-    ones, seen = flat[:CELLS], flat[CELLS:]
-    model = MixingModel(ones, seen)
-    size = learned.count()
-    place = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
-    often = F.col("c") >= 200
-    some = learned.filter(often | (place < SAMPLE_WORDS / max(1, size))).orderBy(F.xxhash64("word")).limit(2 * SAMPLE_WORDS).collect()
-    model.learn([bytes(r[0]) for r in some], np.array([float(r[1]) for r in some]), ones, seen)
-    return model
-
-
-def _scorer(shared, total: int, distinct: int):
+        cells[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(raw)), dtype="<i8")
+    sc = train.sparkSession.sparkContext
+    shared = sc.broadcast((cells, size))
+    model = MixingModel(size)
+    parts = sorted(train.mapInArrow(_learned(shared), "task int, weights binary, hits binary").collect())
+    model.merge([(np.frombuffer(bytes(r[1]), dtype=np.float32).reshape(ORDERS, GATES), np.frombuffer(bytes(r[2])).reshape(2, -1)) for r in parts])
+    shared.destroy()
+    return sc.broadcast(Tables.of(cells, size)), model
+
+
+def _scorer(shared, model: MixingModel, total: int, distinct: int):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        model: MixingModel = shared.value
         spelt = words.column("word").combine_chunks() if words.num_rows else pa.array([], pa.binary())
         count = words.column("c").to_numpy()
         buf, off = text_buffers(spelt)
         mark = span_hashes(buf, off[:-1], off[1:])
-        listed = spelt.to_pylist()
-        cost = np.concatenate([model.cost(listed[k : k + 20_000]) for k in range(0, len(listed), 20_000)] or [np.zeros(0)])
         base = np.log10((count + ALPHA) / (total + ALPHA * (distinct + 1)))
         order = np.argsort(mark)
-        mark, cost, base, known = mark[order], cost[order], base[order], (count > 0)[order]
+        mark, base, known = mark[order], base[order], (count > 0)[order]
         end = int(np.flatnonzero(mark == span_hashes(np.frombuffer(END, dtype=np.uint8), np.array([0]), np.array([1]))[0])[0])
         rows = texts.num_rows
         out = {k: np.zeros(rows) for k in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
@@ -261,8 +333,8 @@ def _scorer(shared, total: int, distinct: int):
             out["n_tokens"][i:j] = w.counts + 1
             out["n_known"][i:j] = np.bincount(doc, weights=known[at], minlength=n) + known[end]
             out["base_score"][i:j] = np.bincount(doc, weights=base[at], minlength=n) + base[end]
-            out["score"][i:j] = -np.log10(2.0) * (np.bincount(doc, weights=cost[at], minlength=n) + cost[end])
-            out["n_bytes"][i:j] = np.bincount(doc, weights=w.end - w.start + 1, minlength=n) + 1
+            bits, out["n_bytes"][i:j] = model.cost(w, shared.value)
+            out["score"][i:j] = -np.log10(2.0) * bits
         bits = out["score"] / -np.log10(2.0) / np.maximum(out["n_bytes"], 1)
         return pa.table(
             {
@@ -290,7 +362,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counted = written(found.join(sums, "word").select("block", "word", "c", (F.col("block") == F.col("lead")).alias("lead")))
     distinct = counted.filter("lead")
     total, kinds = distinct.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    model = spark.sparkContext.broadcast(_model(distinct))
+    model = _model(rows.filter(~held_out).select("text"))
     texts = rows.select("doc_id", held_out.alias("held_out"), "text", F.spark_partition_id().alias("block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(_scorer(model, int(total or 0), int(kinds or 0)), schema)
+    return texts.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(_scorer(*model, int(total or 0), int(kinds or 0)), schema)

@@ -346,6 +346,25 @@ def test_lm_scores(spark, odd, none):
     assert all(r.train_tokens == total and r.score < 0 and r.bits_per_byte > 0 for r in got)
 
 
+def test_lm_scores_know_the_order_of_words(spark):
+    rng = random.Random(9)
+    follows = {f"w{k}": f"w{(k * 7 + 3) % 40}" for k in range(40)}
+
+    def text():
+        out = [f"w{rng.randrange(40)}"]
+        while len(out) < 30:
+            out.append(follows[out[-1]])
+        return " ".join(out)
+
+    rows = [(k, text()) for k in range(400)]
+    rows += [(k + 1000, " ".join(rng.sample(t.split(), 30))) for k, t in rows if zlib.crc32(str(k + 1000).encode()) % 10 == 0 and zlib.crc32(str(k).encode()) % 10]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    shuffled = [k for k, _ in rows if k >= 1000]
+    assert shuffled and all(got[k].held_out and got[k].score < 2 * got[k - 1000].score for k in shuffled)
+    whole = [got[k] for k, _ in rows if k < 1000 and got[k].held_out]
+    assert sum(r.score for r in whole) > sum(r.base_score for r in whole)
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_against_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SMALL), connection(), sql.ORACLES[name])
