@@ -12,7 +12,8 @@ ones among all training bits, refines it.
 
 The base score needs words' counts: each block of documents (an input split) sends its
 distinct words with their counts, which meet by word and go back to the blocks. The
-model's tables have a fixed size; they are gathered at the driver and broadcast.
+model's tables grow in proportion to the counted vocabulary; they are gathered at the
+driver and broadcast.
 
 Defined cases: null text is empty and has the end token only; a null doc_id is
 held out; without training texts all counts are 0 and every bit costs what an
@@ -46,14 +47,18 @@ SIZES, PAIRS = 14, 4
 GATES = SIZES * PAIRS
 SSE_STEPS = 33
 RATE = 0.2
-#: Cells per order as powers of two.
-SLOT_BITS = (18, 19, 21, 22, 22)
 #: Bits that a refining cell's first value counts for.
 PRIOR = 50
 _LOW = np.int64((1 << 32) - 1)
 _BASES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def slot_bits(kinds: int) -> tuple[int, ...]:
+    """Cells per order as powers of two, in proportion to the counted vocabulary; two-byte contexts have at most 2**24 nodes."""
+    n = max(16, (max(1, kinds) - 1).bit_length())
+    return (min(n - 3, 24), n - 2, n, n + 1, n + 1)
+
+
 @dataclass
 class Stream:
     """Bytes of the documents' tokens one after another, their documents, and their context hashes, one row of hashes per order."""
@@ -296,9 +301,9 @@ def _learned(shared):
     return run
 
 
-def _model(train: DataFrame):
+def _model(train: DataFrame, kinds: int):
     """The broadcast tables, and the model's weights and refining table, from every training text."""
-    size = SLOT_BITS
+    size = slot_bits(kinds)
     chunks = train.mapInArrow(_bit_counts(size), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
     cells = np.zeros(sum(1 << b for b in size), dtype=np.int64)
     for c, raw in chunks.toLocalIterator():
@@ -362,7 +367,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counted = written(found.join(sums, "word").select("block", "word", "c", (F.col("block") == F.col("lead")).alias("lead")))
     distinct = counted.filter("lead")
     total, kinds = distinct.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    model = _model(rows.filter(~held_out).select("text"))
+    model = _model(rows.filter(~held_out).select("text"), int(kinds or 0))
     texts = rows.select("doc_id", held_out.alias("held_out"), "text", F.spark_partition_id().alias("block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return texts.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(_scorer(*model, int(total or 0), int(kinds or 0)), schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import queries, sql
+from strandline.llm import lm_scoring, queries, sql
 from strandline.llm.bpe import encoder
 from strandline.llm.components import components
 from strandline.llm.exact_dedup import CuckooIndex, exact_dedup
@@ -365,6 +365,11 @@ def test_lm_scores_know_the_order_of_words(spark):
     assert sum(r.score for r in whole) > sum(r.base_score for r in whole)
 
 
+def test_lm_tables_grow_with_the_vocabulary():
+    cells = [sum(1 << b for b in lm_scoring.slot_bits(1 << k)) for k in (18, 20, 22)]
+    assert cells[1] > 3 * cells[0] and cells[2] > 3 * cells[1]
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_against_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SMALL), connection(), sql.ORACLES[name])
