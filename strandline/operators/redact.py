@@ -97,10 +97,38 @@ def longest_first(names: Column) -> Column:
     return F.transform(F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("l"), F.lower(n).alias("f"), n.alias("n")))), lambda s: s["n"])
 
 
+def _letter_run(names: Column) -> Column:
+    return F.lower(F.regexp_extract(names, "^[A-Za-z]+", 0))
+
+
+def _names_pattern(names: Column) -> Column:
+    return F.concat(F.lit(r"(?i)(?<![A-Za-z])(?:"), F.array_join(F.transform(longest_first(names), lambda n: F.regexp_replace(n, r"([.'-])", r"\\$1")), "|"), F.lit(r")(?![A-Za-z])"))
+
+
+def corpus_names(df: DataFrame, text: str) -> DataFrame:
+    """Column ``name``: the distinct names that speech is attributed to in any row; prefixes are too weak a sign for other rows."""
+    return df.select(F.explode(person_names(F.col(text))).alias("name")).distinct()
+
+
+def with_person_names(df: DataFrame, text: str, speech: bool = False) -> DataFrame:
+    """A column ``names``: each row's own names, and those of the whole corpus that occur in it.
+
+    A name that occurs begins with a whole run of letters of the text, so that run is the
+    key by which texts and names meet. Texts are taken once each.
+    """
+    names = corpus_names(df, text).select("name", _letter_run(F.col("name")).alias("run"))
+    digest = F.sha2(F.col(text), 256)
+    runs = df.select(digest.alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1))).alias("run")).distinct()
+    met = runs.join(names, "run").groupBy("digest").agg(F.sort_array(F.collect_set("name")).alias("met"))
+    rows = df.withColumn("digest", digest).join(met, "digest", "left")
+    occurs = F.filter(F.coalesce("met", F.array().cast("array<string>")), lambda n: F.regexp_like(F.col(text), _names_pattern(F.array(n))))
+    own = F.coalesce(person_names(F.col(text), speech), F.array().cast("array<string>"))
+    return rows.select(*df.columns, F.array_union(own, occurs).alias("names"))
+
+
 def mask_names(text: Column, names: Column) -> Column:
-    """Each record's own names masked, at letter boundaries, case-insensitively."""
-    pattern = F.concat(F.lit(r"(?i)(?<![A-Za-z])(?:"), F.array_join(F.transform(longest_first(names), lambda n: F.regexp_replace(n, r"([.'-])", r"\\$1")), "|"), F.lit(r")(?![A-Za-z])"))
-    return F.when(F.size(names) > 0, F.regexp_replace(text, pattern, F.lit(MASK))).otherwise(text)
+    """The given names masked, at letter boundaries, case-insensitively."""
+    return F.when(F.size(names) > 0, F.regexp_replace(text, _names_pattern(names), F.lit(MASK))).otherwise(text)
 
 
 def clip_blocks(lines: DataFrame, by: Sequence[str], order: str, line: str, kept: DataFrame, clip: str = "clip_id") -> DataFrame:

@@ -375,7 +375,7 @@ def location_hash_audit(spark, d):
 
 @query()
 def person_name_masks(spark, d):
-    rows = table(spark, d, "conversations").withColumn("names", redact.person_names(F.col("text"), True))
+    rows = redact.with_person_names(table(spark, d, "conversations"), "text", True)
     return rows.select("conv_id", "turn", F.size("names").alias("n_names"), F.sha1(redact.mask_names(F.col("text"), F.col("names"))).alias("masked_sha1"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -109,3 +110,14 @@ def test_names(spark):
     df = spark.createDataFrame([("Jake: hello, jake said Alice says yes. Gemini: ok",)], "t string")
     r = df.withColumn("names", redact.person_names(F.col("t"), True)).select("names", redact.mask_names(F.col("t"), F.col("names")).alias("m")).first()
     assert set(r.names) == {"Jake", "Alice"} and r.m == "XXX: hello, XXX said XXX says yes. Gemini: ok"
+
+
+def test_names_of_the_corpus(spark, tmp_path):
+    from strandline.plans import registry
+
+    texts = ["Jake said hi", "I met jake, not Jakes", "Tom: hello", "then Tom left", "Anna-Lee asked", "an anna-lee.x and Anna", None, "I met jake, not Jakes"]
+    spark.createDataFrame([("c", k, "user", t) for k, t in enumerate(texts)], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = ["XXX said hi", "I met XXX, not Jakes", "XXX: hello", "then Tom left", "XXX asked", "an XXX.x and Anna", None, "I met XXX, not Jakes"]
+    got = {r.turn: (r.n_names, r.masked_sha1) for r in registry.person_name_masks(spark, str(tmp_path)).collect()}
+    sha1 = lambda t: None if t is None else hashlib.sha1(t.encode()).hexdigest()
+    assert got == {k: (n, sha1(t)) for k, (n, t) in enumerate(zip([1, 1, 1, 0, 1, 1, 0, 1], want, strict=True))}
