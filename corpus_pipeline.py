@@ -2,17 +2,17 @@
 
 Every stage works on all rows that its predecessor kept. Texts are joined back
 by doc_id, which is taken for the rows' key; rows without an id are never dropped
-as copies. A stage's result but the last has the columns of documents.
+as copies. Mixing tells rows apart that have no id or repeat one. A stage's result but the last has the columns of documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.cluster import documents, written
 from strandline.llm.exact_dedup import exact_dedup
-from strandline.llm.mixing import mix_sources
+from strandline.llm.mixing import mix_sources, n_words
 from strandline.llm.ngram_join import ngram_components
 from strandline.llm.packing import best_fit_pack
 from strandline.llm.quality_rules import quality_rules
@@ -45,8 +45,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none to three times."""
     ship(spark)
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("mix_copies")).filter("mix_copies > 0")
-    taken = docs.join(copies, "doc_id")
+    key = F.struct("doc_id", "source", "size")  # of structs, null parts are equal
+    # Rows of a key differ by one copy at most and weigh the same, so it only matters how many have one more.
+    copies = mix_sources(docs, with_source=True).groupBy(key.alias("mix_key")).agg(F.min("copies").alias("least"), F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    copies = copies.filter("sum > 0").select("mix_key", "least", (F.col("sum") - F.col("least") * F.col("rows")).alias("more"))
+    mix_key = F.struct("doc_id", "source", n_words(F.col("text")).alias("size"))
+    place = F.row_number().over(Window.partitionBy("mix_key").orderBy(F.xxhash64("text"), "lang", "n_chars"))
+    taken = docs.withColumn("mix_key", mix_key).join(copies, "mix_key").withColumn("place", place)
+    times = (F.col("least") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)).cast("int")
+    taken = taken.withColumn("mix_copies", times).filter("mix_copies > 0")
     return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 

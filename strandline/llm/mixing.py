@@ -110,8 +110,8 @@ def _settle(items: Column) -> Column:
     return F.aggregate(falling, start, step, lambda acc: acc["done"])
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_source: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row, on request its source too."""
     rows = only(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", n_words(F.col("text")).alias("size"))
     rows = settled(rows)
     per_source = targets(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")))
@@ -123,7 +123,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64("doc_id", "size", F.lit(SEED))
     item = F.struct(key.alias("key"), "doc_id", "size", "p", "target", "source_size")
     at_rest = (F.col("size") == 0) | (F.col("p") <= 0)
-    finished = wanted.filter(at_rest).select("doc_id", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
+    finished = wanted.filter(at_rest).select("source", "doc_id", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
     open_ = wanted.filter(~at_rest).select("source", "whole", F.ceil(F.col("n_docs") / BUCKET).alias("n_buckets"), item.alias("item"))
     waits = F.pmod(F.xxhash64(F.col("item.key"), F.lit(-1)), F.col("n_buckets")) == 0
     reserve, open_ = open_.filter(waits), open_.filter(~waits)
@@ -135,11 +135,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("item.size").alias("size"), "item")))).alias("items"))
             .select("source", "whole", "n_buckets", _pivot(F.col("items.item"), level).alias("state"))
         )
-        settled_ones = buckets.select("whole", F.explode("state.done").alias("i"))
-        finished = finished.unionByName(settled_ones.select("i.doc_id", "i.size", "i.source_size", "i.target", "whole", "i.p"))
+        settled_ones = buckets.select("source", "whole", F.explode("state.done").alias("i"))
+        finished = finished.unionByName(settled_ones.select("source", "i.doc_id", "i.size", "i.source_size", "i.target", "whole", "i.p"))
         open_ = buckets.select("source", "whole", F.ceil(F.col("n_buckets") / BUCKET).alias("n_buckets"), F.col("state.carry").alias("item"))
         level, most = level + 1, open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    root = reserve.unionByName(open_).groupBy("source", "whole").agg(F.collect_list("item").alias("items")).select("whole", F.explode(_settle(F.col("items"))).alias("i"))
-    finished = finished.unionByName(root.select("i.doc_id", "i.size", "i.source_size", "i.target", "whole", "i.p"))
+    root = reserve.unionByName(open_).groupBy("source", "whole").agg(F.collect_list("item").alias("items")).select("source", "whole", F.explode(_settle(F.col("items"))).alias("i"))
+    finished = finished.unionByName(root.select("source", "i.doc_id", "i.size", "i.source_size", "i.target", "whole", "i.p"))
     copies = (F.col("whole") + F.round("p").cast("long")).cast("long")
-    return finished.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return finished.select(*["source"] * with_source, "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))

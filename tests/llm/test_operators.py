@@ -385,3 +385,28 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.columns == columns and {r.doc_id for r in docs.collect()} <= before, name
     assert corpus_pipeline.run(spark, SMALL).count() >= docs.count() > 0
+
+
+def test_pipeline_mix_takes_every_row_by_its_own_copies(spark, odd, none):
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.mix(spark, none.select(*columns), SMALL).count() == 0
+    rows = [(None if k % 4 == 0 else k // 3, "w " * (1 + k % 5) + f"t{k}", "en", [None, "a", "b"][k % 7 % 3], k) for k in range(700)]
+    for docs in (odd.select(*columns), spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")):
+        want = Counter()
+        each = {}
+        for r in mix_sources(docs, with_source=True).collect():
+            want[r.source, r.doc_id, r.size] += r.copies
+            each.setdefault((r.source, r.doc_id, r.size), []).append(r.copies)
+        got, of_row = Counter(), Counter()
+        for r in corpus_pipeline.mix(spark, docs, SMALL).collect():
+            got[r.source, r.doc_id, len(words(r.text))] += 1
+            of_row[tuple(r)] += 1
+        assert got == +want and any(k[1] is None for k in got)
+        alike = Counter(map(tuple, docs.collect()))
+        found = {}
+        for r, n in alike.items():
+            if n == 1:
+                found.setdefault((r[3], r[0], len(words(r[1]))), []).append(of_row[r])
+        assert all(sorted(x) == sorted(each[k]) for k, x in found.items() if len(x) == len(each[k]))
