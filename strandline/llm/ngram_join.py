@@ -20,6 +20,7 @@
    out when their sizes, their largest possible overlap or an already common
    component rule out news, and surviving pairs are verified on the exact sets. A
    cluster over ``BLOCK_SHINGLES`` is split into blocks whose pairs go to separate tasks.
+   For links and their numbers the components rule nothing out, so every link is found.
 5. Components of the verified links, by alternating stars.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
@@ -377,8 +378,8 @@ class Forest:
         return True
 
 
-def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Links that span the components of the sets (indices); with sides, only links between different ones count."""
+def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None, every: bool = False) -> Iterator[tuple[int, int]]:
+    """Links that span the components of the sets (indices), or every link; with sides, only links between different ones count."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[k] for k in order.tolist()]
     most = max(map(len, sets))
@@ -396,7 +397,7 @@ def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterato
         if p != q and min(most_common + max(tree.excess[a:b].max(), 0), most_common + max(tree.excess[c:d].max(), 0)) < least:
             continue
         up = forest.flat()
-        if up[a] == up[c] and (up[a:b] == up[a]).all() and (up[c:d] == up[a]).all():
+        if not every and up[a] == up[c] and (up[a:b] == up[a]).all() and (up[c:d] == up[a]).all():
             continue
         if level:
             todo += [(level - 1, i, j) for i in tree.children(level, p) for j in tree.children(level, q) if i <= j]
@@ -404,41 +405,51 @@ def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterato
         common = tree.rows[a:b] @ tree.rows[c:d].T
         bound = np.minimum(common + tree.excess[a:b, None], common + tree.excess[None, c:d])
         n, m = tree.n[a:b, None], tree.n[None, c:d]
-        ok = (bound >= needed(n, m)) & (up[a:b, None] != up[None, c:d])
+        ok = bound >= needed(n, m)
+        if not every:
+            ok &= up[a:b, None] != up[None, c:d]
         if p == q:
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         if sides is not None:
             ok &= sides[a:b, None] != sides[None, c:d]
         i, j = np.nonzero(ok)
         for x, y in zip((i + a).tolist(), (j + c).tolist(), strict=True):
-            if forest.find(x) == forest.find(y):
+            if not every and forest.find(x) == forest.find(y):
                 continue
             s, t = sets[x], sets[y]
             both = len(np.intersect1d(s, t, assume_unique=True))
             if both * 100 >= PERCENT * (len(s) + len(t) - both):
-                forest.join(x, y)
+                if not every:
+                    forest.join(x, y)
                 yield int(order[x]), int(order[y])
 
 
-def _cluster_links(table: pa.Table) -> pa.Table:
-    sids: list[int] = []
-    sets: list[np.ndarray] = []
-    wanted = table.column("sid").to_pylist()
-    have: set[int] = set()
-    at = 0
-    for _, _, w in word_blocks(table.column("text"), lower=True):
-        for s in shingle_sets(w):
-            if len(s) and wanted[at] == set_id(s) and wanted[at] not in have:
-                have.add(wanted[at])
-                sids.append(wanted[at])
-                sets.append(s)
-            at += 1
-    links = list(tree_join(sets)) if len(sets) > 1 else []
-    return pa.table({"a": pa.array([sids[i] for i, _ in links], pa.int64()), "b": pa.array([sids[j] for _, j in links], pa.int64())})
+def _cluster_links(every: bool):
+    def run(table: pa.Table) -> pa.Table:
+        sids: list[int] = []
+        sets: list[np.ndarray] = []
+        sides: list[int] = []
+        wanted, block = table.column("sid").to_pylist(), table.column("block").to_pylist()
+        across = bool(table.num_rows) and table.column("i")[0] != table.column("j")[0]
+        have: set[int] = set()
+        at = 0
+        for _, _, w in word_blocks(table.column("text"), lower=True):
+            for s in shingle_sets(w):
+                if len(s) and wanted[at] == set_id(s) and wanted[at] not in have:
+                    have.add(wanted[at])
+                    sids.append(wanted[at])
+                    sets.append(s)
+                    sides.append(block[at])
+                at += 1
+        # for every link once, pairs within a block are left to the task that has only this block
+        links = list(tree_join(sets, np.array(sides) if every and across else None, every)) if len(sets) > 1 else []
+        return pa.table({"a": pa.array([sids[i] for i, _ in links], pa.int64()), "b": pa.array([sids[j] for _, j in links], pa.int64())})
+
+    return run
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, sid) of every row, (sid, doc_id, n) of every set, and the links (a, b) of sets: every one, or such that span the components."""
     spark = docs.sparkSession
     rows = only(docs, doc_id=id_col, text=text_col)
     first = written(rows.mapInArrow(_first_pass, _SETS))
@@ -465,14 +476,37 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("k")))
     # block i meets every block j in task (least, greatest)
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        "sid", "doc_id", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "sid", "doc_id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     texts = rows.filter(F.col("doc_id").isNotNull()).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    links = dealt.join(texts, "doc_id").select("label", "i", "j", "sid", "text").groupBy("label", "i", "j").applyInArrow(_cluster_links, "a long, b long")
+    links = dealt.join(texts, "doc_id").select("label", "i", "j", "block", "sid", "text").groupBy("label", "i", "j").applyInArrow(_cluster_links(every), "a long, b long")
+    return sets, of_set, links
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link once, as (a, b) with a < b: the least doc_ids of two unlike sets. Rows of equal sets are linked too, but not listed."""
+    _, of_set, links = _linked(docs, id_col, text_col, True)
+    name = of_set.select("sid", "doc_id")
+    one, two = name.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), name.select(F.col("sid").alias("b"), F.col("doc_id").alias("y"))
+    return links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; on request also n_links, the number of other rows linked with it."""
+    sets, of_set, links = _linked(docs, id_col, text_col, with_links)
+    if with_links:
+        links = written(links)
     joined = components(links)
 
     named = of_set.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = settled(named.join(least, "label").select("sid", "component_id"))
-    linked = sets.filter("n > 0").join(component, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = sets.filter("n > 0").join(component, "sid")
+    blank = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not with_links:
+        return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(blank)
+    rows = sets.filter("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("rows"))
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(rows.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("others"))
+    counts = rows.join(others, "sid", "left").select("sid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return linked.join(counts, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(blank.withColumn("n_links", F.lit(0).cast("long")))

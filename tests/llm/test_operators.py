@@ -18,7 +18,7 @@ from strandline.llm.exact_dedup import CuckooIndex, exact_dedup
 from strandline.llm.language_id import language_id
 from strandline.llm.lm_scoring import lm_scores
 from strandline.llm.mixing import mix_sources, n_words
-from strandline.llm.ngram_join import ngram_components, tree_join
+from strandline.llm.ngram_join import ngram_components, ngram_links, tree_join
 from strandline.llm.packing import BestFit, best_fit_pack
 from strandline.llm.quality_classifier import quality_classifier
 from strandline.llm.quality_rules import quality_rules
@@ -410,3 +410,30 @@ def test_pipeline_mix_takes_every_row_by_its_own_copies(spark, odd, none):
             if n == 1:
                 found.setdefault((r[3], r[0], len(words(r[1]))), []).append(of_row[r])
         assert all(sorted(x) == sorted(each[k]) for k, x in found.items() if len(x) == len(each[k]))
+
+
+@pytest.mark.parametrize("most", [1_500_000, 300])
+def test_ngram_links_are_all_found(spark, monkeypatch, most):
+    monkeypatch.setattr("strandline.llm.ngram_join.BLOCK_SHINGLES", most)
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(90)]
+    texts = []
+    for _ in range(25):
+        near = list(base)
+        near[rng.randrange(90)] = f"x{rng.randrange(999)}"
+        texts.append(" ".join(near))
+    texts += texts[:4] + ["", None, "alone in here", " ".join(base[30:])]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else []) for d, w in ((d, words(t)) for d, t in rows)}
+    like = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    first = {}
+    for d, s in sets.items():
+        first.setdefault(s, d)
+    got = [tuple(r) for r in ngram_links(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in like if a < b and sets[a] != sets[b] and first[sets[a]] == a and first[sets[b]] == b}
+    n = Counter(a for a, _ in like)
+    plain = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs).collect()}
+    counted = ngram_components(docs, with_links=True).collect()
+    assert {r.doc_id: r.n_links for r in counted} == {d: n[d] for d in sets} and {r.doc_id: (r.n_shingles, r.component_id) for r in counted} == plain
+    assert len(got) > 25
