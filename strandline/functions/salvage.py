@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What may be missing behind the last complete object.
+# What may be missing behind the text, and behind a complete object, which may lie within a segment.
 TAILS = ("", "]}", "}")
-STEPS = 200
+CUT_TAILS = ("", "]}", "}]}", '"}]}', "}")
 
 
 def salvage(text: str | None) -> str | None:
@@ -25,15 +25,13 @@ def salvage(text: str | None) -> str | None:
         return None
     body = body[start:]
     end = len(body)
-    for _ in range(STEPS):
-        for tail in TAILS:
+    while end > 0:
+        for tail in CUT_TAILS if body[end - 1] == "}" else TAILS:
             try:
                 return json.dumps(json.loads(body[:end] + tail), ensure_ascii=False, sort_keys=True)
             except ValueError:
                 pass
         end = body.rfind("}", 0, end - 1) + 1
-        if end <= 0:
-            return None
     return None
 
 

@@ -121,3 +121,11 @@ def test_names_of_the_corpus(spark, tmp_path):
     got = {r.turn: (r.n_names, r.masked_sha1) for r in registry.person_name_masks(spark, str(tmp_path)).collect()}
     sha1 = lambda t: None if t is None else hashlib.sha1(t.encode()).hexdigest()
     assert got == {k: (n, sha1(t)) for k, (n, t) in enumerate(zip([1, 1, 1, 0, 1, 1, 0, 1], want, strict=True))}
+
+
+def test_salvage_walks_back_over_any_number_of_objects():
+    saved = '{"segments": [{"t": 1}'
+    deep = ', {"parts": [' + ", ".join('{"k": {"v": %d}}' % k for k in range(300)) + ', {"k'
+    assert json.loads(salvage(saved + deep)) == {"segments": [{"t": 1}]}
+    assert json.loads(salvage(saved + ', {"at": {"x": 2}, "te')) == {"segments": [{"t": 1}, {"at": {"x": 2}}]}
+    assert json.loads(salvage(saved + ', {"at": {"x": 2}')) == {"segments": [{"t": 1}, {"at": {"x": 2}}]}
