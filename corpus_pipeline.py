@@ -23,9 +23,10 @@ ORACLE_SQL = None  # rounding, packing and tokenisation are beyond SQL; tests co
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules and base limits keep."""
+    """Documents that the line rules and base limits keep, without their failing lines."""
     ship(spark)
-    return quality_rules(docs, carry=docs.columns).filter("verdict_kept").select(*docs.columns)
+    kept = quality_rules(docs, carry=docs.columns, with_text=True).filter("verdict_kept")
+    return kept.withColumn("text", F.col("cleaned_text")).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

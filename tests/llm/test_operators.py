@@ -437,3 +437,13 @@ def test_ngram_links_are_all_found(spark, monkeypatch, most):
     counted = ngram_components(docs, with_links=True).collect()
     assert {r.doc_id: r.n_links for r in counted} == {d: n[d] for d in sets} and {r.doc_id: (r.n_shingles, r.component_id) for r in counted} == plain
     assert len(got) > 25
+
+
+def test_pipeline_quality_takes_out_failing_lines(spark):
+    import corpus_pipeline
+
+    prose = [" ".join(f"word{k * 40 + i}" for i in range(40)) + "." for k in range(4)]
+    rows = [(1, "\n".join([prose[0], "Home | About | Contact | Terms | Login | Help", prose[1], "", prose[2]]), "en", "a", 0), (2, "\n".join(prose), "en", "a", 0)]
+    got = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
+    want = {1: "\n".join([prose[0], prose[1], "", prose[2]]), 2: "\n".join(prose)}
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {d: (t, len(t)) for d, t in want.items()}
