@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from strandline.session import ship
 
+#: A key is hot if it holds more than this fraction's share of the rows.
+HOT_KEYS = 4096
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one is set only where none is named (tests, local mode)."""
@@ -45,6 +48,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Rows of ``big`` with their row of ``small``: a written table of one row per key with the number ``n`` of that key's rows in ``big``.
+
+    Keys that hold over 1 / HOT_KEYS of all these rows, of which there are fewer than HOT_KEYS, are
+    broadcast, so no key has its rows dealt to one task. The others meet in a shuffle.
+    """
+    total, most = small.agg(F.sum(n), F.max(n)).first()
+    if total is None or most * HOT_KEYS <= total:
+        return big.join(small.drop(n), on)
+    hot = F.broadcast(small.filter(F.col(n) * HOT_KEYS > total).drop(n))
+    rest = big.join(hot.select(*on), on, "left_anti").join(small.filter(F.col(n) * HOT_KEYS <= total).drop(n), on)
+    return big.join(hot, on).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

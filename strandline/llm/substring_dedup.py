@@ -7,10 +7,10 @@ a window's words alone, so equal windows have the same anchor at the same place,
 and all windows that one anchor serves form a run around it.
 
 1. Seed: each document gives a row per anchor with the hash of its context, that is
-   all words of the anchor's windows. Rows of one task that agree are combined
-   first, so a passage that many documents share costs one row a task.
-2. Join: anchors that only one document has are dropped. Equal contexts belong to
-   one least id, whose windows stay and whose copies' windows go, all of them.
+   all words of the anchor's windows. Partial aggregates reduce the anchors to their
+   least and greatest ids; anchors that only one document has are dropped.
+2. Join: equal contexts belong to one least id, whose windows stay and whose
+   copies' windows go, all of them.
 3. Extend: where an anchor has several contexts, they agree on some way to the left
    and right only. The document with a context's least id extends the anchor both
    ways, one window at a time, to hashes of all its windows; the least id per window
@@ -19,12 +19,14 @@ and all windows that one anchor serves form a run around it.
    documents, where they are cut out in one pass.
 
 Nothing is compared pair by pair: groups are reduced to least ids by partial
-aggregates, so copies in thousands only add rows. Hashes of windows are compared
-together with those of their anchors (128 bits).
-
-Defined cases: null text has no words; a null doc_id counts as larger than all
-others; rows that repeat a doc_id are one document's, and are each cut; other
-columns are ignored.
+aggregates, so copies in thousands only add rows. Joins back to rows go through
+``spread_join``, so an anchor, context or window with a large share of all rows is
+not dealt to one task. Hashes of windows are compared together with those of their
+anchors (128 bits). Places to cut are kept by doc_id and text hash, not by doc_id.
+
+Defined cases: null text has no words; null doc_ids count as larger than all
+others and as equal to one another; rows that repeat a doc_id count as one document
+when windows are judged, and each is cut at its own places; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import only, release, written
+from strandline.llm.cluster import only, release, spread_join, written
 from strandline.llm.textbuf import U64, Words, mix, powers, run_hashes, word_blocks
 
 WINDOW = 50
@@ -66,7 +68,6 @@ class Runs:
         self.window = window
         h = w.hashes()
         self.h = h
-        counts = w.counts
         z = np.zeros(0, dtype=np.int64)
         self.doc, self.start, self.end, self.anchor = z, z, z, np.zeros(0, dtype=U64)
         if len(h) < window:
@@ -87,7 +88,6 @@ class Runs:
         self.doc = doc_of[self.start]
         self.anchor = seeds[at[self.start]]
         self.first = w.first
-        del counts
 
     def contexts(self) -> np.ndarray:
         """Hash of all words from the first window's start to the last one's end."""
@@ -106,28 +106,27 @@ class Runs:
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").fill_null(LAST_ID).to_numpy()
+        ids, rows = batch.column("key").to_numpy(), batch.column("row").to_numpy()
         out: list[tuple] = []
         for i, _, w in word_blocks(batch.column("text")):
             r = Runs(w)
             if len(r.start):
                 at = r.start - w.first[r.doc]
-                out.append((ids[r.doc + i], r.anchor.view(np.int64), r.contexts().view(np.int64), at, r.end - r.start))
+                out.append((ids[r.doc + i], rows[r.doc + i], r.anchor.view(np.int64), r.contexts().view(np.int64), at.astype(np.int32), (r.end - r.start).astype(np.int32)))
         if out:
-            doc, anchor, context, start, span = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor), pa.array(context), pa.array(start.astype(np.int32)), pa.array(span.astype(np.int32))], ["doc_id", "anchor", "context", "start", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "row", "anchor", "context", "start", "span"])
 
 
-_SEED_ROWS = "doc_id long, anchor long, context long, start int, span int"
+_SEED_ROWS = "key long, row long, anchor long, context long, start int, span int"
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, context, step, window hash, owner) of the runs that are asked for, from the owners' texts."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids = batch.column("key").to_numpy()
         asked = batch.column("asked")
         flat = asked.flatten()
-        offsets = asked.offsets.to_numpy()
+        offsets = asked.offsets.to_numpy() - asked.offsets[0].as_py()
         want = flat.field("context").to_numpy()
         out: list[tuple] = []
         for i, j, w in word_blocks(batch.column("text")):
@@ -177,28 +176,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; ``with_text`` adds the kept words."""
-    rows = only(docs, doc_id=id_col, text=text_col)
-    # one exchange serves both sides: the least and the greatest id tell whether an anchor has several documents
-    seeds = rows.mapInArrow(_seeds, _SEED_ROWS).repartition("anchor")
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    seeds = written(seeds.join(shared, "anchor", "left_semi"))
-    release(docs.sparkSession)
-    contexts = seeds.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > 1).alias("several"))
-    owners = written(contexts.join(several, "anchor"))
-    asked = owners.filter("several").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("context")).alias("asked"))
-    known = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    windows = known.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_extended, "anchor long, context long, step int, window long, owner long")
-    windows = written(windows)
-    release(docs.sparkSession)
-    least = windows.groupBy("anchor", "window").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most").drop("most")
+    spark = docs.sparkSession
+    rows = only(docs, doc_id=id_col, text=text_col).withColumn("key", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("row", F.xxhash64("text"))
+    known = rows.select("key", "row", "text")
+    every = known.mapInArrow(_seeds, _SEED_ROWS)
+    # partial sums first: a passage that many documents share costs one row a task
+    anchors = written(every.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("anchor", "n"))
+    release(spark)
+    seeds = written(spread_join(every, anchors, ["anchor"], "n"))
+    release(spark)
+    of_context = seeds.groupBy("anchor", "context").agg(F.min("key").alias("owner"), F.min_by("row", "key").alias("owner_row"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
+    contexts = written(of_context)
+    several = written(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).withColumn("several", F.col("k") > 1))
+    owners = spread_join(contexts, several, ["anchor"], "k")
+    asked = owners.filter("several").groupBy(F.col("owner").alias("key"), F.col("owner_row").alias("row")).agg(F.collect_list(F.struct("context")).alias("asked"))
+    windows = written(known.join(asked, ["key", "row"]).select("key", "text", "asked").mapInArrow(_extended, "anchor long, context long, step int, window long, owner long"))
+    release(spark)
+    least = written(windows.groupBy("anchor", "window").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").drop("most"))
     # of an owner's own windows, those that start in a smaller document too
-    reach = windows.join(least, ["anchor", "window"]).filter("least < owner").groupBy("anchor", "context").agg(F.sort_array(F.collect_set("step")).alias("steps"))
-    verdict = owners.join(reach, ["anchor", "context"], "left").filter("owner < last or steps is not null").select("anchor", "context", "owner", "steps")
-    hits = seeds.join(verdict, ["anchor", "context"])
-    whole = hits.filter("doc_id > owner").select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("span") + WINDOW).alias("end"))
-    part = hits.filter("doc_id = owner and steps is not null").select("doc_id", "start", F.explode("steps").alias("step")).select("doc_id", (F.col("start") + F.col("step")).alias("begin"), (F.col("start") + F.col("step") + WINDOW).alias("end"))
-    spans = whole.unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    done = known.join(spans, "doc_id", "left").select(F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), "text", "spans")
+    reach = spread_join(windows, least, ["anchor", "window"], "n").filter("least < owner").groupBy("anchor", "context").agg(F.sort_array(F.collect_set("step")).alias("steps"))
+    verdict = written(contexts.join(reach, ["anchor", "context"], "left").filter("owner < last or steps is not null").select("anchor", "context", "owner", "steps", "n"))
+    hits = spread_join(seeds, verdict, ["anchor", "context"], "n")
+    whole = hits.filter("key > owner").select("key", "row", F.col("start").alias("begin"), (F.col("start") + F.col("span") + WINDOW).alias("end"))
+    part = hits.filter("key = owner and steps is not null").select("key", "row", "start", F.explode("steps").alias("step")).select("key", "row", (F.col("start") + F.col("step")).alias("begin"), (F.col("start") + F.col("step") + WINDOW).alias("end"))
+    spans = whole.unionByName(part).groupBy("key", "row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    done = rows.join(spans, ["key", "row"], "left").select("doc_id", "text", "spans")
     out = done.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
