@@ -8,15 +8,18 @@ the other, in a random direction whose odds keep each document's expectation,
 until one of the two holds none or a full copy of itself. So the words that a
 bucket takes stay what they were but for one unsettled document. The unsettled
 documents of all buckets form the next, 1/64 as large, level of a reduction
-tree; the single one that is left per source is rounded to the nearer side.
+tree. The single one that is left per source is rounded up with the probability that
+its fraction names, so every document's expected copies are the source's rate, and a
+source's words come within one document of its target. Sources of any size go this way.
 
 Buckets are keyed by (source, hash of doc_id), so a source with a third of all
 rows is as many small groups; per-source figures come from partial sums. Texts
 are read once, for their word counts, and never shuffled.
 
 Defined cases: null text has size 0 and takes 0 words; a null source is a
-source of its own, the last one; rows that repeat a doc_id are rounded each on
-their own; ties are broken by a hash of doc_id, so reruns agree.
+source of its own, the last one; rows that repeat a doc_id, or have none, are told
+apart by their texts, and wholly equal rows are first rounded among themselves, by
+their number; ties are broken by a hash of these, so reruns agree.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from strandline.llm.cluster import only, settled
 from strandline.llm.quality_rules import _WS
 
 BUCKET = 64
+#: Rows that one element of an exploded group of wholly equal rows stands for.
+ALIKE = 1000
 #: A target is at most this many times its source's size.
 MOST_COPIES = 3
 SEED = 20_031
@@ -71,7 +76,7 @@ def _uniform(*of: Column) -> Column:
 
 def _pivot(items: Column, level: int) -> Column:
     """Struct of the carried item and the settled ones of one bucket's array of (key, doc_id, size, p, ...)."""
-    none = F.lit(None).cast("struct<key:bigint,doc_id:bigint,size:bigint,p:double,target:double,source_size:bigint>")
+    none = F.lit(None).cast("struct<key:bigint,doc_id:bigint,size:bigint,p:double,text_hash:bigint>")
     start = F.struct(none.alias("carry"), F.filter(items, lambda x: F.lit(False)).alias("done"))
 
     def with_p(x: Column, p: Column) -> Column:
@@ -97,49 +102,50 @@ def _pivot(items: Column, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def _settle(items: Column) -> Column:
-    """The root's items with p 0 or 1: largest first, each to the nearer side with its difference passed on."""
-    falling = F.reverse(F.array_sort(F.transform(items, lambda x: F.struct(x["size"].alias("size"), x["key"].alias("key"), x.alias("item")))))
-    start = F.struct(F.lit(0.0).alias("owed"), F.filter(items, lambda x: F.lit(False)).alias("done"))
+def _alike(open_: DataFrame, of: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that agree in everything, met among themselves first: (settled ones, one unsettled row for each).
 
-    def step(acc: Column, x: Column) -> Column:
-        wanted = x["item"]["p"] * x["size"] + acc["owed"]
-        takes = F.when(wanted * 2 >= x["size"], 1.0).otherwise(0.0)
-        return F.struct((wanted - takes * x["size"]).alias("owed"), F.concat(acc["done"], F.array(x["item"].withField("p", takes))).alias("done"))
-
-    return F.aggregate(falling, start, step, lambda acc: acc["done"])
+    Of n such rows, as many take a copy as their fractions add up to in whole; one has what is left over.
+    """
+    groups = open_.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).withColumn("full", F.floor(F.col("n") * F.col("p")))
+    rest = groups.withColumn("p", F.col("n") * F.col("p") - F.col("full")).drop("n", "full")
+    parts = groups.filter("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / ALIKE))))
+    first = F.col("part") * ALIKE
+    each = parts.withColumn("i", F.explode(F.sequence(first, F.least(first + ALIKE, F.col("n") - 1) - 1)))
+    return each.withColumn("p", F.when(F.col("i") < F.col("full"), 1.0).otherwise(0.0)), rest
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_source: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row, on request its source too."""
-    rows = only(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_key: bool = False, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row; ``with_key`` adds its source and text_hash."""
+    rows = only(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     rows = settled(rows)
     per_source = targets(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")))
     per_source = settled(per_source)
     most = per_source.agg(F.max("n_docs")).first()[0] or 0
     joined = rows.join(per_source.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    wanted = joined.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    key = F.xxhash64("doc_id", "size", F.lit(SEED))
-    item = F.struct(key.alias("key"), "doc_id", "size", "p", "target", "source_size")
+    of = ["source", "doc_id", "text_hash", "size", "source_size", "target", "whole", "p"]
+    wanted = joined.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")).select(*of, "n_docs")
     at_rest = (F.col("size") == 0) | (F.col("p") <= 0)
-    finished = wanted.filter(at_rest).select("source", "doc_id", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
-    open_ = wanted.filter(~at_rest).select("source", "whole", F.ceil(F.col("n_docs") / BUCKET).alias("n_buckets"), item.alias("item"))
-    waits = F.pmod(F.xxhash64(F.col("item.key"), F.lit(-1)), F.col("n_buckets")) == 0
-    reserve, open_ = open_.filter(waits), open_.filter(~waits)
+    finished = wanted.filter(at_rest).withColumn("p", F.lit(0.0)).select(*of)
+    done, open_ = _alike(wanted.filter(~at_rest), [*of, "n_docs"])
+    finished = finished.unionByName(done.select(*of))
+    key = F.xxhash64("doc_id", "size", "text_hash", F.lit(seed))
+    item = F.struct(key.alias("key"), "doc_id", "size", "p", "text_hash")
+    per = ["source", "whole", "target", "source_size"]
+    open_ = open_.select(*per, F.ceil(F.col("n_docs") / BUCKET).alias("n_buckets"), item.alias("item"))
     level = 0
-    while most > BUCKET:
+    while most > 1:
         bucket = F.pmod(F.xxhash64(F.col("item.key"), F.lit(level)), F.col("n_buckets"))
         buckets = settled(
-            open_.groupBy("source", "whole", "n_buckets", bucket.alias("bucket"))
+            open_.groupBy(*per, "n_buckets", bucket.alias("bucket"))
             .agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("item.size").alias("size"), "item")))).alias("items"))
-            .select("source", "whole", "n_buckets", _pivot(F.col("items.item"), level).alias("state"))
+            .select(*per, "n_buckets", _pivot(F.col("items.item"), level).alias("state"))
         )
-        settled_ones = buckets.select("source", "whole", F.explode("state.done").alias("i"))
-        finished = finished.unionByName(settled_ones.select("source", "i.doc_id", "i.size", "i.source_size", "i.target", "whole", "i.p"))
-        open_ = buckets.select("source", "whole", F.ceil(F.col("n_buckets") / BUCKET).alias("n_buckets"), F.col("state.carry").alias("item"))
+        finished = finished.unionByName(buckets.select(*per, F.explode("state.done").alias("i")).select(*per, "i.doc_id", "i.text_hash", "i.size", "i.p"))
+        open_ = buckets.select(*per, F.ceil(F.col("n_buckets") / BUCKET).alias("n_buckets"), F.col("state.carry").alias("item"))
         level, most = level + 1, open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    root = reserve.unionByName(open_).groupBy("source", "whole").agg(F.collect_list("item").alias("items")).select("source", "whole", F.explode(_settle(F.col("items"))).alias("i"))
-    finished = finished.unionByName(root.select("source", "i.doc_id", "i.size", "i.source_size", "i.target", "whole", "i.p"))
+    last = F.when(_uniform(F.col("item.key"), F.lit(-1)) < F.col("item.p"), 1.0).otherwise(0.0)
+    finished = finished.unionByName(open_.select(*per, "item.doc_id", "item.text_hash", "item.size", last.alias("p")))
     copies = (F.col("whole") + F.round("p").cast("long")).cast("long")
-    return finished.select(*["source"] * with_source, "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return finished.select(*["source", "text_hash"] * with_key, "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
