@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import only, settled
+from strandline.llm.cluster import only, settled, spread_join, written
 from strandline.llm.textbuf import LOWER, text_buffers
 
 SLOTS = 4
@@ -138,7 +138,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = off.tolist()
         sha = hashlib.sha256
         out = [sha(low[i:j]).digest() for i, j in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), batch.column("text_hash")], ["doc_id", "digest", "text_hash"])
 
 
 def _merge(rows: Iterator[tuple[bytes, int | None, int]], index: CuckooIndex) -> None:
@@ -170,18 +170,21 @@ def _records(part: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.binary()), pa.array([e[1][0] for e in part], pa.int64()), pa.array([e[1][1] for e in part], pa.int64())], schema=_PARTIAL)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; ``with_hash`` adds the text_hash (xxhash64) that tells rows of one id apart.
 
     Texts are equal when identical after lower-casing A-Z; the largest id of a group stays.
     """
-    rows = settled(only(docs, doc_id=id_col, text=text_col).mapInArrow(_digests, "doc_id long, digest binary"))
+    named = only(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text") if with_hash else F.lit(None).cast("long"))
+    rows = settled(named.mapInArrow(_digests, "doc_id long, digest binary, text_hash long"))
     record = "digest binary, keep_id long, group_size long"
-    groups = rows.mapInArrow(_indexed, record).repartition("digest").mapInArrow(_indexed, record)
-    return rows.join(groups, "digest").select(
+    groups = rows.select("doc_id", "digest").mapInArrow(_indexed, record).repartition("digest").mapInArrow(_indexed, record)
+    groups = written(groups.withColumn("n", F.col("group_size")))
+    return spread_join(rows, groups, ["digest"], "n").select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *["text_hash"] * with_hash,
     )
