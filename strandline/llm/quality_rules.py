@@ -32,6 +32,8 @@ MAX_LOSS_PERCENT = 30
 MAX_SYMBOLS_PERCENT = 30
 MAX_BARS_PERCENT = 30
 MAX_SHOUTS_PERCENT = 30
+#: A line fails from more fixed phrases of page furniture than this a hundred words.
+MAX_PHRASES_PERCENT = 2
 #: Lines of up to this many words may end without a sentence mark (headings).
 HEADING_WORDS = 8
 #: Fixed phrases of page furniture, matched in lower case.
@@ -59,7 +61,7 @@ def line_fails(line: Column) -> Column:
         | (_times(line, "|") * 100 > words * MAX_BARS_PERCENT)
         | (_times(line, "!!") * 100 > words * MAX_SHOUTS_PERCENT)
         | (symbols * 100 > words * MAX_SYMBOLS_PERCENT)
-        | (F.char_length(line) < 300) & low.rlike("|".join(BOILERPLATE))
+        | (F.regexp_count(low, F.lit("|".join(BOILERPLATE))) * 100 > words * MAX_PHRASES_PERCENT)
     )
 
 

@@ -13,7 +13,7 @@ _FAILS = f"""(trim(x, ' ') <> '' AND ((NOT regexp_matches(x, '[.!?:;"'')\\]\\x{{
  OR (length(x) - length(replace(x, '|', ''))) * 100 > {_LINE_WORDS} * {R.MAX_BARS_PERCENT}
  OR ((length(x) - length(replace(x, '!!', ''))) // 2) * 100 > {_LINE_WORDS} * {R.MAX_SHOUTS_PERCENT}
  OR len(regexp_extract_all(x, '[#*$%&<>]')) * 100 > {_LINE_WORDS} * {R.MAX_SYMBOLS_PERCENT}
- OR (length(x) < 300 AND regexp_matches(lower(x), '{_BOILERPLATE}'))))"""
+ OR len(regexp_extract_all(lower(x), '{_BOILERPLATE}')) * 100 > {_LINE_WORDS} * {R.MAX_PHRASES_PERCENT}))"""
 
 OP2 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS solid FROM documents),
