@@ -5,12 +5,16 @@ The public 50k byte-level vocabulary splits text by the pattern
 and merges bytes within each piece only, so a piece's ids depend on nothing
 but its bytes. Pieces are found here from code point classes with numpy, equal
 pieces of a block are encoded once, and a bounded cache keeps the ids of pieces
-seen before. Special token strings in a text are ordinary text.
+seen before. A piece's ids come from the ``tokenizers`` library and the vocabulary's
+JSON file. Special tokens of that file (``<|endoftext|>``) stand for themselves in a
+text, as they do for the library.
 """
 
 from __future__ import annotations
 
-import base64
+import json
+import os
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -18,8 +22,6 @@ import numpy as np
 
 from strandline.llm.textbuf import span_hashes
 
-#: Fixed values of the public vocabulary's pre-tokeniser.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 CACHE_PIECES = 1_000_000
@@ -55,10 +57,19 @@ def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, value
 
 
-def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte places where pre-tokens start (an end is the next start), and each document's first piece."""
+def pieces(buf: np.ndarray, off: np.ndarray, special: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte places where pre-tokens start (an end is the next start), and each document's first piece.
+
+    The spans of special tokens are a piece each, and the texts on both sides of them are split on their own.
+    """
     if not len(buf):
         return np.zeros(0, dtype=np.int64), np.zeros(len(off), dtype=np.int64)
+    if special is not None and len(special):
+        start, _ = pieces(buf, np.unique(np.concatenate([off, special.ravel()])))
+        at = np.searchsorted(special[:, 0], start, "left") - 1  # the last span that starts before
+        within = (at >= 0) & (start < special[np.maximum(at, 0), 1])
+        start = start[~within]
+        return start, np.searchsorted(start, off)
     at, cp = code_points(buf)
     n = len(at)
     kind = _classes()[cp]
@@ -98,16 +109,36 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of blocks of documents."""
-
-    def __init__(self, ranks_path: str):
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    """Ids of blocks of documents, by a public tokenizer's JSON file."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self._bpe = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            self.special = {t["content"].encode(): t["id"] for t in json.load(f).get("added_tokens", [])}
+        self._mark = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        #: Bytes of the longest special token.
+        self.reach = max(map(len, self.special), default=0)
         self._clear()
 
+    def _special_spans(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Starts and ends of special tokens that lie within one document."""
+        raw, found, at = buf.tobytes(), [], 0
+        while self._mark and (m := self._mark.search(raw, at)):
+            a, b = m.span()
+            at = b
+            if np.searchsorted(off, a, "right") == np.searchsorted(off, b - 1, "right"):
+                found.append((a, b))
+            else:
+                at = a + 1
+        return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+    def _encoded(self, found: list[bytes]) -> list[list[int]]:
+        plain = self._bpe.encode_batch([x.decode() for x in found], add_special_tokens=False)
+        return [p.ids for p in plain]
+
     def _clear(self) -> None:
         self._marks = np.zeros(0, dtype=np.uint64)  # sorted hashes of known pieces
         self._from = np.zeros(0, dtype=np.int64)
@@ -129,7 +160,7 @@ class Encoder:
 
         Pieces are told apart by their 64-bit hashes.
         """
-        start, first = pieces(buf, off)
+        start, first = pieces(buf, off, self._special_spans(buf, off))
         if not len(start):
             return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64), start, first
         end = np.append(start[1:], len(buf))
@@ -143,8 +174,8 @@ class Encoder:
                 self._clear()
                 known[:] = False
             new = np.flatnonzero(~known)
-            raw, encode = buf.tobytes(), self._bpe._encode_single_piece
-            self._learn(distinct[new], [encode(raw[a:b]) for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            raw = buf.tobytes()
+            self._learn(distinct[new], self._encoded([raw[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]))
             at = np.searchsorted(self._marks, distinct)
         n = self._size[at][where]
         place = np.concatenate([[0], np.cumsum(n)])
@@ -153,5 +184,5 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(ranks_path: str) -> Encoder:
-    return Encoder(ranks_path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)

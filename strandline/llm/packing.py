@@ -2,11 +2,10 @@
 
 Bounded-space online best-fit: a fixed number of bins is open; a bitset keyed by
 free space finds the fullest bin that still takes a piece with two integer
-operations; when all bins are open and none fits, the fullest closes. Every
-task packs the documents it reads, so nothing is shuffled, no group of rows
-meets in one task, and a task leaves at most a few bins part-filled. The pieces
-of one Arrow batch are fed in order of falling length, so the bins of its long pieces
-must still be open when its short ones come: that is what the number of bins is for.
+operations; when all bins are open and none fits, the fullest closes. Pieces are
+placed one by one in the order of the input. Every task packs the documents it
+reads, so nothing is shuffled, no group of rows meets in one task, and a task leaves
+at most its open bins part-filled.
 
 Defined cases: null text is an empty document (its end id alone); a document over
 the limit is cut into full pieces behind a first one with the rest; rows that
@@ -30,7 +29,7 @@ from strandline.llm.cluster import only
 from strandline.llm.textbuf import blocks, text_buffers
 
 LIMIT = 1024
-OPEN_BINS = 1 << 14
+OPEN_BINS = 1024
 END_ID = 2
 BLOCK_BYTES = 1 << 18
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -86,9 +85,9 @@ def _cut(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc, number, start, np.where(number == 0, first[doc], limit)
 
 
-def packer(ranks_path: str, limit: int, open_bins: int):
+def packer(tokenizer: str, limit: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, bins = encoder(ranks_path), BestFit(limit, open_bins)
+        bpe, bins = encoder(tokenizer), BestFit(limit, open_bins)
         high = TaskContext.get().partitionId() << 36
         for batch in batches:
             buf, off = text_buffers(batch.column("text"))
@@ -107,8 +106,8 @@ def packer(ranks_path: str, limit: int, open_bins: int):
                 continue
             doc, number, start, length, crc = (np.concatenate(x) for x in zip(*parts, strict=True))
             sequence, offset = np.empty(len(doc), dtype=np.int64), np.empty(len(doc), dtype=np.int64)
-            for k in np.argsort(-length, kind="stable").tolist():
-                sequence[k], offset[k] = bins.place(int(length[k]))
+            for k, n in enumerate(length.tolist()):
+                sequence[k], offset[k] = bins.place(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (start, length, crc, sequence + high, offset))],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
@@ -117,6 +116,6 @@ def packer(ranks_path: str, limit: int, open_bins: int):
     return run
 
 
-def best_fit_pack(docs: DataFrame, ranks_path: str, limit: int = LIMIT, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its place in a sequence of at most ``limit`` ids."""
-    return only(docs, doc_id=id_col, text=text_col).mapInArrow(packer(ranks_path, limit, open_bins), _SCHEMA)
+    return only(docs, doc_id=id_col, text=text_col).mapInArrow(packer(tokenizer, limit, open_bins), _SCHEMA)

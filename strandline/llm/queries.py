@@ -18,7 +18,7 @@ from strandline.llm.sql import ORACLES  # noqa: F401
 from strandline.llm.substring_dedup import substring_dedup
 from strandline.llm.token_counts import token_counts
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), RANKS)
+    return token_counts(documents(spark, sf_dir), TOKENIZER)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_pack(documents(spark, sf_dir), RANKS)
+    return best_fit_pack(documents(spark, sf_dir), TOKENIZER)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

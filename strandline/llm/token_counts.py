@@ -1,152 +1,318 @@
 """Token counts that follow edits.
 
-A document's pre-tokens are the leaves of a segment tree whose nodes hold sums of
-token counts. An edit re-splits only from one boundary context before it to the
-first place behind it where old and new pre-token starts meet again (from there on
-the pre-tokeniser, which never looks back, must agree), re-encodes those
-pieces, and updates the sums above the leaves it replaced.
-
-Defined cases: null text counts as empty and has no tokens; edits are (start,
-end, replacement) in bytes of the current text, in any order as long as they don't
-overlap; every input row gives one row; other columns are ignored.
+A document's pre-tokens lie in the leaves of a balanced tree (a segment tree whose
+nodes split as they fill) in which every node knows the bytes, pieces and tokens below
+it; places are relative, so an edit moves nothing that lies behind it. An edit
+re-splits only from one boundary context before it to the first place behind it where
+old and new pre-token starts meet again (from there on the pre-tokeniser, which never
+looks back, must agree), re-encodes those pieces, and updates the sums above the
+leaves that it touched: logarithmic in the document's length.
+
+``token_trees`` keeps every document's tree as a table; ``edited_trees`` applies edits
+to kept trees, without encoding the rest of a text again, and gives the new texts and
+trees; ``token_counts`` does both for the scrubbing edits of this module.
+
+Defined cases: null text counts as empty and has no tokens; edits are (begin, end, new)
+in bytes of the text as it came, in any order as long as they don't overlap; every
+input row gives one row; rows of one doc_id are told apart by their texts; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.llm.bpe import Encoder, encoder
-from strandline.llm.cluster import only
+from strandline.llm.cluster import only, written
 from strandline.llm.textbuf import blocks, text_buffers
 
-#: Pre-tokens a leaf holds.
+#: Pieces of a leaf, and children of a node, that make it split when doubled.
 LEAF = 32
+FAN = 16
 BLOCK_BYTES = 1 << 18
-#: The pre-tokeniser looks at most this many bytes behind a piece (contractions: two ASCII letters; a code point has up to 4).
-LOOKAHEAD = 8
+#: Bytes behind a piece on which its end may depend: a contraction, a code point, or a special token of the vocabulary.
+LOOKAHEAD = 16
 #: Edits of the query: e-mail addresses, addresses of four numbers and long numbers make way for placeholders.
 SCRUB = re.compile(rb"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\d{7,}")
 PLACEHOLDER = b"[removed]"
 _MAY_MATCH = np.zeros(256, dtype=bool)
 _MAY_MATCH[[*range(0x30, 0x3A), 0x40]] = True
+LAST_ID = (1 << 63) - 1
+
+
+class _Leaf:
+    __slots__ = ("parent", "next", "text", "sizes", "counts", "bytes", "pieces", "tokens")
+
+    def __init__(self, text: bytes, sizes: list[int], counts: list[int]):
+        self.parent = self.next = None
+        self.put(text, sizes, counts)
+
+    def put(self, text: bytes, sizes: list[int], counts: list[int]) -> None:
+        self.text, self.sizes, self.counts = text, sizes, counts
+        self.bytes, self.pieces, self.tokens = len(text), len(sizes), sum(counts)
+
+
+class _Node:
+    __slots__ = ("parent", "kids", "bytes", "pieces", "tokens")
+
+    def __init__(self, kids: list):
+        self.parent = None
+        self.kids = kids
+        for k in kids:
+            k.parent = self
+        self.sum()
+
+    def sum(self) -> None:
+        self.bytes = sum(k.bytes for k in self.kids)
+        self.pieces = sum(k.pieces for k in self.kids)
+        self.tokens = sum(k.tokens for k in self.kids)
 
 
 class TokenTree:
-    """Segment tree over leaves of up to ``LEAF`` pre-tokens."""
+    """Pieces of one document in order, under nodes with sums of bytes, pieces and tokens."""
 
-    def __init__(self, text: bytes, starts: np.ndarray, counts: np.ndarray, bpe: Encoder):
-        self.text, self.bpe = text, bpe
-        self.starts = starts.tolist()
-        self.counts = counts.tolist()
+    def __init__(self, text: bytes, sizes: list[int], counts: list[int], bpe: Encoder):
+        self.bpe = bpe
         self.reencoded = 0
-        self._build()
-
-    def _build(self) -> None:
-        n = max(1, -(-len(self.counts) // LEAF))
-        self.size = 1 << (n - 1).bit_length()
-        self.bounds = list(range(0, len(self.counts), LEAF)) + [len(self.counts)]
-        self.sums = [0] * (2 * self.size)
-        for k in range(len(self.bounds) - 1):
-            self.sums[self.size + k] = sum(self.counts[self.bounds[k] : self.bounds[k + 1]])
-        for k in range(self.size - 1, 0, -1):
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+        self.touched = 0  # nodes whose sums were made again
+        leaves, at = [], 0
+        for k in range(0, max(1, len(sizes)), LEAF):
+            n = sum(sizes[k : k + LEAF])
+            leaves.append(_Leaf(text[at : at + n], sizes[k : k + LEAF], counts[k : k + LEAF]))
+            at += n
+        for a, b in zip(leaves, leaves[1:], strict=False):
+            a.next = b
+        level: list = leaves
+        while len(level) > 1 or isinstance(level[0], _Leaf):
+            level = [_Node(level[k : k + FAN]) for k in range(0, len(level), FAN)]
+        self.root = level[0]
 
     @property
     def total(self) -> int:
-        return self.sums[1]
+        return self.root.tokens
 
-    def _update(self, leaf: int) -> None:
-        at = self.size + leaf
-        self.sums[at] = sum(self.counts[self.bounds[leaf] : self.bounds[leaf + 1]])
-        while at > 1:
-            at //= 2
-            self.sums[at] = self.sums[2 * at] + self.sums[2 * at + 1]
+    @property
+    def pieces(self) -> int:
+        return self.root.pieces
+
+    def leaves(self) -> Iterator[_Leaf]:
+        node = self.root
+        while not isinstance(node, _Leaf):
+            node = node.kids[0]
+        while node is not None:
+            yield node
+            node = node.next
+
+    @property
+    def text(self) -> bytes:
+        return b"".join(x.text for x in self.leaves())
+
+    def sizes(self) -> list[int]:
+        return [n for x in self.leaves() for n in x.sizes]
+
+    def counts(self) -> list[int]:
+        return [n for x in self.leaves() for n in x.counts]
+
+    def _leaf_at(self, place: int) -> tuple[_Leaf, int]:
+        """The leaf that holds the byte (the last one for the text's end), and where it begins."""
+        node, at = self.root, 0
+        while not isinstance(node, _Leaf):
+            for kid in node.kids:
+                if place < at + kid.bytes:
+                    break
+                at += kid.bytes
+            else:
+                at -= kid.bytes
+            node = kid
+        return node, at
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Puts ``new`` in the place of text[start:end]."""
+        leaf, at = self._leaf_at(max(0, start - LOOKAHEAD))
+        head, begin = 0, at  # pieces before the boundary context stay
+        while head < leaf.pieces and begin + leaf.sizes[head] <= max(0, start - LOOKAHEAD):
+            begin += leaf.sizes[head]
+            head += 1
         shift = len(new) - (end - start)
-        text = self.text[:start] + new + self.text[end:]
-        first = max(0, bisect_right(self.starts, max(0, start - LOOKAHEAD)) - 1)  # one boundary context before
-        begin = self.starts[first] if self.starts else 0
-        reach = 64
-        while True:  # grows until the boundaries meet, or to the text's end
-            stop = min(len(text), end + shift + reach)
-            while stop < len(text) and (text[stop] & 0xC0) == 0x80:
-                stop += 1
-            part = np.frombuffer(text, dtype=np.uint8)[begin:stop]
+        taken, until, reach = [leaf], at + leaf.bytes, 64
+        while True:  # takes further leaves until the boundaries meet, or to the text's end
+            while taken[-1].next is not None and until < end + reach:
+                taken.append(taken[-1].next)
+                until += taken[-1].bytes
+            last = taken[-1].next is None
+            old = b"".join(x.text for x in taken)[begin - at :]
+            text = old[: start - begin] + new + old[end - begin :]
+            part = np.frombuffer(text, dtype=np.uint8)
             ids, place, found, _ = self.bpe.tokens(part, np.array([0, len(part)], dtype=np.int64))
-            places = (found + begin).tolist()
-            sizes = np.diff(place).tolist() if len(found) else []
-            limit = len(text) if stop == len(text) else stop - LOOKAHEAD
-            meet = None
-            for k, p in enumerate(places):
-                if p >= end + shift and p <= limit:
-                    old = bisect_left(self.starts, p - shift)
-                    if old < len(self.starts) and self.starts[old] == p - shift and old >= first:
-                        meet = (k, old)
-                        break
-            if meet or stop == len(text):
-                k, old = meet or (len(places), len(self.starts))
+            starts, counts = found.tolist(), np.diff(place).tolist() if len(found) else []
+            limit = len(text) if last else len(text) - LOOKAHEAD
+            sizes = [n for x in taken for n in x.sizes][head:]
+            bounds = (np.cumsum([0, *sizes]) + shift).tolist()  # old boundaries, where they are now
+            behind = {p: k for k, p in enumerate(bounds) if p >= end + shift - begin}
+            meet = next(((k, behind[p]) for k, p in enumerate(starts) if p in behind and p <= limit and behind[p] < len(sizes)), None)
+            if meet is None and last:
+                meet = (len(starts), len(sizes))
+            if meet is not None:
                 break
             reach *= 4
-        self.text = text
+        k, j = meet
         self.reencoded += k
-        self.starts[first:old] = places[:k]
-        self.counts[first:old] = sizes[:k]
-        tail = first + k
-        if shift:
-            self.starts[tail:] = [s + shift for s in self.starts[tail:]]
-        grown = k - (old - first)
-        leaf = max(0, min(bisect_right(self.bounds, first) - 1, len(self.bounds) - 2))
-        until = max(leaf, min(bisect_left(self.bounds, old) - 1, len(self.bounds) - 2))
-        if len(self.bounds) < 2:
-            self._build()
-            return
-        for b in range(leaf + 1, len(self.bounds)):  # leaves that the region spans share what came of it
-            self.bounds[b] = max(tail, self.bounds[b] + grown) if b > until else min(self.bounds[b], tail)
-        if max(self.bounds[b + 1] - self.bounds[b] for b in range(leaf, until + 1)) > 8 * LEAF:
-            self._build()
+        ends = [*starts[1:], len(text)]
+        fresh = [b - a for a, b in zip(starts[:k], ends[:k], strict=True)]
+        rest = [n for x in taken for n in x.counts][head + j :]
+        leaf_text = leaf.text[: begin - at] + text
+        self._replace(taken, leaf_text, leaf.sizes[:head] + fresh + sizes[j:], leaf.counts[:head] + counts[:k] + rest)
+
+    def _replace(self, taken: list[_Leaf], text: bytes, sizes: list[int], counts: list[int]) -> None:
+        """The taken leaves' content becomes this: in the first of them, and in new ones beside it if it is too much."""
+        first, after = taken[0], taken[-1].next
+        parents = {id(x.parent): x.parent for x in taken}
+        for x in taken[1:]:
+            x.parent.kids.remove(x)
+        step = len(sizes) if len(sizes) <= 2 * LEAF else LEAF
+        parts, at = [], 0
+        for k in range(0, max(1, len(sizes)), max(1, step)):
+            n = sum(sizes[k : k + step])
+            parts.append((text[at : at + n], sizes[k : k + step], counts[k : k + step]))
+            at += n
+        first.put(*parts[0])
+        row, place = [first], first.parent.kids.index(first)
+        for p in parts[1:]:
+            x = _Leaf(*p)
+            x.parent = first.parent
+            row.append(x)
+        first.parent.kids[place : place + 1] = row
+        for a, b in zip(row, [*row[1:], after], strict=True):
+            a.next = b
+        level = [p for p in parents.values()]
+        while level:  # sums, splits and removals, level by level to the root
+            above: dict[int, _Node] = {}
+            for node in level:
+                self.touched += 1
+                if not node.kids and node.parent is not None:
+                    node.parent.kids.remove(node)
+                elif len(node.kids) > 2 * FAN:
+                    self._split(node)
+                else:
+                    node.sum()
+                if node.parent is not None:
+                    above[id(node.parent)] = node.parent
+            level = list(above.values())
+
+    def _split(self, node: _Node) -> None:
+        groups = [node.kids[k : k + FAN] for k in range(0, len(node.kids), FAN)]
+        if node.parent is None:  # the root keeps its place
+            node.kids = [_Node(g) for g in groups]
+            for k in node.kids:
+                k.parent = node
+            node.sum()
+            if len(node.kids) > 2 * FAN:
+                self._split(node)
             return
-        for b in range(leaf, until + 1):
-            self._update(b)
+        node.kids = groups[0]
+        node.sum()
+        more = [_Node(g) for g in groups[1:]]
+        for m in more:
+            m.parent = node.parent
+        place = node.parent.kids.index(node)
+        node.parent.kids[place + 1 : place + 1] = more
 
 
-def _counter(ranks_path: str):
+def _packed(sizes: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate([np.asarray(sizes, dtype="<u4"), np.asarray(counts, dtype="<u4")]).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[list[int], list[int]]:
+    both = np.frombuffer(zlib.decompress(raw), dtype="<u4")
+    return both[: len(both) // 2].tolist(), both[len(both) // 2 :].tolist()
+
+
+def _grown(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks_path)
+        bpe = encoder(tokenizer)
         for batch in batches:
             buf, off = text_buffers(batch.column("text"))
-            rows = len(batch)
-            cols = {k: np.zeros(rows, dtype=np.int64) for k in ("n_pieces", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")}
+            n_pieces, n_tokens, trees = [], [], []
             for i, j in blocks(off, BLOCK_BYTES):
                 part, at = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 _, place, start, first = bpe.tokens(part, at)
-                cols["n_pieces"][i:j] = np.diff(first)
-                cols["n_tokens"][i:j] = cols["n_tokens_edited"][i:j] = np.diff(place[first])
-                hits = np.concatenate([[0], np.cumsum(_MAY_MATCH[part])])
-                counts = np.diff(place)
-                for d in np.flatnonzero(np.diff(hits[at])).tolist():
-                    text = part[at[d] : at[d + 1]].tobytes()
-                    edits = [(m.start(), m.end()) for m in SCRUB.finditer(text)]
-                    if not edits:
-                        continue
-                    a, b = first[d], first[d + 1]
-                    tree = TokenTree(text, start[a:b] - at[d], counts[a:b], bpe)
-                    for s, e in reversed(edits):
-                        tree.edit(s, e, PLACEHOLDER)
-                    cols["n_edits"][i + d], cols["n_tokens_edited"][i + d], cols["n_reencoded"][i + d] = len(edits), tree.total, tree.reencoded
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols.values())], ["doc_id", *cols])
+                sizes, counts = np.diff(np.append(start, len(part))), np.diff(place)
+                n_pieces.append(np.diff(first))
+                n_tokens.append(np.diff(place[first]))
+                trees += [_packed(sizes[a:b], counts[a:b]) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+            whole = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (n_pieces, n_tokens)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, whole), pa.array(trees, pa.binary())], ["doc_id", "text_hash", "n_pieces", "n_tokens", "tree"])
+
+    return run
+
+
+def _edited(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(tokenizer)
+        for batch in batches:
+            out: list[tuple] = []
+            for text, tree, edits in zip(batch.column("text").to_pylist(), batch.column("tree").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+                grown = TokenTree((text or "").encode(), *_unpacked(tree), bpe)
+                for e in sorted(edits, key=lambda e: e["begin"], reverse=True):
+                    grown.edit(e["begin"], e["end"], bytes(e["new"]))
+                out.append((grown.text.decode("utf-8", "replace"), _packed(grown.sizes(), grown.counts()), len(edits), grown.total, grown.reencoded))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_hash"), *columns], ["key", "text_hash", "text", "tree", "n_edits", "n_tokens_edited", "n_reencoded"])
 
     return run
 
 
-def token_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token counts of every text as it is and after its scrubbing edits."""
-    schema = "doc_id long, n_pieces long, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long"
-    return only(docs, doc_id=id_col, text=text_col).mapInArrow(_counter(ranks_path), schema)
+def _scrubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has something to scrub, with the edits."""
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("new", pa.binary())]))
+    for batch in batches:
+        buf, off = text_buffers(batch.column("text"))
+        hits = np.concatenate([[0], np.cumsum(_MAY_MATCH[buf])])
+        rows, edits = [], []
+        for d in np.flatnonzero(np.diff(hits[off])).tolist():
+            found = [{"begin": m.start(), "end": m.end(), "new": PLACEHOLDER} for m in SCRUB.finditer(buf[off[d] : off[d + 1]].tobytes())]
+            if found:
+                rows.append(d)
+                edits.append(found)
+        if rows:
+            some = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([some.column("key"), some.column("text_hash"), some.column("text"), pa.array(edits, kind)], ["key", "text_hash", "text", "edits"])
+
+
+_EDITS = "key long, text_hash long, text string, edits array<struct<begin:long,end:long,new:binary>>"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return only(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.coalesce("doc_id", F.lit(LAST_ID)))
+
+
+def token_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_pieces, n_tokens and tree (its pieces' sizes and counts) of every row."""
+    rows = _keyed(docs, id_col, text_col).select("doc_id", "text_hash", "text")
+    return rows.mapInArrow(_grown(tokenizer), "doc_id long, text_hash long, n_pieces long, n_tokens long, tree binary")
+
+
+def edited_trees(trees: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
+    """Text, tree and counts after the edits, which come as (key: doc_id or LAST_ID, text_hash, text, edits), one row a text."""
+    kept = trees.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("key"), "text_hash", "tree")
+    kept = kept.join(edits.select("key", "text_hash"), ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"])
+    return edits.join(kept, ["key", "text_hash"]).mapInArrow(_edited(tokenizer), "key long, text_hash long, text string, tree binary, n_edits long, n_tokens_edited long, n_reencoded long")
+
+
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token counts of every text as it is and after its scrubbing edits, which go to the kept trees."""
+    trees = written(token_trees(docs, tokenizer, id_col, text_col))
+    edits = _keyed(docs, id_col, text_col).select("key", "text_hash", "text").mapInArrow(_scrubs, _EDITS)
+    edits = written(edits.dropDuplicates(["key", "text_hash"]))
+    after = edited_trees(trees, edits, tokenizer).select("key", F.col("text_hash").alias("hash"), "n_edits", "n_tokens_edited", "n_reencoded")
+    rows = trees.select("doc_id", "text_hash", "n_pieces", "n_tokens").withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    joined = rows.join(after, (F.col("id") == F.col("key")) & (F.col("text_hash") == F.col("hash")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return joined.select("doc_id", "n_pieces", "n_tokens", zero("n_edits"), F.coalesce("n_tokens_edited", "n_tokens").alias("n_tokens_edited"), zero("n_reencoded"))
