@@ -3,8 +3,9 @@
 A text's features are its byte n-grams within words, hashed to buckets; their
 embeddings are averaged and a linear softmax names the language. It is trained
 by stochastic gradient descent in numpy on a bounded sample of the labelled rows
-(``SAMPLE_ROWS``, spread over the languages by hash; texts of over
-``SAMPLE_CHARS`` are left to prediction). A part of the sample is kept from
+(``SAMPLE_ROWS``, spread over the languages by hash; with more languages than that,
+those with the most rows), whose whole texts executors turn into counts of buckets.
+A part of the sample is kept from
 training to fit the softmax temperature and the score under which a prediction
 is rejected. As averaging and the linear layer commute, prediction needs one
 table of buckets x languages, whose size doesn't depend on the data; it is
@@ -33,7 +34,6 @@ WIDTH = 16
 EPOCHS = 4
 RATE = 0.5
 SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 20_000
 CALIBRATION_PERCENT = 20
 #: Accepted predictions of the calibration part are wrong at most this often.
 ACCEPTED_ERROR = 0.01
@@ -61,19 +61,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
-    """SGD on the sample's larger part, calibration on the rest."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> LanguageModel:
+    """SGD on the larger part of the sample's bags (buckets and their counts), calibration on the rest."""
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels], dtype=np.int64)
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels], dtype=np.int64)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    apart = order[: len(texts) * CALIBRATION_PERCENT // 100]
+    order = rng.permutation(len(bags))
+    apart = order[: len(bags) * CALIBRATION_PERCENT // 100]
     fit = order[len(apart) :]
-    bags = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), dtype=np.uint8)
-        bag = subwords(raw, np.array([0, len(raw)], dtype=np.int64), BUCKETS).index
-        bags.append(np.unique(bag, return_counts=True))
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     w, b = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     steps = max(1, EPOCHS * len(fit))
@@ -112,17 +108,34 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     return model
 
 
-def _sample(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """About ``SAMPLE_ROWS`` labelled texts, the same number a language where there are enough, chosen by hash."""
-    usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0) & (F.char_length("text") <= SAMPLE_CHARS))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not counts:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts as buckets with their counts."""
+    for batch in batches:
+        buf, off = text_buffers(batch.column("text"))
+        index, n = [], []
+        for i, j in blocks(off, BLOCK_BYTES):
+            bags = subwords(buf[off[i] : off[j]], off[i : j + 1] - off[i], BUCKETS)
+            for a, b in zip(bags.first.tolist(), bags.first[1:].tolist(), strict=False):
+                x, c = np.unique(bags.index[a:b], return_counts=True)
+                index.append(x.astype("<u2").tobytes())
+                n.append(c.astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(index, pa.binary()), pa.array(n, pa.binary())], ["place", "lang", "index", "n"])
+
+
+def _sample(rows: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Bags of about ``SAMPLE_ROWS`` labelled texts, the same number a language where there are enough, chosen by hash."""
+    usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")).orderBy(F.desc("of_lang"), "lang").limit(SAMPLE_ROWS)
+    found = counts.collect()
+    if not found:
         return [], []
-    each = max(1, SAMPLE_ROWS // len(counts))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in counts.items()], F.lit(0.0))
+    each = max(1, SAMPLE_ROWS // len(found))
+    few = rows.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, of_lang long")
     place = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    got = usable.filter(place < share).select("text", "lang").limit(2 * SAMPLE_ROWS).orderBy("lang", "text").collect()
-    return [r[0] for r in got], [r[1] for r in got]
+    chosen = usable.join(F.broadcast(few), "lang").withColumn("place", place).filter(F.col("place") * F.col("of_lang") < each)
+    bags = chosen.select("place", "lang", "text").mapInArrow(_bags, "place double, lang string, index binary, n binary")
+    got = bags.orderBy("place", "lang", "index", "n").limit(2 * SAMPLE_ROWS).collect()
+    return [(np.frombuffer(bytes(r[2]), dtype="<u2").astype(np.int64), np.frombuffer(bytes(r[3]), dtype="<u4").astype(np.int64)) for r in got], [r[1] for r in got]
 
 
 def _predictor(shared):
@@ -153,8 +166,8 @@ def _predictor(shared):
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted (the score is at or above the calibrated limit) of every row."""
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    texts, labels = _sample(rows)
-    model = train(texts, labels) if texts else None
+    bags, labels = _sample(rows)
+    model = train(bags, labels) if bags else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     asked = rows.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return asked.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

@@ -3,11 +3,12 @@
 P(grade > k) = sigmoid(w.x - t_k): one weight vector over hashed words and a few
 shape figures serves all grades, and ordered thresholds (first one free, the
 others by positive steps) separate them. Grades come from the labels: 0 toxic, 1
-poor, 2 good. The model gives the expected grade and the tail probability of a
-grade over 0, on which documents are selected. It is fitted by stochastic
-gradient descent on a bounded sample of the labelled rows (``SAMPLE_ROWS``, by
-hash; texts of over ``SAMPLE_CHARS`` are only scored). The weights have a
-fixed size and are broadcast; scoring reads whole texts, once, without a shuffle.
+poor, 2 good. The model gives the expected grade and the tail probabilities; documents
+are selected on the probability of the best grade, with a limit that is calibrated on
+labelled rows kept from training. It is fitted by stochastic gradient descent on a
+bounded sample of the labelled rows (``SAMPLE_ROWS``, by hash), whose whole texts
+executors turn into buckets. The weights have a fixed size and are broadcast; scoring
+reads whole texts, once, without a shuffle.
 
 Defined cases: null text counts as empty and gets the grade of no features; a
 label row with a null grade isn't learned from; without usable labels the weights
@@ -36,9 +37,10 @@ EPOCHS = 6
 RATE = 1.0
 DECAY = 1e-4
 SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 20_000
-#: Documents whose probability of a grade over 0 is below are not selected.
-SELECT_AT = 0.5
+#: Share of the sample that the selection limit is calibrated on.
+CALIBRATION_PERCENT = 20
+#: Documents whose probability of a grade over 0 is below are never selected.
+LEAST_TAIL = 0.5
 BLOCK_BYTES = 1 << 18
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[ord(c) for c in "#*$%&|<>!"]] = True
@@ -66,6 +68,20 @@ class OrdinalModel:
         self.shape = np.zeros(SHAPES)
         self.first, self.steps = -1.0, np.zeros(GRADES - 2)
         self.learned = np.zeros(BUCKETS, dtype=bool)
+        self.select_at = 0.5
+
+    def calibrate(self, score: np.ndarray, good: np.ndarray) -> None:
+        """Sets the limit on P(best grade) at which the shares of good rows kept and of others dropped are largest together."""
+        p = self.tails(score)[:, -1]
+        n_good, n_other = int(good.sum()), int((~good).sum())
+        if not n_good or not n_other:
+            return
+        rank = np.argsort(-p, kind="stable")
+        gain = np.cumsum(np.where(good[rank], 1 / n_good, -1 / n_other))
+        last = np.append(p[rank][1:] != p[rank][:-1], True)  # equal ones are selected together
+        best = int(np.argmax(np.where(last, gain, -np.inf)))
+        below = p[rank][best + 1] if best + 1 < len(p) else 0.0
+        self.select_at = float((p[rank][best] + below) / 2)
 
     @property
     def thresholds(self) -> np.ndarray:
@@ -107,13 +123,21 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], grades: list[int], seed: int = 11) -> OrdinalModel:
-    model, rng = OrdinalModel(), np.random.default_rng(seed)
-    rows = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), dtype=np.uint8)
-        bags, shapes = _features(raw, np.array([0, len(raw)], dtype=np.int64))
-        rows.append((np.unique(bags.index), shapes[0]))
+def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], seed: int = 11) -> OrdinalModel:
+    """Fits weights and thresholds on the larger part of the rows (distinct buckets, shape figures), the selection limit on the rest."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(rows)).tolist()
+    apart = order[: len(rows) * CALIBRATION_PERCENT // 100]
+    fit = order[len(apart) :]
+    model = _fitted([rows[d] for d in fit], [grades[d] for d in fit], rng)
+    if apart:
+        score = np.array([SCALE * model.w[i[model.learned[i]]].sum() + s @ model.shape for i, s in (rows[d] for d in apart)])
+        model.calibrate(score, np.array([grades[d] for d in apart]) == GRADES - 1)
+    return model
+
+
+def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rng: np.random.Generator) -> OrdinalModel:
+    model = OrdinalModel()
     y = np.array(grades)
     model.learned = _telling([i for i, _ in rows], y)
     rows = [(i[model.learned[i]], s) for i, s in rows]
@@ -150,6 +174,18 @@ def train(texts: list[str], grades: list[int], seed: int = 11) -> OrdinalModel:
     return model
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts as distinct buckets and shape figures."""
+    for batch in batches:
+        buf, off = text_buffers(batch.column("text"))
+        index, shape = [], []
+        for i, j in blocks(off, BLOCK_BYTES):
+            bags, shapes = _features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            index += [np.unique(bags.index[a:b]).astype("<u4").tobytes() for a, b in zip(bags.first.tolist(), bags.first[1:].tolist(), strict=False)]
+            shape += [x.astype("<f8").tobytes() for x in shapes]
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("grade"), pa.array(index, pa.binary()), pa.array(shape, pa.binary())], ["place", "grade", "index", "shape"])
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: OrdinalModel = shared.value
@@ -159,7 +195,7 @@ def _scorer(shared):
             for i, j in blocks(off, BLOCK_BYTES):
                 tails[i:j] = model.tails(model.score(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]), pa.array(tails[:, 0] >= SELECT_AT)],
+                [batch.column("doc_id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]), pa.array((tails[:, -1] >= model.select_at) & (tails[:, 0] >= LEAST_TAIL))],
                 ["doc_id", "expected_grade", "p_not_toxic", "p_good", "kept"],
             )
 
@@ -173,7 +209,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     graded = only(labels, doc_id=id_col, quality=quality_col, toxic=toxic_col).dropna().select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"))
     total = graded.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = graded.filter(place < min(1.0, SAMPLE_ROWS / max(1, total))).limit(2 * SAMPLE_ROWS)
-    got = rows.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS)).select("text", "grade").limit(2 * SAMPLE_ROWS).orderBy("grade", "text").collect()
-    model = train([r[0] for r in got], [r[1] for r in got])
+    chosen = graded.withColumn("place", place).filter(F.col("place") < min(1.0, SAMPLE_ROWS / max(1, total))).orderBy("place", "doc_id", "grade").limit(2 * SAMPLE_ROWS)
+    bags = rows.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("place", "grade", "text").mapInArrow(_bags, "place double, grade int, index binary, shape binary")
+    got = bags.orderBy("place", "grade", "index", "shape").limit(2 * SAMPLE_ROWS).collect()
+    model = train([(np.frombuffer(bytes(r[2]), dtype="<u4").astype(np.int64), np.frombuffer(bytes(r[3]), dtype="<f8")) for r in got], [r[1] for r in got])
     return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "doc_id long, expected_grade double, p_not_toxic double, p_good double, kept boolean")
