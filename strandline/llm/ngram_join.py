@@ -7,31 +7,35 @@
    The order puts shingles last whose counter in a corpus-wide sketch is high: a
    passage that many documents share then rarely stands in a prefix. The
    sketch has a fixed size and only steers the order, never the result.
-3. Prefix shingles meet by a shuffle. In a group of up to ``SMALL`` sets, pairs whose
+3. Prefix shingles meet by a shuffle, those alone left out by partial aggregates. In a
+   group of up to ``SMALL`` sets, pairs whose
    sizes and prefix bitmaps rule the needed overlap out are left. Of the others,
    those that look much alike join a forest of candidate edges, so a group of
    near copies gives as many edges as it has sets; for the doubtful ones the shared
    prefix shingles are counted: two linked sets must share so many of them that
    the rest of the set whose prefix ends first can make up for what is missing.
-   A larger group gives a star, which keeps it together in one cluster.
+   A larger group gives a star around its least set, by aggregates; it keeps it in one cluster.
 4. The clusters (components of the candidate edges) hold every link. Their texts
-   meet in tasks, where a signature tree - nodes with OR-combined bitmaps of
-   all tokens and size ranges - is traversed against itself; node pairs are left
-   out when their sizes, their largest possible overlap or an already common
-   component rule out news, and surviving pairs are verified on the exact sets. A
+   meet in tasks, where a signature tree is searched: sets in order of likeness
+   under nodes with OR-combined bitmaps of all tokens and size ranges, traversed
+   against itself; node pairs are left out when their sizes, their largest possible
+   overlap or an already common component rule out news, and surviving pairs are
+   verified on the exact sets. A
    cluster over ``BLOCK_SHINGLES`` is split into blocks whose pairs go to separate tasks.
    For links and their numbers the components rule nothing out, so every link is found.
 5. Components of the verified links, by alternating stars.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
-fewer than five words form one shingle; a null doc_id never names a component
-unless all copies lack an id; repeated rows are repeated in the result.
+fewer than five words form one shingle; rows without a doc_id are linked like
+others, but name no component, which has a null name if all its rows lack an id;
+repeated rows are repeated in the result.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import only, settled, written
+from strandline.llm.cluster import only, release, settled, spread_join, written
 from strandline.llm.components import components
 from strandline.llm.textbuf import U64, Words, mix, run_hashes, word_blocks
 
@@ -52,9 +56,12 @@ SIGNATURE_BITS = (512, 2048)
 SMALL = 512
 #: Bitmaps that allow this share of the smaller prefix make an edge without a count.
 ALIKE_PERCENT = 60
-BLOCK_SHINGLES = 1_500_000
-LEAF = 64
-FAN = 8
+BLOCK_SHINGLES = 1_000_000
+LEAF = 32
+FAN = 4
+#: Salts of the least hashes that order the tree.
+LIKENESS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+LAST_ID = (1 << 63) - 1
 
 
 def shingle_sets(w: Words, k: int = WORDS) -> Iterator[np.ndarray]:
@@ -95,11 +102,11 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 # --- first pass: sizes, set ids and the sketch -------------------------------------------------
 
-_SETS = "doc_id long, n long, sid long, chunk int, counts binary"
+_SETS = "doc_id long, text_hash long, n long, sid long, chunk int, counts binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "sid", "chunk", "counts"]
+    names = ["doc_id", "text_hash", "n", "sid", "chunk", "counts"]
     sketch = np.zeros(SLOTS, dtype=np.uint32)
     some = False
     for batch in batches:
@@ -111,11 +118,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(sketch, (s & U64(SLOTS - 1)).astype(np.int64), 1)
         some = some or len(n) > 0
         rows = len(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
     if some:
         parts = [zlib.compress(sketch[i : i + CHUNK].tobytes(), 1) for i in range(0, SLOTS, CHUNK)]
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,50 +201,18 @@ def _signatures(common_bits):
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
-    """Rows of each run of equal tokens, streamed; a group over ``SMALL`` comes in parts that share its first row."""
-    token, rows, part = None, [], 0
+    """Rows of each run of equal tokens, one per set."""
+    token, rows = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             if row[0] != token:
                 if len(rows) > 1:
-                    yield part, rows
-                token, rows, part = row[0], [row], 0
+                    yield rows
+                token, rows = row[0], [row]
             elif row[1] != rows[-1][1]:
                 rows.append(row)
-                if len(rows) > SMALL + (part > 0):
-                    part += 1
-                    yield part, rows
-                    rows = rows[:1]
     if len(rows) > 1:
-        yield part, rows
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings whose token stands in another set's prefix too (input sorted by token and set id)."""
-    held_t = held_s = None  # the last row, and whether it was given out
-    given = True
-    for batch in batches:
-        t = batch.column("token").to_numpy()
-        s = batch.column("sid").to_numpy()
-        if not len(t):
-            continue
-        if held_t is not None:
-            t, s = np.concatenate([[held_t], t]), np.concatenate([[held_s], s])
-        new = np.ones(len(t), dtype=bool)  # not a repeat of the row before
-        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        carried = held_t is not None
-        was_given = given
-        t, s = t[new], s[new]
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        last_out = bool(keep[-1]) or (len(t) == 1 and carried and was_given)
-        if carried and was_given:
-            keep[0] = False
-        held_t, held_s, given = t[-1], s[-1], last_out
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep])], ["token", "sid"])
+        yield rows
 
 
 class _Sparse:
@@ -274,22 +249,19 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         out.clear()
         return table
 
-    for part, rows in _groups(batches, ["token", "sid", "n", "sig"]):
+    for rows in _groups(batches, ["token", "sid", "n", "sig"]):
         if len(forest.up) > 1_000_000:
             forest.up.clear()
         if len(seen) > 500_000:
             seen.clear()
-        if part:  # a large group: a star around its first set
-            out += [(rows[0][1], r[1], True) for r in rows[1:] if forest.join(rows[0][1], r[1])]
-        else:
-            for i, j, alike in _possible(rows):
-                a, b = rows[i][1], rows[j][1]
-                if alike:
-                    if forest.join(a, b):
-                        out.append((a, b, True))
-                elif (a, b) not in seen and forest.find(a) != forest.find(b):
-                    seen.add((a, b))
-                    out.append((a, b, False))
+        for i, j, alike in _possible(rows):
+            a, b = rows[i][1], rows[j][1]
+            if alike:
+                if forest.join(a, b):
+                    out.append((a, b, True))
+            elif (a, b) not in seen and forest.find(a) != forest.find(b):
+                seen.add((a, b))
+                out.append((a, b, False))
         if len(out) > 20_000:
             yield flush()
     if out:
@@ -332,24 +304,42 @@ def _possible(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
 
 
 class SignatureTree:
-    """Sets in order of size under nodes that know their size range, OR-combined bitmap and largest bit collision excess."""
+    """Sets in order of likeness under nodes that know their size range, OR-combined bitmap and largest excess.
+
+    The excess is what a set has more than its bitmap has bits, so bits in common plus the lesser excess
+    bound an overlap. Bitmaps are packed; as leaves hold alike sets, few bits are set even in the union.
+    """
 
     def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets = sets
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        self.rows = np.zeros((len(sets), bits), dtype=np.float32)
+        self.rows = np.zeros((len(sets), bits // 64), dtype=np.uint64)
         for k, s in enumerate(sets):
-            self.rows[k, (s % U64(bits)).astype(np.int64)] = 1
-        self.excess = self.n - self.rows.sum(axis=1).astype(np.int64)
+            at = (s % U64(bits)).astype(np.int64)
+            np.bitwise_or.at(self.rows[k], at >> 6, U64(1) << (at & 63).astype(np.uint64))
+        self.excess = self.n - np.bitwise_count(self.rows).sum(axis=1, dtype=np.int64)
         self.levels: list[list[tuple[int, int]]] = [[(i, min(i + LEAF, len(sets))) for i in range(0, len(sets), LEAF)]]
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]
             self.levels.append([(below[i][0], below[min(i + FAN, len(below)) - 1][1]) for i in range(0, len(below), FAN)])
-        self.masks = [[self.rows[a:b].max(axis=0) for a, b in level] for level in self.levels]
+        self.masks = [[np.bitwise_or.reduce(self.rows[a:b], axis=0) for a, b in level] for level in self.levels]
+        self.least = [[int(self.n[a:b].min()) for a, b in level] for level in self.levels]
+        self.most = [[int(self.n[a:b].max()) for a, b in level] for level in self.levels]
+        self.spare = [[int(self.excess[a:b].max()) for a, b in level] for level in self.levels]
 
     def children(self, level: int, k: int) -> range:
         return range(k * FAN, min((k + 1) * FAN, len(self.levels[level - 1])))
 
+    def sizes_fit(self, level: int, p: int, q: int) -> bool:
+        least, most = self.least[level], self.most[level]
+        return most[p] * 100 >= PERCENT * least[q] and most[q] * 100 >= PERCENT * least[p]
+
+    def may_overlap(self, level: int, p: int, q: int) -> bool:
+        """Whether the largest possible overlap of two sets below the nodes is enough for the least needed one."""
+        n, m = self.least[level][p], self.least[level][q]
+        wanted = max(needed(n, m), -(-PERCENT * max(n, m) // 100))
+        common = int(np.bitwise_count(self.masks[level][p] & self.masks[level][q]).sum())
+        return common + min(self.spare[level][p], self.spare[level][q]) >= wanted
+
 
 class Forest:
     """Union-find."""
@@ -378,34 +368,55 @@ class Forest:
         return True
 
 
-def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None, every: bool = False) -> Iterator[tuple[int, int]]:
-    """Links that span the components of the sets (indices), or every link; with sides, only links between different ones count."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
+def _likeness(sets: list[np.ndarray]) -> np.ndarray:
+    """An order in which sets with much in common lie together: by groups that least hashes tie, then by size.
+
+    Sets with a similarity of s agree in one least hash with probability s, and almost surely in one of several.
+    """
+    size = np.array([len(s) for s in sets])
+    flat, first = np.concatenate(sets), np.cumsum(size) - size
+    groups = Forest(len(sets))
+    for salt in LIKENESS:
+        least = np.minimum.reduceat(mix(flat ^ U64(salt)), first)
+        order = np.argsort(least, kind="stable")
+        for k in np.flatnonzero(least[order][1:] == least[order][:-1]).tolist():
+            groups.join(int(order[k]), int(order[k + 1]))
+    return np.lexsort((size, groups.flat()))
+
+
+def tree_join(sets: list[np.ndarray], side: np.ndarray | None = None, every: bool = False, tally: Counter | None = None) -> Iterator[tuple[int, int]]:
+    """Links that span the components of the sets (indices), or every link; with sides, only links between different ones count.
+
+    ``tally`` counts the node pairs met, and those left out by size and by overlap.
+    """
+    tally = Counter() if tally is None else tally
+    order = _likeness(sets)
     sets = [sets[k] for k in order.tolist()]
-    most = max(map(len, sets))
-    bits = 1 << min(14, max(9, (4 * most).bit_length()))
+    usual = int(np.quantile([len(s) for s in sets], 0.95))  # larger sets just have more excess
+    bits = 1 << min(15, max(9, (8 * usual).bit_length()))
     tree, forest = SignatureTree(sets, bits), Forest(len(sets))
     sides = None if side is None else np.asarray(side)[order]
     todo = [(len(tree.levels) - 1, 0, 0)]
     while todo:
         level, p, q = todo.pop()
         (a, b), (c, d) = tree.levels[level][p], tree.levels[level][q]
-        if tree.n[b - 1] * 100 < PERCENT * tree.n[c]:
+        tally["met"] += 1
+        if not tree.sizes_fit(level, p, q):
+            tally["size"] += 1
             continue
-        least = needed(tree.n[a], max(tree.n[c], tree.n[a]))
-        most_common = float(np.minimum(tree.masks[level][p], tree.masks[level][q]).sum())
-        if p != q and min(most_common + max(tree.excess[a:b].max(), 0), most_common + max(tree.excess[c:d].max(), 0)) < least:
+        if p != q and not tree.may_overlap(level, p, q):
+            tally["overlap"] += 1
             continue
         up = forest.flat()
         if not every and up[a] == up[c] and (up[a:b] == up[a]).all() and (up[c:d] == up[a]).all():
             continue
         if level:
-            todo += [(level - 1, i, j) for i in tree.children(level, p) for j in tree.children(level, q) if i <= j]
+            todo += [(level - 1, i, j) for i in tree.children(level, p) for j in tree.children(level, q) if p != q or i <= j]
             continue
-        common = tree.rows[a:b] @ tree.rows[c:d].T
-        bound = np.minimum(common + tree.excess[a:b, None], common + tree.excess[None, c:d])
+        common = np.bitwise_count(tree.rows[a:b, None] & tree.rows[None, c:d]).sum(axis=2, dtype=np.int64)
+        bound = common + np.minimum(tree.excess[a:b, None], tree.excess[None, c:d])
         n, m = tree.n[a:b, None], tree.n[None, c:d]
-        ok = bound >= needed(n, m)
+        ok = bound >= np.maximum(needed(n, m), -(-PERCENT * np.maximum(n, m) // 100))
         if not every:
             ok &= up[a:b, None] != up[None, c:d]
         if p == q:
@@ -449,37 +460,44 @@ def _cluster_links(every: bool):
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every row, (sid, doc_id, n) of every set, and the links (a, b) of sets: every one, or such that span the components."""
+    """(doc_id, text_hash, n, sid) of every row, (sid, doc_id, n) of every set, and the links (a, b) of sets: every one, or such that span the components."""
     spark = docs.sparkSession
-    rows = only(docs, doc_id=id_col, text=text_col)
+    rows = only(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
     first = written(rows.mapInArrow(_first_pass, _SETS))
-    sets = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "sid")
+    sets = first.filter(F.col("n").isNotNull()).select("doc_id", "text_hash", "n", "sid")
     common = spark.sparkContext.broadcast(common_slots(first.filter(F.col("chunk").isNotNull()).select("chunk", "counts")))
 
-    postings = rows.select("text").mapInArrow(_postings(common), "token long, sid long").repartition("token").sortWithinPartitions("token", "sid")
-    shared = settled(postings.mapInArrow(_shared, "token long, sid long"))
+    postings = rows.select("text").mapInArrow(_postings(common), "token long, sid long")
+    tokens = postings.groupBy("token").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.count(F.lit(1)).alias("rows")).filter("least < most")
+    tokens = written(tokens.select("token", "least", (F.col("rows") > SMALL).alias("large"), "rows"))
+    shared = written(spread_join(postings, tokens, ["token"], "rows"))
+    release(spark)
     signed = settled(rows.select("text").mapInArrow(_signatures(common), "sid long, n long, sig binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
-    near = shared.join(signed, "sid").select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token", "sid")
+    near = shared.filter("not large").join(signed, "sid").select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token", "sid")
+    stars = shared.filter("large and sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
     edges = settled(near.mapInArrow(_candidate_edges, "a long, b long, sure boolean"))
     doubtful = edges.filter("not sure").select("a", "b").distinct()
-    known = shared.groupBy("sid").agg(F.collect_list("token").alias("tokens")).join(signed, "sid").select("sid", "tokens", "n", F.substring("sig", 1, 8).alias("end"))
+    known = shared.groupBy("sid").agg(F.collect_set("token").alias("tokens")).join(signed, "sid").select("sid", "tokens", "n", F.substring("sig", 1, 8).alias("end"))
     left = known.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"), F.col("end").alias("ea"))
     right = known.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"), F.col("end").alias("eb"))
     rest = lambda n: F.ceil(n * PERCENT / 100) - 1
     most = F.size(F.array_intersect("ta", "tb")) + F.when(F.col("ea") <= F.col("eb"), rest(F.col("na"))).otherwise(rest(F.col("nb")))
     counted = doubtful.join(left, "a").join(right, "b").filter(most >= F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))).select("a", "b")
-    labels = components(edges.filter("sure").select("a", "b").unionByName(counted))
-
-    of_set = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = of_set.join(labels, F.col("sid") == F.col("node")).select("sid", "doc_id", "n", "label")
-    sizes = members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("k"))
-    placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("k")))
+    labels = components(edges.filter("sure").select("a", "b").unionByName(stars).unionByName(counted))
+
+    # a set is named by its least doc_id, and its text found by that and the text's hash
+    named = F.coalesce("doc_id", F.lit(LAST_ID))
+    of_set = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", named).alias("text_hash"), F.first("n").alias("n"))
+    members = settled(of_set.join(labels, F.col("sid") == F.col("node")).select("sid", named.alias("key"), "text_hash", "n", "label"))
+    sizes = written(members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("k"), F.count(F.lit(1)).alias("members")))
+    placed = spread_join(members, sizes, ["label"], "members").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("k")))
     # block i meets every block j in task (least, greatest)
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        "sid", "doc_id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "sid", "key", "text_hash", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    texts = rows.filter(F.col("doc_id").isNotNull()).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    links = dealt.join(texts, "doc_id").select("label", "i", "j", "block", "sid", "text").groupBy("label", "i", "j").applyInArrow(_cluster_links(every), "a long, b long")
+    texts = rows.select(named.alias("key"), "text_hash", "text").join(members.select("key", "text_hash"), ["key", "text_hash"], "left_semi")
+    texts = texts.groupBy("key", "text_hash").agg(F.first("text").alias("text"))
+    links = dealt.join(texts, ["key", "text_hash"]).select("label", "i", "j", "block", "sid", "text").groupBy("label", "i", "j").applyInArrow(_cluster_links(every), "a long, b long")
     return sets, of_set, links
 
 
@@ -491,8 +509,9 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; on request also n_links, the number of other rows linked with it."""
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; on request also n_links, the number of other rows linked with it, and the text_hash that tells rows of one id apart."""
+    own = ["doc_id", *["text_hash"] * with_hash]
     sets, of_set, links = _linked(docs, id_col, text_col, with_links)
     if with_links:
         links = written(links)
@@ -500,13 +519,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     named = of_set.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = settled(named.join(least, "label").select("sid", "component_id"))
-    linked = sets.filter("n > 0").join(component, "sid")
-    blank = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    if not with_links:
-        return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(blank)
     rows = sets.filter("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("rows"))
+    component = written(named.join(least, "label").join(rows, "sid").select("sid", "component_id", "rows"))
+    linked = spread_join(sets.filter("n > 0"), component, ["sid"], "rows")
+    blank = sets.filter("n = 0").select(*own, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not with_links:
+        return linked.select(*own, F.col("n").alias("n_shingles"), "component_id").unionByName(blank)
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ends.join(rows.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("others"))
     counts = rows.join(others, "sid", "left").select("sid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return linked.join(counts, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(blank.withColumn("n_links", F.lit(0).cast("long")))
+    return linked.join(counts, "sid").select(*own, F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(blank.withColumn("n_links", F.lit(0).cast("long")))
