@@ -19,10 +19,31 @@ def read_json_lenient(spark: SparkSession, path: str, order: str = "$.clip_id")
     return files.filter(F.col("clip").isNotNull()).withColumn("clip_id", F.coalesce(F.try_variant_get("clip", order, "long"), F.lit(0)))
 
 
+def _no_nan(c: Column, kind: T.DataType, at: str) -> Column | None:
+    """The column with a check of every number below it, or None if it holds none."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        odd = F.isnan(c) | (F.abs(c) == float("inf"))
+        return F.when(odd, F.raise_error(F.lit(f"NaN or infinity in {at}")).cast(kind)).otherwise(c)
+    if isinstance(kind, T.ArrayType):
+        if _no_nan(F.lit(None).cast(kind.elementType), kind.elementType, at) is not None:
+            return F.transform(c, lambda x: _no_nan(x, kind.elementType, at))
+    if isinstance(kind, T.MapType):
+        if _no_nan(F.lit(None).cast(kind.valueType), kind.valueType, at) is not None:
+            return F.transform_values(c, lambda _, x: _no_nan(x, kind.valueType, at))
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, _no_nan(c[f.name], f.dataType, f"{at}.{f.name}")) for f in kind.fields]
+        if any(x is not None for _, x in parts):
+            return F.when(c.isNotNull(), F.struct(*[(c[n] if x is None else x).alias(n) for n, x in parts]))
+    return None
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines; a NaN anywhere in a numeric column fails the job."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    checked = [F.when(F.isnan(c), F.raise_error(F.lit(f"NaN in {c}"))).otherwise(F.col(c)).alias(c) if c in doubles else F.col(c) for c in df.columns]
+    """JSON lines; a NaN or infinity anywhere, in lists, maps and structs too, fails the job, and so does a path that exists."""
+    checked = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        found = _no_nan(c, f.dataType, f.name)
+        checked.append((c if found is None else found).alias(f.name))
     df.select(*checked).write.mode("errorifexists").json(path)
 
 
@@ -54,7 +75,12 @@ def inventory(lines: DataFrame) -> DataFrame:
 
 def reply_chunks(spark: SparkSession, path: str) -> DataFrame:
     """`data:` lines of reply streams in order: text, whether it is thought, cumulative token counts."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("chunk_no", "line"))
+    return chunks_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
+
+
+def chunks_of(files: DataFrame) -> DataFrame:
+    """The chunks of whole reply files (path, value), of a table or of a stream."""
+    raw = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("chunk_no", "line"))
     body = raw.filter(F.startswith("line", F.lit("data:"))).withColumn("v", F.try_parse_json(F.regexp_replace("line", r"^data:\s*", ""))).filter(F.col("v").isNotNull())
     parts = F.try_variant_get("v", "$.candidates[0].content.parts", "array<struct<text:string,thought:boolean>>")
     text = F.array_join(F.transform(F.filter(parts, lambda p: ~F.coalesce(p["thought"], F.lit(False))), lambda p: F.coalesce(p["text"], F.lit(""))), "")
@@ -70,11 +96,22 @@ def replies(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(bare.alias("payload"), F.count(F.lit(1)).alias("chunks"), last("tokens_in"), last("tokens_out"), last("tokens_thought"))
 
 
-def cached(requests: DataFrame, cache: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Distinct texts that the vector cache has, and those that are to be fetched; keys are SHA-1."""
-    keyed = requests.select(text).distinct().withColumn("key", F.sha1(text))
+def cache_key(text: Column, model: str = "", dim: int = 0) -> Column:
+    """The key of a text's vector: SHA-1, with model and width in front where they are given."""
+    return F.concat_ws("|", F.lit(model), F.lit(str(dim)), F.sha1(text)) if model else F.sha1(text)
+
+
+def cached(requests: DataFrame, cache: DataFrame, text: str = "text", model: str = "", dim: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts that the vector cache has, and those that are to be fetched."""
+    keyed = requests.select(text).distinct().withColumn("key", cache_key(F.col(text), model, dim))
     return keyed.join(cache, "key"), keyed.join(cache, "key", "left_anti")
 
 
+def cache_put(cache: DataFrame, fresh: DataFrame, path: str) -> DataFrame:
+    """The cache (key, vector) with the fresh rows in the place of those of the same key, written as a new table."""
+    cache.join(fresh, "key", "left_anti").unionByName(fresh.dropDuplicates(["key"])).write.mode("errorifexists").parquet(path)
+    return cache.sparkSession.read.parquet(path)
+
+
 def batch_requests(df: DataFrame, key: str, prompt: str) -> DataFrame:
     return df.select(F.to_json(F.struct(F.col(key).cast("string").alias("key"), F.struct(F.col(prompt).alias("prompt")).alias("request"))).alias("value"))
