@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.text import recording_day, seconds_of, strip, time_range
+from strandline.operators import joins
+
 # Dollars per million tokens.
 INPUT_PRICE, OUTPUT_PRICE = 0.75, 3.75
 
@@ -26,9 +29,18 @@ def truthy(*choices: Column) -> Column:
 
 
 def segments(clips: DataFrame, keep: Sequence[str], array: str) -> DataFrame:
-    """One row per segment that has a start, an end and an action."""
+    """One row per segment (time_range, action, ...) that has a start, an end and an action; start and end come from the range."""
     rows = clips.select(*keep, F.posexplode(array).alias("segment_no", "segment")).select(*keep, "segment_no", "segment.*")
-    return rows.filter((F.col("start") != "") & (F.col("end") != "") & (F.regexp_replace("action", r"(?U)^\s+|\s+$", "") != ""))
+    span = time_range(F.col("time_range"))
+    rows = rows.withColumn("start", span["start"]).withColumn("end", span["end"]).withColumn("action", strip(F.col("action")))
+    return rows.filter((F.col("start") != "") & (F.col("end") != "") & (F.col("action") != ""))
+
+
+def event_lines(found: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Event lines of segments, numbered in the order of their start strings; ties keep the given order."""
+    w = Window.partitionBy(*by).orderBy("start", *order)
+    line = F.concat(F.lit("["), "start", F.lit(" -> "), "end", F.lit("] "), "action")
+    return found.select(*by, (F.row_number().over(w) - 1).alias("line_no"), line.alias("line"))
 
 
 def cost(tokens_in: Column, tokens_out: Column, thinking: Column, digits: int = 4) -> Column:
@@ -81,10 +93,113 @@ def without_private(m: Column) -> Column:
 
 
 def dense_frames(df: DataFrame, by: Sequence[str], order: str, text: str, least: int = 40, fallback: int = 4) -> DataFrame:
-    """Frames with enough text; the first ones of a group that has none."""
-    from pyspark.sql import Window
-
-    dense = F.char_length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s", "")) >= least
+    """Frames with enough text; the first ones of a group without any text at all."""
+    solid = F.char_length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s", ""))
     w = Window.partitionBy(*by)
-    rows = df.withColumn("dense", dense).withColumn("any_dense", F.max(dense).over(w)).withColumn("place", F.row_number().over(w.orderBy(order)))
-    return rows.filter(F.col("dense") | (~F.col("any_dense") & (F.col("place") <= fallback))).drop("dense", "any_dense", "place")
+    rows = df.withColumn("_solid", solid).withColumn("_any", F.max(F.col(text) != "").over(w)).withColumn("_place", F.row_number().over(w.orderBy(order)))
+    return rows.filter((F.col("_solid") >= least) | (~F.coalesce("_any", F.lit(False)) & (F.col("_place") <= fallback))).drop("_solid", "_any", "_place")
+
+
+def strided(df: DataFrame, by: Sequence[str], order: str, step: int) -> DataFrame:
+    """Every step-th row from the first one."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return df.withColumn("_place", place).filter((F.col("_place") - 1) % step == 0).drop("_place")
+
+
+def strictly_ok(clips: DataFrame, clip: str) -> DataFrame:
+    """Adds state to variants: kept for objects whose ok is the boolean true, failed for all others."""
+    v = F.col(clip)
+    ok = F.try_variant_get(v, "$.ok", "variant")
+    fine = (F.schema_of_variant(v).startswith("OBJECT")) & (F.schema_of_variant(ok) == "BOOLEAN") & F.try_variant_get(v, "$.ok", "boolean")
+    return clips.withColumn("state", F.when(F.coalesce(fine, F.lit(False)), "kept").otherwise("failed"))
+
+
+def counts_by(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_comparison(clips: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per model over its ok clips: means of what their segments hold, tokens, latency and cost a clip.
+
+    ``clips`` has (model, ok, segments, tokens_in, tokens_out, seconds); ``prices`` (model, price_in, price_out) in dollars
+    per million tokens. Models without an ok clip are left out.
+    """
+    length = lambda x: F.char_length(F.coalesce(x.cast("string"), F.lit("")))
+    items = lambda x: F.coalesce(F.size(x), F.lit(0))
+    total = lambda of: F.aggregate(F.coalesce("segments", F.array().cast(clips.schema["segments"].dataType)), F.lit(0).cast("long"), lambda a, s: a + of(s))
+    figures = {
+        "n_segments": total(lambda s: F.lit(1)),
+        "speech": total(lambda s: F.when(F.coalesce(s["speech"], F.lit("")) != "", 1).otherwise(0)),
+        "text_items": total(lambda s: items(s["text_visible"])),
+        "objects": total(lambda s: items(s["objects"])),
+        "chars": total(lambda s: length(s["action"]) + length(s["details"]) + length(s["environment"])),
+    }
+    rows = clips.filter(ok_truthy(F.col("ok"))).select("model", *[c.alias(k) for k, c in figures.items()], F.coalesce("tokens_in", F.lit(0)).alias("tin"), F.coalesce("tokens_out", F.lit(0)).alias("tout"), "seconds")
+    n = F.count(F.lit(1))
+    per = rows.groupBy("model").agg(n.alias("clips"), *[F.round(F.sum(k) / n, 1).alias(k) for k in figures], F.sum("tin").alias("tin"), F.sum("tout").alias("tout"), F.round(F.sum("seconds") / n, 1).alias("seconds"))
+    priced = per.join(prices, "model", "left")
+    price = lambda c, usual: F.coalesce(c, F.lit(usual))
+    each = F.col("tin") / F.col("clips") / 1e6 * price("price_in", INPUT_PRICE) + F.col("tout") / F.col("clips") / 1e6 * price("price_out", OUTPUT_PRICE)
+    return priced.select("model", "clips", *figures, F.expr("tin div clips").alias("tokens_in"), F.expr("tout div clips").alias("tokens_out"), "seconds", F.round(each, 4).alias("cost_per_clip"))
+
+
+def cost_by_wave(totals: DataFrame, moved: Sequence[str], first_of_second: str, year: int, prefix: int = 28) -> DataFrame:
+    """Cost, clips and ok clips of both waves: recordings named in ``moved`` (whole or by a prefix) are of wave B, others by day."""
+    wave = joins.in_either_prefix(F.col("recording"), moved, prefix)
+    day = recording_day(F.col("recording"), year)
+    rows = totals.withColumn("wave", F.when(wave, "B").when(day < first_of_second, "A").otherwise("B"))
+    return rows.groupBy("wave").agg(F.sum("usd").alias("usd"), F.sum("clips").alias("clips"), F.sum("ok").alias("ok"))
+
+
+def models_by_scene(results: DataFrame, order: str) -> DataFrame:
+    """The models of each scene's results without an error, in the order of arrival."""
+    fine = results.filter(F.coalesce(F.col("error"), F.lit("")) == "")
+    return fine.groupBy("scene").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "model"))), lambda x: x["model"]).alias("models"))
+
+
+def readings(crops: DataFrame, by: Sequence[str], order: str, clip_end: str) -> DataFrame:
+    """Crop readings (hkt, label, summary, text) grouped by time, each holding until the next one, the last to the clip's end or for a second.
+
+    Gives start, end, action (the distinct labels), objects and text_visible; times of another form are left out.
+    """
+    fine = crops.withColumn("hkt", strip(F.col("hkt"))).filter(F.col("hkt").rlike(r"^\d{1,2}:\d{2}:\d{2}$")).withColumn("label", F.coalesce("label", F.lit("screen")))
+    said = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.array(F.concat(F.lit("["), "label", F.lit("] "), "summary"))).otherwise(F.array().cast("array<string>"))
+    row = F.struct(order, "label", F.concat(said, F.coalesce("text", F.array().cast("array<string>"))).alias("lines"))
+    groups = fine.groupBy(*by, "hkt", clip_end).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    following = F.lead("hkt").over(Window.partitionBy(*by).orderBy("hkt"))
+    until = F.coalesce(following, F.nullif(F.substring(F.col(clip_end), -8, 8), F.lit("")), F.col("hkt"))
+    a_second = seconds_of(F.col("hkt")) + 1
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    later = F.concat_ws(":", two(F.floor(a_second / 3600) % 24), two(F.floor(a_second / 60) % 60), two(a_second % 60))
+    labels = F.array_distinct(F.transform("rows", lambda r: r["label"]))
+    return groups.withColumn("until", until).select(
+        *by, F.col("hkt").alias("start"), F.when(F.col("until") <= F.col("hkt"), later).otherwise(F.col("until")).alias("end"), F.array_join(labels, " / ").alias("action"), labels.alias("objects"),
+        F.flatten(F.transform("rows", lambda r: r["lines"])).alias("text_visible"),
+    )
+
+
+def coverage(done: DataFrame, total: DataFrame, on: str) -> DataFrame:
+    """One row: ok/total as text, and both numbers."""
+    ok, n = done.select(on).distinct().agg(F.count(F.lit(1)).alias("ok")), total.agg(F.count(F.lit(1)).alias("total"))
+    one = ok.withColumn("_", F.lit(1)).join(n.withColumn("_", F.lit(1)), "_")
+    return one.select(F.concat_ws("/", F.col("ok").cast("string"), F.col("total").cast("string")).alias("coverage"), "ok", "total")
+
+
+def best_match(wanted: DataFrame, results: DataFrame, order: str) -> DataFrame:
+    """For each (scene, hint) the first result (scene, model, content) of its scene and model, else of its scene, else the first of all.
+
+    Scenes match if one name holds the other; a missing hint fits every model. ``wanted`` is the small side: scenes that someone asks for.
+    """
+    asked = wanted.select("scene", "hint").distinct()
+    same = F.contains(F.col("r.scene"), F.col("w.scene")) | F.contains(F.col("w.scene"), F.col("r.scene"))
+    model = (F.coalesce(F.col("w.hint"), F.lit("")) == "") | F.contains(F.lower("r.model"), F.lower("w.hint"))
+    pairs = asked.alias("w").join(results.alias("r"), same, "left").withColumn("fit", F.when(F.col("r.scene").isNull(), 0).when(model, 2).otherwise(1))
+    found = pairs.groupBy(F.col("w.scene").alias("scene"), F.col("w.hint").alias("hint")).agg(F.max("fit").alias("fit"), F.max_by(F.col("r.content"), F.struct("fit", -F.col(f"r.{order}"))).alias("content"))
+    first = results.agg(F.min_by("content", order).alias("any")).withColumn("_", F.lit(1))
+    return found.withColumn("_", F.lit(1)).join(first, "_").select("scene", "hint", F.when(F.col("fit") > 0, F.col("content")).otherwise(F.col("any")).alias("content"))
+
+
+def latest_file(files: DataFrame, name: str, prefixes: Sequence[str]) -> DataFrame:
+    """The last name of the first prefix that any file has."""
+    rank = F.coalesce(*[F.when(F.startswith(F.col(name), F.lit(p)), k) for k, p in enumerate(prefixes)])
+    return files.withColumn("_rank", rank).filter("_rank is not null").orderBy("_rank", F.desc(name)).limit(1).drop("_rank")
