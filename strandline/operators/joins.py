@@ -23,27 +23,83 @@ def overlap(left: DataFrame, right: DataFrame, key: Sequence[str], l: tuple[str,
 
 
 def containing(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str, span: tuple[str, str], order: str, bucket: int) -> DataFrame:
-    """The first span by ``order`` that holds the point (start <= t < end), none as null."""
-    s = spans.withColumn("bucket", _buckets(*span, bucket))
-    p = points.withColumn("bucket", F.floor(F.col(at) / bucket))
-    hits = p.join(s, [*key, "bucket"]).filter((F.col(span[0]) <= F.col(at)) & (F.col(at) < F.col(span[1])))
+    """The first span by ``order`` that holds the point (start <= t < end), none as null. Points that agree in all columns are alike."""
     cols = [c for c in spans.columns if c not in key]
-    first = hits.groupBy(*points.columns).agg(F.min_by(F.struct(*cols), F.col(order)).alias("hit"))
-    return points.join(first, points.columns, "left").select(*points.columns, *[F.col(f"hit.{c}").alias(c) for c in cols])
+    s = spans.select(*key, F.struct(*cols).alias("_span")).withColumn("_bucket", _buckets(f"_span.{span[0]}", f"_span.{span[1]}", bucket))
+    p = points.distinct().withColumn("_point", F.struct(*points.columns)).select(*key, F.col(at).alias("_at"), "_point").withColumn("_bucket", F.floor(F.col("_at") / bucket))
+    hits = p.join(s, [*key, "_bucket"]).filter((F.col(f"_span.{span[0]}") <= F.col("_at")) & (F.col("_at") < F.col(f"_span.{span[1]}")))
+    first = hits.groupBy("_point").agg(F.min_by("_span", F.col(f"_span.{order}")).alias("_hit"))
+    # structs with null parts are equal to one another
+    return points.withColumn("_point", F.struct(*points.columns)).join(first, "_point", "left").select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in cols])
+
+
+def nearest(points: DataFrame, marks: DataFrame, key: Sequence[str], at: str, mark: str, item: str, bucket: int = 86_400) -> DataFrame:
+    """Item of the mark closest in time, the earlier one on ties; null without any mark of the key.
+
+    Time is cut into buckets. Windows find the last mark before and the first one after within a
+    bucket; the edges of the buckets, one row each, carry the marks of other buckets over, so a
+    key with many rows is as many small groups.
+    """
+    place = lambda c: F.floor(F.col(c) / bucket).alias("_bucket")
+    pair = F.struct(F.col(mark).alias("m"), F.col(item).alias("it"))
+    m = marks.select(*key, place(mark), F.col(mark).alias("_t"), pair.alias("_pair"))
+    rows = points.select(*key, place(at), F.col(at).alias("_t"), F.struct(*points.columns).alias("_row"))
+    edges = m.groupBy(*key, "_bucket").agg(F.min_by("_pair", "_pair").alias("_first"), F.max_by("_pair", F.struct("_t")).alias("_last"))
+    held = edges.unionByName(rows.select(*key, "_bucket").distinct(), allowMissingColumns=True).groupBy(*key, "_bucket").agg(F.first("_first", True).alias("_first"), F.first("_last", True).alias("_last"))
+    along = Window.partitionBy(*key).orderBy("_bucket")
+    carried = held.select(
+        *key, "_bucket",
+        F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(m.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*key, "_bucket").orderBy("_t", "_kind")
+    seen = both.withColumn("_b", F.last("_pair", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first("_pair", True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("_kind = 1")
+    same = F.lit(True)
+    other = carried
+    for k in key:
+        other = other.withColumnRenamed(k, f"_of_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    met = seen.join(other.withColumnRenamed("_bucket", "_of"), same & (F.col("_bucket") == F.col("_of")), "left")
+    before, after = F.coalesce("_b", "_earlier"), F.coalesce("_a", "_later")
+    closer = after.isNotNull() & (before.isNull() | ((after["m"] - F.col("_t")) < (F.col("_t") - before["m"])))
+    found = met.select("_row", F.when(closer, after["it"]).otherwise(before["it"]).alias("_item"))
+    return found.select("_row.*", F.col("_item").alias(item))
 
 
-def nearest(points: DataFrame, marks: DataFrame, key: Sequence[str], at: str, mark: str, item: str) -> DataFrame:
-    """Item of the mark closest in time, the earlier one on ties, without a range join: last before and first after."""
-    both = points.select(*points.columns, F.lit(None).cast(marks.schema[mark].dataType).alias("m"), F.lit(None).cast(marks.schema[item].dataType).alias("it"), F.col(at).alias("t"), F.lit(1).alias("kind")).unionByName(
-        marks.select(*key, F.col(mark).alias("m"), F.col(item).alias("it"), F.col(mark).alias("t"), F.lit(0).alias("kind")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*key)
-    pair = F.when(F.col("kind") == 0, F.struct("m", "it"))
-    before = F.last(pair, True).over(w.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(pair, True).over(w.orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing))
-    rows = both.withColumn("b", before).withColumn("a", after).filter("kind = 1")
-    closer = F.col("a.m").isNotNull() & (F.col("b.m").isNull() | ((F.col("a.m") - F.col(at)) < (F.col(at) - F.col("b.m"))))
-    return rows.select(*points.columns, F.when(closer, F.col("a.it")).otherwise(F.col("b.it")).alias(item))
+def containing_or_nearest(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str, span: tuple[str, str], item: str, bucket: int) -> DataFrame:
+    """Item of the first span by start that holds the point, else of the span whose start is nearest."""
+    s = spans.select(*key, *span, F.col(item).alias("_held"), F.col(item).alias("_near"))
+    held = containing(points, s.select(*key, *span, "_held"), key, at, span, span[0], bucket).drop(*span)
+    out = nearest(held, s.select(*key, F.col(span[0]).alias("_start"), "_near"), key, at, "_start", "_near", bucket)
+    return out.select(*points.columns, F.coalesce("_held", "_near").alias(item))
+
+
+def first_containing_text(frames: DataFrame, texts: DataFrame, key: Sequence[str], part: str, text: str, order: str) -> DataFrame:
+    """For each frame the first text of its key that holds the frame's ``part`` (its clock); none as null."""
+    t = texts.select(*key, F.col(text).alias("_text"), F.col(order).alias("_order"))
+    hits = frames.join(t, list(key)).filter(F.contains(F.col("_text"), F.col(part)))
+    first = hits.groupBy(*key, part).agg(F.min_by("_text", "_order").alias(text))
+    return frames.join(first, [*key, part], "left")
+
+
+def by_frame(frames: DataFrame, readings: DataFrame, key: Sequence[str], index: str) -> DataFrame:
+    """Readings (recognised text, gaze) of each frame by its index."""
+    return frames.join(readings, [*key, index], "left")
+
+
+def responses(items: DataFrame, found: DataFrame, on: str, order: str, response: str) -> DataFrame:
+    """Each item with its response, the last one that came if there are several; none as null."""
+    last = found.groupBy(on).agg(F.max_by(response, order).alias(response))
+    return items.join(last, on, "left")
+
+
+def segments_by_clip(clips: DataFrame, found: DataFrame, clip: str, order: Sequence[str]) -> DataFrame:
+    """Clips with the ordered array of their segments, empty where there are none."""
+    cols = [c for c in found.columns if c != clip]
+    rows = found.groupBy(clip).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*cols).alias("s")))), lambda x: x["s"]).alias("segments"))
+    joined = clips.join(rows, clip, "left")
+    return joined.withColumn("segments", F.coalesce("segments", F.array().cast(joined.schema["segments"].dataType)))
 
 
 def resume(all_items: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -51,10 +107,33 @@ def resume(all_items: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFram
     return all_items.join(done, list(on), "left_anti")
 
 
-def by_prefix(left: DataFrame, right: DataFrame, a: str, b: str, size: int) -> DataFrame:
-    """Rows whose names agree on their first ``size`` characters, or whose shorter name starts the other."""
-    cut = lambda c: F.substring(F.col(c), 1, size)
-    return left.withColumn("p", cut(a)).join(right.withColumn("p", cut(b)), "p", "left").drop("p")
+def by_prefix(left: DataFrame, right: DataFrame, a: str, b: str, size: int, how: str = "left") -> DataFrame:
+    """Rows whose names' first ``size`` characters start the other name, either way.
+
+    A name of ``size`` or more meets names by that prefix; a shorter one meets every name that it starts, or that starts
+    it, under one of its own prefixes, so each side is exploded to at most ``size`` keys and no pair is compared twice.
+    """
+    cut = lambda c: F.substring(c, 1, size)
+    lengths = lambda c: F.sequence(F.lit(0), F.char_length(cut(c)))
+    # the shorter of two prefixes is the common one: the longer side finds it among its own beginnings
+    short = right.withColumn("_p", cut(F.col(b)))
+    one = left.withColumn("_p", F.explode(F.transform(lengths(F.col(a)), lambda n: F.substring(F.col(a), F.lit(1), n)))).join(short, "_p").drop("_p")
+    other = right.withColumn("_p", F.explode(F.transform(lengths(F.col(b)), lambda n: F.substring(F.col(b), F.lit(1), n)))).filter(F.char_length("_p") < F.char_length(cut(F.col(b))))
+    two = left.withColumn("_p", cut(F.col(a))).join(other, "_p").drop("_p")
+    hits = one.unionByName(two)
+    if how == "inner":
+        return hits
+    rest = left.join(hits.select(*left.columns).distinct(), list(left.columns), "left_anti")
+    return hits.unionByName(rest, allowMissingColumns=True)
+
+
+def in_either_prefix(name: Column, listed: Sequence[str], size: int) -> Column:
+    """Whether the name starts with the first ``size`` characters of a listed one, or a listed one with those of the name."""
+    hits = [F.startswith(name, F.lit(x[:size])) | F.startswith(F.lit(x), F.substring(name, 1, size)) for x in listed]
+    out = F.lit(False)
+    for h in hits:
+        out = out | h
+    return out
 
 
 def pair_distinct(pairs: DataFrame, on: Sequence[str], context: str, place: str) -> DataFrame:
