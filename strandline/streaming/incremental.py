@@ -13,9 +13,14 @@ def arriving(spark: SparkSession, path: str, schema: str, per_trigger: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def totals(clips: DataFrame, once_by: Sequence[str], by: Sequence[str], cost: Column, ok: Column) -> DataFrame:
-    """Each clip counts once, whatever files repeat it; works on streams and tables alike."""
-    return clips.dropDuplicates(list(once_by)).groupBy(*by).agg(F.count(F.lit(1)).alias("clips"), F.count_if(ok).alias("ok"), F.sum(cost).alias("cost"))
+def totals(clips: DataFrame, once_by: Sequence[str], by: Sequence[str], cost: Column, ok: Column, at: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each clip counts once, whatever files repeat it; works on streams and tables alike.
+
+    On a stream the clips seen are kept for ever, unless ``at`` names a time column: then a repeat is
+    looked for within ``late`` of the newest time, and older clips leave the state.
+    """
+    once = clips.dropDuplicates(list(once_by)) if at is None else clips.withWatermark(at, late).dropDuplicatesWithinWatermark(list(once_by))
+    return once.groupBy(*by).agg(F.count(F.lit(1)).alias("clips"), F.count_if(ok).alias("ok"), F.sum(cost).alias("cost"))
 
 
 def gate(spent: DataFrame, cap: float, cost: str = "cost") -> DataFrame:
@@ -36,3 +41,9 @@ def watch(df: DataFrame, cap: float, act: Callable[[float], None], checkpoint: s
             act(row["total"])
 
     return df.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arriving_replies(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """Reply streams as they arrive, a whole file at a time: path and value."""
+    lines = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", per_trigger).text(path)
+    return lines.select(F.input_file_name().alias("path"), "value")
