@@ -7,46 +7,24 @@ customers recordings, labels the clips that are kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.functions import text as X
 from strandline.operators import captions, joins, redact, scoring, timeline
+from strandline.plans import base
+from strandline.plans.base import CONTEXT, K, events, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-CONTEXT = 10
-K = 3
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
+def queries() -> dict[str, base.Query]:
+    from strandline.plans import clips, points, texts  # noqa: F401 - each adds its queries
 
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    queries()
+    return dict(base.ORACLES)
 
 
 def _sql_sed(m: int, n: int, cost: str = "c") -> str:
@@ -114,28 +92,33 @@ def context_windows(spark, d):
     return points(spark, d).select("event_id", *[F.array_join(c, ",").alias(c) for c in ("context", "ground_truth", "prediction")])
 
 
+_COS = "list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)))"
+
+
 @query(
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT vec_id // 4 AS sample, vec_id % 4 AS candidate, x FROM v WHERE vec_id < 400),
-s AS (SELECT q.sample, q.candidate, 1 - least(greatest(1 - list_dot_product(q.x, g.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(g.x, g.x))), 0.0), 1.0) AS raw FROM q JOIN v g ON g.vec_id = (q.sample * 7 + 3) % 100)
+    f"""WITH n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT vec_id // 4 AS sample, vec_id % 4 AS candidate, embedding::DOUBLE[] AS x FROM embeddings),
+b AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.sample, a.candidate, 1 - least(greatest(1 - {_COS}, 0.0), 1.0) AS raw FROM a, n JOIN b ON b.vec_id = (a.sample * 7 + 3) % n.n)
 SELECT sample, candidate, round(raw, 4) AS raw, n AS n_candidates FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(raw, 4) DESC, candidate) AS r, count(*) OVER (PARTITION BY sample) AS n FROM s) WHERE r = 1"""
 )
 def sed_best_of_n(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id < 400").select(F.floor(F.col("vec_id") / 4).alias("sample"), (F.col("vec_id") % 4).alias("candidate"), F.col("embedding").alias("x"))
+    q = v.select(F.floor(F.col("vec_id") / 4).alias("sample"), (F.col("vec_id") % 4).alias("candidate"), F.col("embedding").alias("x"))
     g = v.select(F.col("vec_id").alias("g"), F.col("embedding").alias("y"))
-    s = q.join(g, F.col("g") == (F.col("sample") * 7 + 3) % 100).withColumn("raw", 1 - S.scorer_cost(S.cosine(F.col("x"), F.col("y"))))
+    s = q.withColumn("g", (F.col("sample") * 7 + 3) % v.count()).join(g, "g").withColumn("raw", 1 - S.scorer_cost(S.cosine(F.col("x"), F.col("y"))))
     return scoring.best_of(s, ["sample"], "raw", "candidate").select("sample", "candidate", F.round("raw", 4).alias("raw"), "n_candidates")
 
 
 @query(
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS a, b.vec_id AS b,
-round(least(greatest(1 - c, 0.0), 1.0), 4) AS scorer, round(1 - least(greatest(c, -1.0), 1.0), 4) AS evaluator FROM (SELECT *, 0 FROM v) a, v b, LATERAL (SELECT list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) AS c)"""
+    f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(least(greatest(1 - c, 0.0), 1.0), 4) AS scorer, round(1 - least(greatest(c, -1.0), 1.0), 4) AS evaluator FROM v a JOIN v b ON a.label = b.label AND a.i // 8 = b.i // 8, LATERAL (SELECT {_COS} AS c)"""
 )
 def cosine_matrix(spark, d):
-    v = table(spark, d, "embeddings").filter("vec_id < 40")
-    a, b = v.select(F.lit(0).alias("one"), F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.lit(0).alias("one"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    c = S.cosine(F.col("x"), F.col("y"))
-    return a.join(b, "one").select("a", "b", F.round(S.scorer_cost(c), 4).alias("scorer"), F.round(S.evaluator_cost(c), 4).alias("evaluator"))
+    """Cost matrices of all vectors, in samples of eight of one label."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    v = table(spark, d, "embeddings").withColumn("block", F.floor(place / 8))
+    a, b = (v.select("label", "block", F.col("vec_id").alias(k), F.col("embedding").alias(f"x{k}")) for k in "ab")
+    c = S.cosine(F.col("xa"), F.col("xb"))
+    return a.join(b, ["label", "block"]).select("a", "b", F.round(S.scorer_cost(c), 4).alias("scorer"), F.round(S.evaluator_cost(c), 4).alias("evaluator"))
 
 
 @query("SELECT event_id, event_type AS level, CASE WHEN b IS NULL OR b >= 1 THEN NULL ELSE round(greatest(0.0, (r - b) / (1 - b)), 4) END AS normalized FROM (SELECT event_id, event_type, round(value - floor(value), 6) AS r FROM events) LEFT JOIN (VALUES ('click', 0.4), ('view', 1.0), ('purchase', 0.1)) t(event_type, b) USING (event_type)")
@@ -152,9 +135,9 @@ def judge_costs(spark, d):
     return rows.select("event_id", "score", F.round(S.judge_cost(F.col("score")), 6).alias("cost"))
 
 
-@query("SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median, min(value) AS low, max(value) AS high, count(*) FILTER (WHERE value < 0.5) AS errors FROM events GROUP BY event_type")
+@query("SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median, min(value) AS low, max(value) AS high, count(*) FILTER (WHERE value < 0.5) AS errors, round(avg(1 - value), 4) AS distance_mean FROM events GROUP BY event_type")
 def eval_summary_stats(spark, d):
-    return scoring.stats(events(spark, d), ["event_type"], "value", F.col("value") < 0.5)
+    return scoring.stats(events(spark, d).withColumn("distance", 1 - F.col("value")), ["event_type"], "value", F.col("value") < 0.5, "distance")
 
 
 @query("SELECT CASE WHEN grouping(event_type) = 1 THEN 'ALL' ELSE event_type END AS event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events GROUP BY ROLLUP (event_type)")
@@ -188,18 +171,18 @@ def segments_islands(spark, d):
 _POS = "q AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
 
 
-@query(f"WITH {_POS} SELECT p.event_id, coalesce(string_agg(q.event_type, ',' ORDER BY q.pos), '') AS context FROM q p LEFT JOIN q ON q.user_id = p.user_id AND q.pos <= p.pos AND q.pos > p.pos - 50 WHERE p.event_id % 50 = 7 GROUP BY p.event_id")
+@query(f"WITH {_POS} SELECT p.event_id, coalesce(string_agg(q.event_type, ',' ORDER BY q.pos), '') AS context FROM q p LEFT JOIN q ON q.user_id = p.user_id AND q.pos <= p.pos AND q.pos > p.pos - 50 GROUP BY p.event_id")
 def fill_backward_cross_session(spark, d):
     e = timeline.positions(events(spark, d), ["user_id"], ["ts", "event_id"]).drop("pos_count")
-    p = e.filter("event_id % 50 = 7").select("event_id", "user_id", F.col("pos").alias("end_pos"))
-    return timeline.backward_fill(p, e, "user_id", 50, "event_type").select("event_id", F.array_join("context", ",").alias("context"))
+    p = e.select("event_id", "user_id", F.col("pos").alias("end_pos"))
+    return timeline.backward_fill(p, e, ["user_id"], 50, "event_type").select("event_id", F.array_join("context", ",").alias("context"))
 
 
-@query(f"WITH {_POS} SELECT p.event_id, coalesce(string_agg(q.event_type, ',' ORDER BY q.pos), '') AS ground_truth FROM q p LEFT JOIN q ON q.user_id = p.user_id AND q.pos > p.pos AND q.pos <= p.pos + 10 WHERE p.event_id % 50 = 7 GROUP BY p.event_id")
+@query(f"WITH {_POS} SELECT p.event_id, coalesce(string_agg(q.event_type, ',' ORDER BY q.pos), '') AS ground_truth FROM q p LEFT JOIN q ON q.user_id = p.user_id AND q.pos > p.pos AND q.pos <= p.pos + 10 GROUP BY p.event_id")
 def gt_extend_forward(spark, d):
     e = timeline.positions(events(spark, d), ["user_id"], ["ts", "event_id"]).drop("pos_count")
-    p = e.filter("event_id % 50 = 7").select("event_id", "user_id", F.col("pos").alias("start_pos"))
-    return timeline.forward_fill(p, e, "user_id", 10, "event_type").select("event_id", F.array_join("ground_truth", ",").alias("ground_truth"))
+    p = e.select("event_id", "user_id", F.col("pos").alias("start_pos"))
+    return timeline.forward_fill(p, e, ["user_id"], 10, "event_type").select("event_id", F.array_join("ground_truth", ",").alias("ground_truth"))
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) AS r FROM events) WHERE r <= 20")
@@ -364,7 +347,7 @@ def redaction_audit(spark, d):
 
 @query()
 def placeholder_audit(spark, d):
-    rows = redact.masked(table(spark, d, "documents").select("doc_id", "source", "text"), "text", redact.PLACEHOLDER_RULES)
+    rows = redact.masked(table(spark, d, "documents").select("doc_id", "source", "text"), "text", redact.placeholder_rules(base.INSTITUTIONS))
     return redact.audit(rows, "source", "doc_id")
 
 
@@ -397,11 +380,11 @@ def set_union_roles(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-@query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM (SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 = 0) GROUP BY event_type")
+@query("SELECT kind, count(*) AS n, max(id) AS last, count(value) AS valued FROM (SELECT event_type AS kind, event_id AS id, value FROM events UNION ALL SELECT o_orderstatus, o_orderkey, NULL FROM orders) GROUP BY kind")
 def union_all_sources(spark, d):
-    e = events(spark, d)
-    both = e.filter("event_id % 2 = 0").unionByName(e.filter("event_id % 3 = 0").drop("value"), allowMissingColumns=True)
-    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    one = events(spark, d).select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), "value")
+    two = table(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("id"))
+    return one.unionByName(two, allowMissingColumns=True).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.count("value").alias("valued"))
 
 
 @query("SELECT user_id, count(*) AS clips, count(*) FILTER (WHERE value >= 1) AS ok, round(sum(value), 4) AS cost FROM events GROUP BY user_id")
@@ -409,6 +392,6 @@ def incremental_totals(spark, d):
     from strandline.streaming import incremental
 
     e = events(spark, d)
-    twice = e.unionByName(e.filter("event_id % 5 = 0"))
+    twice = e.unionByName(e)  # every clip comes in two files
     out = incremental.totals(twice, ["user_id", "event_id"], ["user_id"], F.col("value"), F.col("value") >= 1)
     return out.withColumn("cost", F.round("cost", 4))
