@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.functions import text as X
-from strandline.functions.salvage import salvage, salvaged_json
+from strandline.functions.salvage import loose_json, loosely_parsed, reply_json, salvage, with_reply_json
 from strandline.operators import redact, scoring, timeline
 
 
@@ -41,13 +41,38 @@ def test_timestamps(spark):
     kept = "[04-15 10:00:00 -> 10:00:05] walk"
     assert one(spark, X.strip_timestamps(F.lit(kept))) == kept
     assert tuple(one(spark, X.time_range(F.lit("00:01–00:04")))) == ("00:01", "00:04")
-    assert tuple(one(spark, X.segment_span(F.lit("00:01:00")))) == (60, 63)
+    assert tuple(one(spark, X.time_range(F.lit("00:01")))) == (None, None)
+    assert tuple(one(spark, X.segment_span(F.lit("00:01:00")))) == (60, 63) and one(spark, X.segment_span(F.lit("1:00"))) is None
+    assert tuple(one(spark, X.segment_span(F.lit(" 9:00:00 ~ 09:00:07")))) == (32400, 32407)
+    assert tuple(one(spark, X.played_span(F.lit("17:57:12–17:57:15"), F.lit(64630)))) == (2.0, 5.0)
+    assert tuple(one(spark, X.played_span(F.lit("0s-5s"), F.lit(0)))) == (0.0, 5.0) and one(spark, X.played_span(F.lit("a-b"), F.lit(0))) is None
 
 
 def test_recordings(spark):
     key = one(spark, X.recording_key(F.lit("4-15_hkt1323-1709_226m_ab")))
     assert tuple(key) == (4, 15, 13, 23)
     assert tuple(one(spark, X.recording_key(F.lit("other")))) == (99, 99, 99, 99)
+    assert tuple(one(spark, X.recording_fields(F.lit("other"))))[:3] == ("00-00", "??:??", "??:??")
+    assert one(spark, X.recording_day(F.lit("4-27_hkt1944-x"), 2026)) == "2026-04-27" and one(spark, X.recording_day(F.lit("x"), 2026)) == "9999"
+    frame = one(spark, X.frame_fields(F.lit("d/2026-04-15_13-23-01_HKT__frame_12.jpg")))
+    assert (frame.time.isoformat(), frame.clock, frame["index"]) == ("2026-04-15T13:23:01", "13:23:01", 12)
+    assert tuple(one(spark, X.frame_fields(F.lit("frame_12.jpg")))) == (None, "", None)
+
+
+def test_transcripts(spark):
+    pair = lambda line: one(spark, X.transcript_interval(F.lit(line)))
+    got = pair("[2026-05-17 21:30:00 HKT -> 2026-05-17 21:30:30 BJ] text")
+    assert (got.start.isoformat(), got.end.isoformat()) == ("2026-05-17T21:30:00", "2026-05-17T21:30:30")
+    got = pair("[00:00-00:30] text")
+    assert (got.start.isoformat(), got.end.isoformat()) == ("2000-01-01T00:00:00", "2000-01-01T00:30:00")
+    assert pair("text") is None
+    assert one(spark, X.clean_recognised(F.lit("capture_time 1\n a\nframe_index 2\nb\n"))) == "a\nb"
+
+
+def test_crops(spark):
+    box = lambda x, y: tuple(one(spark, X.crop_box(F.lit(1000), F.lit(500), x, y)))
+    none = F.lit(None).cast("double")
+    assert box(none, none) == (345, 95, 310) and box(F.lit(0.0), F.lit(2880.0)) == (0, 190, 310) and box(F.lit(1440.0), F.lit(1440.0)) == (345, 95, 310)
 
 
 def test_parsing(spark):
@@ -59,17 +84,32 @@ def test_parsing(spark):
     assert one(spark, X.judge_digit(F.lit("score\n7\nof 9"))) == 7
     assert one(spark, X.judge_digit(F.lit("I give 3 or 4."))) == 4
     assert one(spark, X.judge_digit(F.lit("none 12"))) is None
+    assert one(spark, X.judge_digit(F.lit("score: 7 (v2)"))) == 7 and one(spark, X.judge_digit(F.lit("在7分 5"))) == 5
+    assert one(spark, X.numbered_items(F.lit("1. press [on] button\n2. [10:00:00 -> 10:00:05] [x] go"))) == ["press [on] button", "[x] go"]
+    timed = '{"candidates": [{"actions": ["[10:00:00 -> 10:00:05] walk"]}]}'
+    assert one(spark, X.candidate_actions(F.lit(timed), 3)) == [["walk"]] and one(spark, X.candidate_actions(F.lit("none"), 3)) == []
     assert one(spark, X.index_spec(F.lit("1,3-5"))) == [1, 3, 4, 5]
     assert one(spark, X.date_prefix(F.array(F.lit("day1"), F.lit("day2")))) == "dayN "
-    assert one(spark, X.rendered_segments(F.array().cast("array<struct<date:string,start:string,end:string>>"))) == "(unknown)"
+    assert one(spark, X.date_prefix(F.array(F.lit("Day1"), F.lit("day2")))) == "DATE "
+    kind = "array<struct<date:string,start:string,end:string,n:int>>"
+    assert one(spark, X.rendered_segments(F.array().cast(kind), "Session")) == "  Session 1: (unknown)"
+    two = F.array(F.struct(F.lit("04-15").alias("date"), F.lit("1").alias("start"), F.lit("2").alias("end"), F.lit(5).alias("n")), F.struct(F.lit("04-16").alias("date"), F.lit("3").alias("start"), F.lit("4").alias("end"), F.lit(None).cast("int").alias("n")))
+    assert one(spark, X.rendered_segments(two, "Segment")) == "  Segment 1: 04-15 1 – 2 (5 events)\n  Segment 2: 04-16 3 – 4"
+    chunks = one(spark, X.headed_chunks(F.lit("Room: a desk. Light now: dim. rest")))
+    assert [tuple(c) for c in chunks] == [("Room:", "a desk."), ("Light now:", "dim. rest")]
     assert one(spark, X.endpoint(F.lit("http://h/v1/"), "/embeddings")) == "http://h/v1/embeddings"
 
 
 def test_salvage(spark):
     assert json.loads(salvage('```json\n{"segments": [{"a": 1}, {"a": 2')) == {"segments": [{"a": 1}]}
     assert salvage("no json") is None and salvage(None) is None
-    got = spark.createDataFrame([('{"a": 1}',), (None,)], "t string").select(salvaged_json("t")).collect()
-    assert [r[0] for r in got] == ['{"a": 1}', None]
+    assert reply_json("") == (None, "empty") and reply_json("x") == (None, "unparseable") and reply_json('so ```json {"a": 1} ``` end') == ('{"a": 1}', "ok")
+    assert reply_json('{"other": [{"a": 1}, {"b')[1] == "unparseable"
+    rows = spark.createDataFrame([('{"a": 1}',), (None,), ('{"segments": [{"x": 1}, {"y',), ('t ```{"b": 2}```',)], "t string")
+    got = [tuple(r)[1:] for r in with_reply_json(rows, "t").collect()]
+    assert got == [('{"a": 1}', "ok"), (None, "empty"), ('{"segments": [{"x": 1}]}', "salvaged"), ('{"b": 2}', "ok")]
+    assert loose_json('x {"a": 1}') == '{"a": 1}' and loose_json('{"a": [{"b": 1}, {"c') is None and loose_json('{"a": [{"b": 1}, {"c', True) == '{"a": [{"b": 1}]}'
+    assert [r[0] for r in rows.select(loosely_parsed(F.col("t"), True)).collect()] == ['{"a": 1}', None, '{"segments": [{"x": 1}]}', '{"b": 2}']
 
 
 def test_validation(spark):

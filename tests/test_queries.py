@@ -18,7 +18,7 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).columns
+    assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_scores_need_no_python(spark):
