@@ -249,11 +249,14 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         out.clear()
         return table
 
-    for rows in _groups(batches, ["token", "sid", "n", "sig"]):
+    for rows in _groups(batches, ["token", "sid", "n", "sig", "star"]):
         if len(forest.up) > 1_000_000:
             forest.up.clear()
         if len(seen) > 500_000:
             seen.clear()
+        for r in rows:  # sets of one star are in one cluster already
+            if r[4] is not None:
+                forest.join(r[1], r[4])
         for i, j, alike in _possible(rows):
             a, b = rows[i][1], rows[j][1]
             if alike:
@@ -278,7 +281,7 @@ def _folded(x: int, bits: int, to: int) -> int:
 
 def _possible(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
     """Pairs of a group that sizes and prefix bitmaps allow, and whether the two look much alike; those that do come first."""
-    sets = [(n, prefix_size(n), sig[:8], int.from_bytes(sig[8:], "big"), 8 * (len(sig) - 8)) for _, _, n, sig in rows]
+    sets = [(n, prefix_size(n), sig[:8], int.from_bytes(sig[8:], "big"), 8 * (len(sig) - 8)) for _, _, n, sig, _ in rows]
     doubtful = []
     for j in range(1, len(sets)):
         m, q, to, right, many = sets[j]
@@ -473,7 +476,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[D
     shared = written(spread_join(postings, tokens, ["token"], "rows"))
     release(spark)
     signed = settled(rows.select("text").mapInArrow(_signatures(common), "sid long, n long, sig binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
-    near = shared.filter("not large").join(signed, "sid").select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token", "sid")
+    star = shared.filter("large").groupBy("sid").agg(F.min("least").alias("star"))
+    near = shared.filter("not large").join(signed.join(star, "sid", "left"), "sid").select("token", "sid", "n", "sig", "star").repartition("token").sortWithinPartitions("token", "sid")
     stars = shared.filter("large and sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
     edges = settled(near.mapInArrow(_candidate_edges, "a long, b long, sure boolean"))
     doubtful = edges.filter("not sure").select("a", "b").distinct()
