@@ -1,27 +1,33 @@
-"""Text scoring by logistic context mixing over bits, beside a smoothed unigram base score.
-
-A text is its tokens: lower-cased (A-Z) words, then one end. A word is spelt as its
-bytes and a blank, the end as a line feed, and every bit of a document's bytes is a
-binary decision. Five predictors know it from hashed contexts: the last two, three
-and five bytes, which run over words' ends; the prefix of the word; and that prefix
-with the whole word before. Their bit counts come from all training bytes. The
-predictors' logits are mixed by weights that a gate selects (how well the last two
-contexts are known), learned online by gradient steps in every task over all its training
-texts and then averaged by the bits seen; a table over the mixed probability, of the
-ones among all training bits, refines it.
-
-The base score needs words' counts: each block of documents (an input split) sends its
-distinct words with their counts, which meet by word and go back to the blocks. The
-model's tables grow in proportion to the counted vocabulary; they are gathered at the
-driver and broadcast.
-
-Defined cases: null text is empty and has the end token only; a null doc_id is
-held out; without training texts all counts are 0 and every bit costs what an
-untrained model gives; other columns are ignored; repeated rows are scored each.
+"""Text scoring by online logistic context mixing over bits, beside a smoothed unigram base score.
+
+A text is its tokens: lower-cased (A-Z) words, then one end. A token is told in binary
+decisions: twelve bits of its word's hash name a class, and within the class counts name
+the word. Each class bit is predicted by hashed contexts: none at all, the last short word
+(which tells languages and registers apart), the previous word, and a match - the word
+that most often followed the two words before. The predictors' logits are mixed by weights
+that a gate selects (how well the previous word is known, how often the match was seen, and
+how far the bits are told), learned online by gradient steps over all training texts in every
+task and averaged by the bits seen; a table over the mixed probability refines it. If the
+match has the word's class, one more decision says whether it is the word. A word that no
+other training token has is spelt: bits of its bytes, by order two blended with order one.
+
+Training texts are scored as the others are: every occurrence is taken out of the counts
+that predict it, so a text is cheap only if other texts make it so.
+
+Word counts meet without texts: blocks of documents (``BLOCK_ROWS`` consecutive rows of an
+input split) send their distinct words' hashes, and get the sums back. The model's tables
+grow with the counted vocabulary up to ``MOST_BITS``; tasks, of which training has a few per
+core, send theirs in compressed chunks to be added up; the driver gathers and broadcasts them.
+
+Defined cases: null text is empty and has the end token only; a null doc_id is held out;
+without training texts all counts are 0 and every bit costs what an untrained model gives;
+other columns are ignored; repeated rows are scored each. Input that isn't a plain scan of
+files is written to the shared folder first, so that its blocks are the same whenever it is read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,315 +38,490 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import only, written
+from strandline.llm.cluster import only, release, written
 from strandline.llm.language_id import fold
-from strandline.llm.textbuf import U64, Words, mix, powers, span_hashes, text_buffers, word_blocks
+from strandline.llm.textbuf import U64, Words, mix, span_hashes, word_blocks
 
 FOLDS = 10
 ALPHA = 0.1
-#: Predictors by the last bytes; two more are the word's prefix, and that with the word before.
-BACK = (2, 3, 5)
-ORDERS = len(BACK) + 2
-CHUNK = 1 << 16
 END = b"\n"
-SIZES, PAIRS = 14, 4
-GATES = SIZES * PAIRS
-SSE_STEPS = 33
-RATE = 0.2
-#: Bits that a refining cell's first value counts for.
+CLASS_BITS = 12
+CLASSES = 1 << CLASS_BITS
+#: Words of up to so many bytes are a context of their own.
+SHORT = 3
+#: The table of the previous word has at most 2**MOST_BITS cells of 8 bytes, the matches a quarter as many slots of 5 bytes.
+MOST_BITS = 23
+LEAST_BITS = 14
+BLOCK_ROWS_BITS = 13
+BLOCK_BYTES = 1 << 18
+CHUNK = 1 << 16
+INPUTS = 5
+SIZES, MATCHES = 8, 4
+GATES = SIZES * MATCHES * 3
+SSE_GATES, SSE_STEPS = MATCHES * CLASS_BITS, 33
+RATE = 0.8
+#: Bits that a refining cell's first value counts for, and decisions that a match's first odds count for.
 PRIOR = 50
+MATCH_WEIGHTS = 16
+SPELL_BITS = 18
 _LOW = np.int64((1 << 32) - 1)
-_BASES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_BASE = U64(0x9E3779B97F4A7C15)
+_START = U64(0x632BE59BD9B4E019)
+_SALTS = [U64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
 
+def table_bits(kinds: int) -> tuple[int, int, int]:
+    """Powers of two of the cells of the short and the previous word, and of the matches' slots, by the number of distinct training words."""
+    n = min(MOST_BITS, max(LEAST_BITS, (max(1, kinds) - 1).bit_length() + 1))
+    return max(LEAST_BITS, n - 4), n, n - 2
 
-def slot_bits(kinds: int) -> tuple[int, ...]:
-    """Cells per order as powers of two, in proportion to the counted vocabulary; two-byte contexts have at most 2**24 nodes."""
-    n = max(16, (max(1, kinds) - 1).bit_length())
-    return (min(n - 3, 24), n - 2, n, n + 1, n + 1)
+
+def end_mark() -> np.ndarray:
+    return span_hashes(np.frombuffer(END, dtype=np.uint8), np.array([0]), np.array([1]))
 
 
 @dataclass
-class Stream:
-    """Bytes of the documents' tokens one after another, their documents, and their context hashes, one row of hashes per order."""
+class Tokens:
+    """Tokens of a block's documents in order, with their contexts."""
 
-    byte: np.ndarray
+    mark: np.ndarray
     doc: np.ndarray
-    context: list[np.ndarray]
-
-    def bits(self, size: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each of the eight places: the bits and every order's cells. The nodes of half a byte lie side by side."""
-        edge = np.cumsum([0, *[1 << b for b in size]])
-        for half in range(2):
-            four = (self.byte >> 4 if half == 0 else self.byte & 15).astype(np.int64)
-            salt = np.zeros(len(four), dtype=U64) if half == 0 else ((self.byte >> 4).astype(U64) + U64(1)) * U64(0xFF51AFD7ED558CCD)
-            with np.errstate(over="ignore"):
-                slots = [((c ^ salt) * _BASES[o] >> U64(64 - size[o])).astype(np.int64) for o, c in enumerate(self.context)]
-            for k in range(4):
-                node = (four | 16) >> (4 - k)
-                yield (four >> (3 - k)) & 1, [(x ^ node) + edge[o] for o, x in enumerate(slots)]
-
-
-def stream(w: Words) -> Stream:
-    """Every word with a blank, and a line feed after a document's last one. Contexts run over words' ends, not over documents' ends."""
-    docs, size = len(w.counts), w.end - w.start + 1
-    before = np.cumsum(size) - size
-    start = before + w.doc()
-    inside = np.arange(int(size.sum())) - np.repeat(before, size)
-    raw = np.full(len(inside) + docs, END[0], dtype=np.uint8)
+    #: Place of the token's word in the block, -1 for ends.
+    word: np.ndarray
+    short: np.ndarray
+    previous: np.ndarray
+    pair: np.ndarray
+
+    @property
+    def code(self) -> np.ndarray:
+        return (self.mark >> U64(64 - CLASS_BITS)).astype(np.int64)
+
+
+def tokens_of(w: Words) -> Tokens:
+    docs, n = len(w.counts), len(w) + len(w.counts)
+    place = np.arange(len(w)) + w.doc()
+    mark, word = np.empty(n, dtype=U64), np.full(n, -1, dtype=np.int64)
+    mark[:] = end_mark()
     if len(w):
-        raw[np.repeat(start, size) + inside] = w.buf[np.minimum(np.repeat(w.start, size) + inside, len(w.buf) - 1)]
-        raw[start + size - 1] = 32
-    per_doc = np.diff(np.concatenate([[0], np.cumsum(size)])[w.first]) + 1
-    doc = np.repeat(np.arange(docs), per_doc)
-    at = np.arange(len(raw))
-    in_doc = at - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    opens = np.zeros(len(raw), dtype=bool)
-    opens[in_doc == 0] = True
-    opens[start + size] = True
-    first = np.flatnonzero(opens)
-    token = np.cumsum(opens) - 1
-    context, code = [], np.ones(len(raw), dtype=U64)
+        mark[place] = w.hashes()
+        word[place] = np.arange(len(w))
+    doc = np.repeat(np.arange(docs), w.counts + 1)
+    first = np.repeat(w.first[:-1] + np.arange(docs), w.counts + 1)  # of each token's document
+    at = np.arange(n)
+    previous, before = np.full(n, _START, dtype=U64), np.full(n, _START, dtype=U64)
+    previous[1:] = mark[:-1]
+    before[2:] = mark[:-2]
+    previous[at == first] = _START
+    before[at <= first + 1] = _START
+    size = np.full(n, 99, dtype=np.int64)
+    size[place] = w.end - w.start
+    last = np.maximum.accumulate(np.where(size <= SHORT, at, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    seen = last >= first
+    short = np.full(n, _START, dtype=U64)
+    short[seen] = mark[last[seen]]
     with np.errstate(over="ignore"):
-        for back in range(1, max(BACK) + 1):
-            last = np.zeros(len(raw), dtype=U64)
-            last[back:] = raw[:-back]
-            last[in_doc < back] = 0
-            code = code * U64(0x100000001B3) + last + U64(1)
-            if back in BACK:
-                context.append(mix(code))
-        total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum((raw.astype(U64) + U64(1)) * powers(_BASES[3], len(raw)))])
-        inverse = powers(U64(pow(int(_BASES[3]), -1, 1 << 64)), len(raw) + 1)
-        begin = first[token]
-        prefix = mix((total[at] - total[begin]) * inverse[begin] + (at - begin).astype(U64))
-        ends = np.append(first[1:], len(raw))
-        whole = mix((total[ends] - total[first]) * inverse[first])
-        previous = np.zeros(len(first), dtype=U64)
-        previous[1:] = whole[:-1]
-        previous[in_doc[first] == 0] = 0
-        context += [prefix, mix(prefix * U64(3) + previous[token])]
-    return Stream(raw, doc, context)
+        return Tokens(mark, doc, word, mix(short ^ _SALTS[0]), mix(previous ^ _SALTS[1]), mix(previous * _SALTS[2] + before))
+
+
+def bits_of(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bit, node of the tree of classes) from the first bit on."""
+    for t in range(CLASS_BITS):
+        yield t, (code >> (CLASS_BITS - 1 - t)) & 1, (1 << t) | (code >> (CLASS_BITS - t))
+
+
+def cells_of(tokens: Tokens, code: np.ndarray, bits: tuple[int, int, int]) -> Iterator[list[np.ndarray]]:
+    """For each bit: the cells of the short and the previous word, the latter behind the former. Nodes of four bits lie side by side."""
+    for g in range(CLASS_BITS // 4):
+        four = (code >> (CLASS_BITS - 4 - 4 * g)) & 15
+        with np.errstate(over="ignore"):
+            salt = ((code >> (CLASS_BITS - 4 * g)).astype(U64) + U64(1 + (g << 16))) * U64(0xFF51AFD7ED558CCD)
+            slots = [(((c ^ salt) * _BASE) >> U64(64 - b + 4)).astype(np.int64) << 4 for c, b in ((tokens.short, bits[0]), (tokens.previous, bits[1]))]
+        slots[1] += 1 << bits[0]
+        for k in range(4):
+            node = (four | 16) >> (4 - k)
+            yield [s | node for s in slots]
+
+
+def _split(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of bits seen and of ones among them; a cell holds both."""
+    return (cells & _LOW).astype(np.float32), (cells >> 32).astype(np.float32)
+
+
+def _logit(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(0.4)) / (seen - ones + np.float32(0.4)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.minimum(np.maximum(x, -30), 30)))
 
 
-def _class(n: np.ndarray, most: int) -> np.ndarray:
+def _size_class(n: np.ndarray) -> np.ndarray:
     """The number of whole powers of two in n + 1, from a float's exponent."""
-    return np.minimum(((np.maximum(n, 0) + np.float32(1)).view(np.int32) >> 23) - 127, most - 1).astype(np.int64)
+    return np.minimum(((np.maximum(n, 0) + np.float32(1)).view(np.int32) >> 23) - 127, SIZES - 1).astype(np.int64)
 
 
-def _gate(prefix: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """The size class of the count behind the prefix's prediction, with that of the pair's up to PAIRS classes."""
-    return _class(prefix, SIZES) * PAIRS + _class(pair, PAIRS)
+class Matches:
+    """The word that prevails behind a pair of words, and by how many occurrences: a majority vote per slot."""
 
+    def __init__(self, slots: int):
+        self.word, self.votes = np.zeros(slots, dtype=np.uint32), np.zeros(slots, dtype=np.uint8)
 
-def _split(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of bits seen and of ones among them; a cell holds both."""
-    return (cells & _LOW).astype(np.float32), (cells >> 32).astype(np.float32)
+    def vote(self, slot: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+        """At most one word a slot."""
+        have, votes = self.word[slot], self.votes[slot].astype(np.int64)
+        same = have == word
+        left = np.where(same, votes + n, np.abs(n - votes))
+        self.word[slot] = np.where(same | (votes >= n), have, word)
+        self.votes[slot] = np.minimum(left, 255)
 
+    def learn(self, slot: np.ndarray, word: np.ndarray) -> None:
+        """Votes of a block: for each slot its first word by number, less the other ones."""
+        key, n = np.unique(slot.astype(U64) << U64(32) | word.astype(U64), return_counts=True)
+        at = (key >> U64(32)).astype(np.int64)
+        order = np.lexsort((-n, at))
+        at, n, word = at[order], n[order], (key[order] & U64(0xFFFFFFFF)).astype(np.uint32)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
+        net = 2 * n[first] - np.add.reduceat(n, first) if len(first) else n
+        fine = net > 0
+        self.vote(at[first][fine], word[first][fine], net[fine])
+
+
+def match_slot(tokens: Tokens, bits: tuple[int, int, int]) -> np.ndarray:
+    return (tokens.pair >> U64(64 - bits[2])).astype(np.int64)
+
+
+class Spelling:
+    """Bit counts of words' bytes behind one and two bytes; a word ends with a blank."""
+
+    def __init__(self):
+        self.cells = np.zeros((1 << 16) + (1 << SPELL_BITS), dtype=np.int64)
+
+    @staticmethod
+    def _bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the words with a blank behind each, and their words."""
+        size = end - start + 1
+        word = np.repeat(np.arange(len(start)), size)
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        raw = buf[np.minimum(start[word] + inside, max(0, len(buf) - 1))].copy()
+        raw[np.cumsum(size) - 1] = 32
+        return raw.astype(np.int64), word
+
+    def _places(self, raw: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        one, two = np.full(len(raw), 32, dtype=np.int64), np.full(len(raw), 32, dtype=np.int64)
+        one[1:] = np.where(word[1:] == word[:-1], raw[:-1], 32)
+        two[2:] = np.where(word[2:] == word[:-2], raw[:-2], 32)
+        with np.errstate(over="ignore"):
+            pair = mix((one * 256 + two).astype(U64) ^ _SALTS[0])
+        for t in range(8):
+            node = (1 << t) | (raw >> (8 - t))
+            with np.errstate(over="ignore"):
+                far = ((pair + node.astype(U64)) * _BASE >> U64(64 - SPELL_BITS)).astype(np.int64)
+            yield (raw >> (7 - t)) & 1, one * 256 + node, far + (1 << 16)
+
+    def learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        if len(start):
+            for bit, near, far in self._places(*self._bytes(buf, start, end)):
+                more = 1 + (bit << 32)
+                np.add.at(self.cells, near, more)
+                np.add.at(self.cells, far, more)
+
+    def cost(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Bits of each word."""
+        if not len(start):
+            return np.zeros(0)
+        raw, word = self._bytes(buf, start, end)
+        chance = np.ones(len(raw))
+        for bit, near, far in self._places(raw, word):
+            n, ones = _split(self.cells.take(near))
+            p = (ones + 0.4) / (n + 0.8)
+            n, ones = _split(self.cells.take(far))
+            p = (ones + 2 * p) / (n + 2)
+            chance *= np.where(bit == 1, p, 1 - p)
+        return np.bincount(word, weights=-np.log2(np.maximum(chance, 1e-30)), minlength=len(start))
 
-def _logit(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    return np.log((ones + np.float32(0.4)) / (seen - ones + np.float32(0.4)))  # of (ones + 0.4) / (seen + 0.8)
+
+@dataclass
+class Tables:
+    """What all texts gave: the classes' counts and hapaxes, contexts' bit counts, matches and spellings."""
+
+    bits: tuple[int, int, int]
+    tree: np.ndarray
+    of_class: np.ndarray
+    fresh: np.ndarray
+    cells: np.ndarray
+    matches: Matches
+    spelling: Spelling
+
+    @staticmethod
+    def empty(bits: tuple[int, int, int], of_class: np.ndarray, fresh: np.ndarray) -> Tables:
+        tree = np.zeros(CLASSES, dtype=np.int64)  # bits seen and ones at each node of the classes' tree
+        level = of_class.astype(np.int64)
+        for t in range(CLASS_BITS - 1, -1, -1):
+            both = level.reshape(-1, 2)
+            tree[1 << t : 2 << t] = both.sum(axis=1) + (both[:, 1] << 32)
+            level = both.sum(axis=1)
+        return Tables(bits, tree, of_class, np.maximum(fresh, 1), np.zeros((1 << bits[0]) + (1 << bits[1]), dtype=np.int64), Matches(1 << bits[2]), Spelling())
 
 
 class MixingModel:
-    """Bit counts per order and slot, gated mixing weights, and the refining table."""
-
-    def __init__(self, size: tuple[int, ...]):
-        self.size = size
-        # at first, the prefix counts the more the better it is known
-        trust = np.repeat(np.linspace(0, 0.6, SIZES), PAIRS)
-        self.weights = np.empty((ORDERS, GATES), dtype=np.float32)
-        self.weights[-1] = 0.3
-        self.weights[-2] = trust
-        self.weights[:-2] = (0.9 - trust) * 0.4
-        self.refine = np.tile(_sigmoid(np.linspace(-8, 8, SSE_STEPS)), (GATES, 1))
-
-    def _place(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gated mixing weights, the refining table, and the odds of matches."""
+
+    def __init__(self):
+        self.weights = np.repeat(np.array([[0.0], [0.3], [0.4], [0.3], [0.7]], dtype=np.float32), GATES, axis=1)
+        self.refine = np.tile(_sigmoid(np.linspace(-8, 8, SSE_STEPS)), (SSE_GATES, 1)).astype(np.float32)
+        self.match = np.linspace(0.3, 0.9, MATCH_WEIGHTS)
+
+    def _seen(self, tables: Tables, t: Tokens, own: np.ndarray) -> Iterator[tuple]:
+        """Per bit: (bit, inputs, gate, refining gate, mixed logit), each token's own occurrence taken out where ``own`` is 1."""
+        code = t.code
+        slot = match_slot(t, tables.bits)
+        word = tables.matches.word.take(slot)
+        votes = tables.matches.votes.take(slot).astype(np.int64)
+        votes -= own * (word == (t.mark >> U64(32)).astype(np.uint32))
+        kind = np.minimum(np.maximum(votes, 0), 4)
+        kind = np.where(kind > 2, 3, kind)  # none, one, two, more votes
+        strength = np.log1p(2 * np.maximum(votes, 0)).astype(np.float32)
+        guess = (word >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
+        mine = own.astype(np.float32)
+        for (place, bit, node), cells in zip(bits_of(code), cells_of(t, code, tables.bits), strict=True):
+            one = mine * bit.astype(np.float32)
+            inputs, n = [], None
+            for found in (tables.tree.take(node), *(tables.cells.take(c) for c in cells)):
+                n, ones = _split(found)
+                n = n - mine
+                inputs.append(_logit(ones - one, n))
+            agrees = (kind > 0) & ((guess >> (CLASS_BITS - place)) == (code >> (CLASS_BITS - place)))
+            side = ((guess >> (CLASS_BITS - 1 - place)) & 1) * 2 - 1
+            inputs.append(np.where(agrees, side * strength, np.float32(0)).astype(np.float32))
+            state = np.where(agrees, kind, 0)
+            gate = (_size_class(n) * MATCHES + state) * 3 + place // 4
+            z = self.weights[0].take(gate)
+            for o, x in enumerate(inputs):
+                z = z + x * self.weights[o + 1].take(gate)
+            yield bit, inputs, gate, state * CLASS_BITS + place, z
+        self._votes, self._hit = np.where((kind > 0) & (guess == code), np.minimum(votes, MATCH_WEIGHTS - 1), 0), word == (t.mark >> U64(32)).astype(np.uint32)
+
+    @staticmethod
+    def _step(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.minimum(np.maximum((z + 8) * np.float32((SSE_STEPS - 1) / 16), 0), np.float32(SSE_STEPS - 1.001))
         low = place.astype(np.int64)
         return low, place - low.astype(np.float32)
 
-    def mixed(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        return sum(x * self.weights[o].take(gate) for o, x in enumerate(inputs))
-
-    def cost(self, w: Words, tables: "Tables") -> tuple[np.ndarray, np.ndarray]:
-        """Bits and bytes that each document takes."""
-        s = stream(w)
-        chance = np.ones(len(s.byte))  # of the whole byte, 1e-48 at least
-        flat = self.refine.ravel().astype(np.float32)
-        for bit, slots in s.bits(self.size):
-            gate = (tables.known.take(slots[-2] - tables.first) * np.uint8(PAIRS) + np.minimum(tables.known.take(slots[-1] - tables.first), PAIRS - 1)).astype(np.int64)
-            z = self.mixed([tables.logit.take(x) for x in slots], gate)
-            low, part = self._place(z)
-            cell = gate * SSE_STEPS + low
-            refined = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
-            p = np.minimum(np.maximum(0.5 * _sigmoid(z) + 0.5 * refined, 1e-6), 1 - 1e-6)
-            chance *= np.where(bit == 1, p, 1 - p)
-        docs = len(w.counts)
-        return np.bincount(s.doc, weights=-np.log2(chance), minlength=docs), np.bincount(s.doc, minlength=docs)
-
-    def learn(self, w: Words, cells: np.ndarray, hits: np.ndarray) -> None:
-        """Online steps over the documents, each bit's own occurrence taken out of its counts; adds to ``hits`` (bits and ones per refining cell)."""
-        s = stream(w)
-        for bit, slots in s.bits(self.size):
-            counts = [(n - 1, n1 - bit.astype(np.float32)) for n, n1 in (_split(cells.take(x)) for x in slots)]
-            inputs = [_logit(n1, n) for n, n1 in counts]
-            gate = _gate(counts[-2][0], counts[-1][0])
-            z = self.mixed(inputs, gate)
+    def learn(self, tables: Tables, t: Tokens, sums: dict[str, np.ndarray]) -> None:
+        """Online steps over the tokens; adds to the sums of bits and ones per refining cell, bits per gate, and match decisions."""
+        own = np.ones(len(t.mark), dtype=np.int64)
+        for bit, inputs, gate, refining, z in self._seen(tables, t, own):
             error = bit - _sigmoid(z)
             share = np.bincount(gate, minlength=GATES)
-            step = RATE * np.minimum(1.0, share / 500) / np.maximum(share, 1)
+            rate = RATE * np.minimum(1.0, share / 500) / np.maximum(share, 1)
+            self.weights[0] += rate * np.bincount(gate, weights=error, minlength=GATES)
             for o, x in enumerate(inputs):
-                self.weights[o] += step * np.bincount(gate, weights=error * x, minlength=GATES)
-            cell = gate * SSE_STEPS + self._place(z)[0]
-            hits[0] += np.bincount(cell, minlength=GATES * SSE_STEPS)
-            hits[1] += np.bincount(cell, weights=bit, minlength=GATES * SSE_STEPS)
-
-    def merge(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """The tasks' weights, each gate's by the bits that it saw, and the sum of their refining cells."""
-        if not parts:
-            return
-        share = np.stack([h[0].reshape(GATES, SSE_STEPS).sum(axis=1) for _, h in parts])
-        every = share.sum(axis=0)
-        mean = np.einsum("tg,tog->og", share, np.stack([x for x, _ in parts])) / np.maximum(every, 1)
-        self.weights = np.where(every > 0, mean, self.weights).astype(np.float32)
-        n, ones = np.sum([h for _, h in parts], axis=0).reshape(2, GATES, SSE_STEPS)
-        self.refine = (ones + PRIOR * self.refine) / (n + PRIOR)
-
-
-@dataclass
-class Tables:
-    """The cells' logits, and the size classes of the last two orders' counts, whose cells begin at ``first``."""
-
-    logit: np.ndarray
-    known: np.ndarray
-    first: int
+                self.weights[o + 1] += rate * np.bincount(gate, weights=error * x, minlength=GATES)
+            cell = refining * SSE_STEPS + self._step(z)[0]
+            sums["bits"] += share
+            sums["seen"] += np.bincount(cell, minlength=SSE_GATES * SSE_STEPS)
+            sums["ones"] += np.bincount(cell, weights=bit, minlength=SSE_GATES * SSE_STEPS)
+        sums["tried"] += np.bincount(self._votes, minlength=MATCH_WEIGHTS)
+        sums["hits"] += np.bincount(self._votes, weights=self._hit, minlength=MATCH_WEIGHTS)
 
     @staticmethod
-    def of(cells: np.ndarray, size: tuple[int, ...]) -> Tables:
-        first = sum(1 << b for b in size[:-2])
-        logit, known = np.empty(len(cells), dtype=np.float32), np.empty(len(cells) - first, dtype=np.uint8)
-        for k in range(0, len(cells), CHUNK):
-            n, ones = _split(cells[k : k + CHUNK])
-            logit[k : k + CHUNK] = _logit(ones, n)
-        for k in range(0, len(known), CHUNK):
-            known[k : k + CHUNK] = _class(_split(cells[first + k : first + k + CHUNK])[0], SIZES)
-        return Tables(logit, known, first)
+    def no_sums() -> dict[str, np.ndarray]:
+        return {"bits": np.zeros(GATES), "seen": np.zeros(SSE_GATES * SSE_STEPS), "ones": np.zeros(SSE_GATES * SSE_STEPS), "tried": np.zeros(MATCH_WEIGHTS), "hits": np.zeros(MATCH_WEIGHTS)}
+
+    def merge(self, weighted: np.ndarray, sums: dict[str, np.ndarray]) -> None:
+        """The sum of the tasks' weights times the bits that they saw, and the sums themselves."""
+        known = sums["bits"] > 0
+        self.weights[:, known] = (weighted / np.maximum(sums["bits"], 1))[:, known]
+        n, ones = sums["seen"].reshape(SSE_GATES, SSE_STEPS), sums["ones"].reshape(SSE_GATES, SSE_STEPS)
+        self.refine = ((ones + PRIOR * self.refine) / (n + PRIOR)).astype(np.float32)
+        self.match = (sums["hits"] + PRIOR * self.match) / (sums["tried"] + PRIOR)
+
+    def cost(self, tables: Tables, w: Words, t: Tokens, train: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Bits of each token; ``train`` tells of each token whether its text is a training text, ``count`` how often training texts have it."""
+        own = train.astype(np.int64)
+        total, chance = np.zeros(len(t.mark)), np.ones(len(t.mark))
+        flat = self.refine.ravel()
+        for bit, _, _, refining, z in self._seen(tables, t, own):
+            low, part = self._step(z)
+            cell = refining * SSE_STEPS + low
+            refined = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
+            p = np.minimum(np.maximum(0.5 * _sigmoid(z) + 0.5 * refined, 1e-6), 1 - 1e-6)
+            chance *= np.where(bit == 1, p, 1 - p)
+        total = -np.log2(chance)
+        code, left = t.code, count - own
+        tried = self._votes > 0
+        odds = self.match.take(self._votes)
+        hit = tried & self._hit
+        within = tables.of_class.take(code) - own + tables.fresh.take(code)
+        known = ~hit & (left > 0)
+        new = ~hit & (left <= 0)
+        total += np.where(hit, -np.log2(odds), np.where(tried, -np.log2(1 - odds), 0))
+        total[known] -= np.log2(left[known] / within[known])
+        total[new] -= np.log2(tables.fresh.take(code[new]) / within[new])
+        spelt = np.flatnonzero(new & (t.word >= 0))
+        at = t.word[spelt]
+        # of all spellings, a class has one in CLASSES, so knowing the class is worth its bits
+        total[spelt] += np.maximum(tables.spelling.cost(w.buf, w.start[at], w.end[at]) - CLASS_BITS, 0)
+        return total
+
+
+# --- tasks --------------------------------------------------------------------------------------
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, number in training texts) of a task's distinct words."""
-    block = TaskContext.get().partitionId()
-    table: dict[int, list] = {}
-    end_train = rows = 0
+    """(block, hash, number in training texts) of the blocks' distinct words, and in chunks how words of training texts are spelt."""
+    names = ["block", "mark", "n", "chunk", "cells"]
+    spelling, some = Spelling(), False
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now, ends, rows = None, 0, 0
+
+    def flush() -> pa.RecordBatch:
+        mark, n = (np.concatenate(x) for x in zip(*held, (end_mark(), np.array([ends])), strict=True))
+        distinct, where = np.unique(mark, return_inverse=True)
+        n = np.bincount(where, weights=n, minlength=len(distinct)).astype(np.int64)
+        k = len(distinct)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, now)), pa.array(distinct.view(np.int64)), pa.array(n), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+
     for batch in batches:
-        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        rows += len(batch)
-        end_train += int(train.sum())
-        for i, j, w in word_blocks(batch.column("text"), lower=True, most=1 << 20):
-            if not len(w):
+        block, train = batch.column("block").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+            if b == a:
                 continue
-            h = w.hashes()
-            distinct, one, where = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(where, weights=train[i:j][w.doc()], minlength=len(distinct))
-            raw = w.buf.tobytes()
-            for x, c, a, b in zip(distinct.tolist(), n.astype(np.int64).tolist(), w.start[one].tolist(), w.end[one].tolist(), strict=True):
-                have = table.get(x)
-                if have is None:
-                    table[x] = [raw[a:b], c]
-                else:
-                    have[1] += c
+            if block[a] != now:
+                if rows:
+                    yield flush()
+                now, ends, rows = int(block[a]), 0, 0
+                held.clear()
+            rows += b - a
+            ends += int(train[a:b].sum())
+            for i, j, w in word_blocks(batch.column("text").slice(a, b - a), lower=True, most=1 << 20):
+                if not len(w):
+                    continue
+                distinct, one, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                n = np.bincount(where, weights=train[a + i : a + j][w.doc()], minlength=len(distinct)).astype(np.int64)
+                held.append((distinct, n))
+                learnt = one[n > 0]
+                spelling.learn(w.buf, w.start[learnt], w.end[learnt])
+                some = True
     if rows:
-        table[-1] = [END, end_train]
-    items = list(table.values())
-    for k in range(0, len(items), 100_000):
-        part = items[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64())], ["block", "word", "n"])
+        yield flush()
+    if some:
+        parts = [zlib.compress(spelling.cells[k : k + CHUNK].tobytes(), 1) for k in range(0, len(spelling.cells), CHUNK)]
+        k = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+
+
+def _packed(cells: np.ndarray, words: np.ndarray, votes: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate([x.view(np.uint8) for x in (cells, words, votes)]).tobytes(), 1)
+
 
+def _chunk_sizes(bits: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Chunks, and how many cells and slots each has."""
+    cells, slots = (1 << bits[0]) + (1 << bits[1]), 1 << bits[2]
+    n = max(1, min(64, cells // CHUNK))
+    return n, -(-cells // n), -(-slots // n)
 
-def _bit_counts(size: tuple[int, ...]):
+
+def _counted(bits: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(sum(1 << b for b in size), dtype=np.int64)
+        cells, matches, some = np.zeros((1 << bits[0]) + (1 << bits[1]), dtype=np.int64), Matches(1 << bits[2]), False
         for batch in batches:
-            for _, _, w in word_blocks(batch.column("text"), lower=True):
-                for bit, slots in stream(w).bits(size):
+            for _, _, w in word_blocks(batch.column("text"), lower=True, most=BLOCK_BYTES):
+                some = True
+                t = tokens_of(w)
+                code = t.code
+                for (_, bit, _), places in zip(bits_of(code), cells_of(t, code, bits), strict=True):
                     more = 1 + (bit << 32)
-                    for x in slots:
+                    for x in places:
                         np.add.at(cells, x, more)
-        for k in range(0, len(cells), CHUNK):
-            part = cells[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+                matches.learn(match_slot(t, bits), (t.mark >> U64(32)).astype(np.uint32))
+        if some:
+            n, a, b = _chunk_sizes(bits)
+            for k in range(n):
+                part = _packed(cells[k * a : (k + 1) * a], matches.word[k * b : (k + 1) * b], matches.votes[k * b : (k + 1) * b])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["chunk", "cells"])
 
     return run
 
 
-def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked(raw: bytes, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+    rest = len(both) - 8 * a
+    return both[: 8 * a].view(np.int64), both[8 * a : 8 * a + rest // 5 * 4].view(np.uint32), both[8 * a + rest // 5 * 4 :]
+
+
+def _added(bits: tuple[int, int, int]):
+    """Chunks of one number are added up: counts, and votes by the larger one less the smaller, in an order that doesn't depend on arrival."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, a, _ = _chunk_sizes(bits)
+        total: dict[int, tuple[np.ndarray, Matches]] = {}
+        whole = (1 << bits[0]) + (1 << bits[1])
+        for batch in batches:
+            for c, raw in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                cells, words, votes = _unpacked(raw, min(a, whole - c * a))
+                if c not in total:
+                    m = Matches(len(words))
+                    m.word[:], m.votes[:] = words, votes
+                    total[c] = (cells.copy(), m)
+                    continue
+                total[c][0].__iadd__(cells)
+                some = np.flatnonzero(votes)
+                total[c][1].vote(some, words[some], votes[some].astype(np.int64))
+        for c, (cells, m) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([_packed(cells, m.word, m.votes)], pa.binary())], ["chunk", "cells"])
+
+    return run
+
+
+def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for c, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            more = np.frombuffer(zlib.decompress(raw), dtype="<i8")
+        for c, raw in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            more = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
             total[c] = total[c] + more if c in total else more
     for c, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["chunk", "cells"])
 
 
 def _learned(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, size = shared.value
-        model, hits, some = MixingModel(size), np.zeros((2, GATES * SSE_STEPS)), False
+        tables: Tables = shared.value
+        model, sums, some = MixingModel(), MixingModel.no_sums(), False
         for batch in batches:
-            for _, _, w in word_blocks(batch.column("text"), lower=True):
+            for _, _, w in word_blocks(batch.column("text"), lower=True, most=BLOCK_BYTES):
                 some = True
-                model.learn(w, cells, hits)
+                model.learn(tables, tokens_of(w), sums)
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([hits.tobytes()], pa.binary())], ["task", "weights", "hits"])
+            weighted = (model.weights * sums["bits"]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([weighted.tobytes()], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in sums.values())], ["task", "weighted", *sums])
 
     return run
 
 
-def _model(train: DataFrame, kinds: int):
-    """The broadcast tables, and the model's weights and refining table, from every training text."""
-    size = slot_bits(kinds)
-    chunks = train.mapInArrow(_bit_counts(size), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-    cells = np.zeros(sum(1 << b for b in size), dtype=np.int64)
-    for c, raw in chunks.toLocalIterator():
-        cells[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(raw)), dtype="<i8")
-    sc = train.sparkSession.sparkContext
-    shared = sc.broadcast((cells, size))
-    model = MixingModel(size)
-    parts = sorted(train.mapInArrow(_learned(shared), "task int, weights binary, hits binary").collect())
-    model.merge([(np.frombuffer(bytes(r[1]), dtype=np.float32).reshape(ORDERS, GATES), np.frombuffer(bytes(r[2])).reshape(2, -1)) for r in parts])
-    shared.destroy()
-    return sc.broadcast(Tables.of(cells, size)), model
-
-
 def _scorer(shared, model: MixingModel, total: int, distinct: int):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        spelt = words.column("word").combine_chunks() if words.num_rows else pa.array([], pa.binary())
-        count = words.column("c").to_numpy()
-        buf, off = text_buffers(spelt)
-        mark = span_hashes(buf, off[:-1], off[1:])
-        base = np.log10((count + ALPHA) / (total + ALPHA * (distinct + 1)))
+        tables: Tables = shared.value
+        mark, count = words.column("mark").to_numpy().view(np.uint64), words.column("c").to_numpy()
         order = np.argsort(mark)
-        mark, base, known = mark[order], base[order], (count > 0)[order]
-        end = int(np.flatnonzero(mark == span_hashes(np.frombuffer(END, dtype=np.uint8), np.array([0]), np.array([1]))[0])[0])
+        mark, count = mark[order], count[order]
+        base = np.log10((count + ALPHA) / (total + ALPHA * (distinct + 1)))
         rows = texts.num_rows
-        out = {k: np.zeros(rows) for k in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
-        for i, j, w in word_blocks(texts.column("text"), lower=True):
-            h = w.hashes()
-            at = np.minimum(np.searchsorted(mark, h), len(mark) - 1)
-            doc, n = w.doc(), j - i
-            if (mark[at] != h).any():
-                raise RuntimeError("a word has no count: the input's partitions changed between two reads")
+        held = texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        out = {k: np.zeros(rows) for k in ("n_tokens", "n_known", "base_score", "bits", "n_bytes")}
+        for i, j, w in word_blocks(texts.column("text"), lower=True, most=BLOCK_BYTES):
+            t = tokens_of(w)
+            at = np.minimum(np.searchsorted(mark, t.mark), len(mark) - 1)
+            if (mark[at] != t.mark).any():
+                raise RuntimeError("a word has no count: the input's blocks changed between two reads")
+            n = j - i
             out["n_tokens"][i:j] = w.counts + 1
-            out["n_known"][i:j] = np.bincount(doc, weights=known[at], minlength=n) + known[end]
-            out["base_score"][i:j] = np.bincount(doc, weights=base[at], minlength=n) + base[end]
-            bits, out["n_bytes"][i:j] = model.cost(w, shared.value)
-            out["score"][i:j] = -np.log10(2.0) * bits
-        bits = out["score"] / -np.log10(2.0) / np.maximum(out["n_bytes"], 1)
+            out["n_known"][i:j] = np.bincount(t.doc, weights=count[at] > 0, minlength=n)
+            out["base_score"][i:j] = np.bincount(t.doc, weights=base[at], minlength=n)
+            out["bits"][i:j] = np.bincount(t.doc, weights=model.cost(tables, w, t, ~held[i:j][t.doc], count[at]), minlength=n)
+            out["n_bytes"][i:j] = np.bincount(w.doc(), weights=w.end - w.start + 1, minlength=n) + 1
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
@@ -349,25 +530,65 @@ def _scorer(shared, model: MixingModel, total: int, distinct: int):
                 "n_known": pa.array(out["n_known"].astype(np.int64)),
                 "train_tokens": pa.array(np.full(rows, total, dtype=np.int64)),
                 "base_score": pa.array(out["base_score"]),
-                "score": pa.array(out["score"]),
-                "bits_per_byte": pa.array(bits),
+                "score": pa.array(-np.log10(2.0) * out["bits"]),
+                "bits_per_byte": pa.array(out["bits"] / np.maximum(out["n_bytes"], 1)),
             }
         )
 
     return run
 
 
+def _stable(rows: DataFrame) -> DataFrame:
+    """The rows as they are if they come from a plain scan of files, which gives the same blocks whenever it is read; else written and read again."""
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.sub(r"^[\s:+\-]*", "", line) for line in plan.splitlines() if line.strip()]
+    return rows if all(n.startswith(("Project", "Filter", "Relation")) for n in nodes) else written(rows)
+
+
+def _model(train: DataFrame, tables: Tables):
+    """The broadcast tables, and the model's weights and refining table, from every training text."""
+    spark, sc, bits = train.sparkSession, train.sparkSession.sparkContext, tables.bits
+    few = train.coalesce(2 * max(1, sc.defaultParallelism))  # tables, one a task, are summed up: not one for every small split
+    chunks = few.mapInArrow(_counted(bits), "chunk int, cells binary").repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("cells")).mapInArrow(_added(bits), "chunk int, cells binary")
+    _, a, b = _chunk_sizes(bits)
+    for c, raw in chunks.toLocalIterator():
+        cells, words, votes = _unpacked(bytes(raw), min(a, len(tables.cells) - c * a))
+        tables.cells[c * a : c * a + len(cells)] = cells
+        tables.matches.word[c * b : c * b + len(words)], tables.matches.votes[c * b : c * b + len(votes)] = words, votes
+    release(spark)
+    shared = sc.broadcast(tables)
+    model, sums, weighted = MixingModel(), MixingModel.no_sums(), np.zeros((INPUTS, GATES))
+    names = list(sums)
+    for r in sorted(few.mapInArrow(_learned(shared), "task int, weighted binary, " + ", ".join(f"{n} binary" for n in names)).collect()):
+        weighted += np.frombuffer(bytes(r[1])).reshape(INPUTS, GATES)
+        for n, x in zip(names, r[2:], strict=True):
+            sums[n] += np.frombuffer(bytes(x))
+    model.merge(weighted, sums)
+    return shared, model
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     spark = docs.sparkSession
-    rows = only(docs, doc_id=id_col, text=text_col)
+    rows = _stable(only(docs, doc_id=id_col, text=text_col))
     held_out = fold(F.col("doc_id"), FOLDS) == 0
-    found = rows.select((~held_out).alias("train"), "text").mapInArrow(_vocabulary, "block int, word binary, n long").repartition("word")
-    sums = found.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("lead"))
-    counted = written(found.join(sums, "word").select("block", "word", "c", (F.col("block") == F.col("lead")).alias("lead")))
-    distinct = counted.filter("lead")
-    total, kinds = distinct.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    model = _model(rows.filter(~held_out).select("text"), int(kinds or 0))
-    texts = rows.select("doc_id", held_out.alias("held_out"), "text", F.spark_partition_id().alias("block"))
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_ROWS_BITS)
+    blocks = rows.select("doc_id", held_out.alias("held_out"), "text", block.alias("block"))
+    found = written(blocks.select((~F.col("held_out")).alias("train"), "text", "block").mapInArrow(_vocabulary, "block long, mark long, n long, chunk int, cells binary"))
+    words = found.filter(F.col("mark").isNotNull()).select("block", "mark", "n").repartition("mark")
+    sums = words.groupBy("mark").agg(F.sum("n").alias("c"))
+    counted = written(words.join(sums, "mark").select("block", "mark", "c"))
+    release(spark)
+    code = F.shiftrightunsigned("mark", 64 - CLASS_BITS)
+    per_class = found.filter(F.col("mark").isNotNull()).groupBy("mark").agg(F.sum("n").alias("c")).filter("c > 0").groupBy(code.alias("code")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("kinds")).collect()
+    of_class, fresh = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+    for r in per_class:
+        of_class[r["code"]], fresh[r["code"]] = r["c"], r["once"]
+    kinds, total = sum(r["kinds"] for r in per_class), int(of_class.sum())
+    tables = Tables.empty(table_bits(kinds), of_class, fresh)
+    for c, raw in found.filter(F.col("chunk").isNotNull()).select("chunk", "cells").repartition("chunk").mapInArrow(_spellings, "chunk int, cells binary").collect():
+        part = np.frombuffer(zlib.decompress(bytes(raw)), dtype=np.int64)
+        tables.spelling.cells[c * CHUNK : c * CHUNK + len(part)] = part
+    shared, model = _model(rows.filter(~held_out).select("text"), tables)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(_scorer(*model, int(total or 0), int(kinds or 0)), schema)
+    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_scorer(shared, model, total, kinds), schema)

@@ -25,7 +25,7 @@ from strandline.llm.packing import BestFit, best_fit_pack
 from strandline.llm.quality_classifier import quality_classifier
 from strandline.llm.quality_rules import quality_rules
 from strandline.llm.substring_dedup import substring_dedup
-from strandline.llm.textbuf import text_buffers
+from strandline.llm.textbuf import split_words, text_buffers
 from strandline.llm.token_counts import SCRUB, TokenTree, edited_trees, token_counts, token_trees
 from tests.oracle import SMALL, assert_same, connection
 
@@ -521,17 +521,74 @@ def test_quality_classifier_selects_good_documents(spark):
 
 def test_lm_scores(spark, odd, none):
     assert lm_scores(none).count() == 0
-    rows = [r for r in odd.collect() if r.doc_id is not None]
+    rows = odd.collect()
+    train = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in rows]
     tokens = [[*words((r.text or "").translate(LOW)), "\n"] for r in rows]
     counts = Counter()
-    for r, t in zip(rows, tokens, strict=True):
-        if zlib.crc32(str(r.doc_id).encode()) % 10:
+    for t, x in zip(tokens, train, strict=True):
+        if x:
             counts.update(t)
     total, kinds = sum(counts.values()), len(counts)
-    want = sorted((r.doc_id, len(t), sum(counts[x] > 0 for x in t), round(sum(log10((counts[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in t), 6)) for r, t in zip(rows, tokens, strict=True))
+    want = [(r.doc_id, not x, len(t), sum(counts[y] > 0 for y in t), total, round(sum(log10((counts[y] + 0.1) / (total + 0.1 * (kinds + 1))) for y in t), 6)) for r, t, x in zip(rows, tokens, train, strict=True)]
     got = lm_scores(odd.repartition(3)).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got if r.doc_id is not None) == want
-    assert all(r.train_tokens == total and r.score < 0 and r.bits_per_byte > 0 for r in got)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.score < 0 and r.bits_per_byte > 0 for r in got)
+
+
+def test_lm_probabilities_are_a_distribution():
+    """All next words of a small alphabet, the unseen word's share among them, add up to one."""
+    rng = random.Random(4)
+    vocab = [f"v{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(vocab[: 5 + 25 * (k % 2)]) for _ in range(40)) for k in range(50)]
+
+    def read(texts):
+        buf, off = text_buffers(pa.array(texts))
+        w = split_words(buf, off)
+        return w, lm_scoring.tokens_of(w)
+
+    w, t = read(texts)
+    counts = Counter(t.mark.tolist())
+    of_class, fresh = np.zeros(lm_scoring.CLASSES, dtype=np.int64), np.zeros(lm_scoring.CLASSES, dtype=np.int64)
+    for m, n in counts.items():
+        of_class[m >> 52] += n
+        fresh[m >> 52] += n == 1
+    tables, model = lm_scoring.Tables.empty(lm_scoring.table_bits(len(counts)), of_class, fresh), lm_scoring.MixingModel()
+    code = t.code
+    for (_, bit, _), cells in zip(lm_scoring.bits_of(code), lm_scoring.cells_of(t, code, tables.bits), strict=True):
+        for x in cells:
+            np.add.at(tables.cells, x, 1 + (bit << 32))
+    for _ in range(3):
+        model.learn(tables, t, model.no_sums())
+    # without a match, the classes' bits make a distribution, and so do the words in a class with the share of new ones
+    for context in ("v1 v2", "v29 v3", "unheard of"):
+        total = 0.0
+        for c in range(lm_scoring.CLASSES):
+            one, tok = read([context])
+            tok.mark[-1] = np.uint64(c << 52)
+            count = np.array([counts.get(m, 0) for m in tok.mark.tolist()])
+            bits = model.cost(tables, one, tok, np.zeros(len(tok.mark), dtype=bool), count)[-1]
+            total += 2 ** (-bits) * (of_class[c] + max(1, fresh[c])) / max(1, fresh[c])
+        assert abs(total - 1) < 1e-3
+
+
+def test_lm_match_votes():
+    m = lm_scoring.Matches(8)
+    m.learn(np.array([1, 1, 1, 2, 2, 3]), np.array([7, 7, 9, 5, 6, 4], dtype=np.uint32))
+    assert (m.word[1], m.votes[1], m.votes[2], m.word[3], m.votes[3]) == (7, 1, 0, 4, 1)
+    m.vote(np.array([1, 3]), np.array([9, 4], dtype=np.uint32), np.array([3, 300]))
+    assert (m.word[1], m.votes[1], m.votes[3]) == (9, 2, 255)
+
+
+def test_lm_scores_beat_the_base_and_tell_copies_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = lm_scores(docs).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    n = Counter(r.text for r in docs.collect() if len(words(r.text)) >= 30)
+    twice = {r.doc_id for r in docs.collect() if n[r.text] > 1}
+    single = sorted(r.bits_per_byte for r in got if r.doc_id not in twice)
+    assert sum(r.bits_per_byte < single[len(single) // 10] for r in got if r.doc_id in twice and not r.held_out) > 0.8 * sum(not r.held_out for r in got if r.doc_id in twice)
 
 
 def test_lm_scores_know_the_order_of_words(spark):
@@ -554,8 +611,8 @@ def test_lm_scores_know_the_order_of_words(spark):
 
 
 def test_lm_tables_grow_with_the_vocabulary():
-    cells = [sum(1 << b for b in lm_scoring.slot_bits(1 << k)) for k in (18, 20, 22)]
-    assert cells[1] > 3 * cells[0] and cells[2] > 3 * cells[1]
+    cells = [sum(1 << b for b in lm_scoring.table_bits(1 << k)) for k in (16, 18, 20, 22)]
+    assert all(b > 3 * a for a, b in zip(cells, cells[1:], strict=False))
 
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
