@@ -4,7 +4,7 @@ A text is its tokens: lower-cased (A-Z) words, then one end. A token is told in
 decisions: twelve bits of its word's hash name a class, and within the class counts name
 the word. Each class bit is predicted by hashed contexts: none at all, the last short word
 (which tells languages and registers apart), the previous word, and a match - the word
-that most often followed the two words before. The predictors' logits are mixed by weights
+that most often followed the three words before. The predictors' logits are mixed by weights
 that a gate selects (how well the previous word is known, how often the match was seen, and
 how far the bits are told), learned online by gradient steps over all training texts in every
 task and averaged by the bits seen; a table over the mixed probability refines it. If the
@@ -16,8 +16,8 @@ that predict it, so a text is cheap only if other texts make it so.
 
 Word counts meet without texts: blocks of documents (``BLOCK_ROWS`` consecutive rows of an
 input split) send their distinct words' hashes, and get the sums back. The model's tables
-grow with the counted vocabulary up to ``MOST_BITS``; tasks, of which training has a few per
-core, send theirs in compressed chunks to be added up; the driver gathers and broadcasts them.
+grow with the counted words up to a size that can be broadcast (``MOST_CELL_BITS``, ``MOST_SLOT_BITS``);
+tasks, of which training has one per core, send theirs in compressed chunks to be added up.
 
 Defined cases: null text is empty and has the end token only; a null doc_id is held out;
 without training texts all counts are 0 and every bit costs what an untrained model gives;
@@ -49,8 +49,9 @@ CLASS_BITS = 12
 CLASSES = 1 << CLASS_BITS
 #: Words of up to so many bytes are a context of their own.
 SHORT = 3
-#: The table of the previous word has at most 2**MOST_BITS cells of 8 bytes, the matches a quarter as many slots of 5 bytes.
-MOST_BITS = 23
+#: The table of the previous word has at most 2**22 cells of 8 bytes, and there are at most 2**24 matches of 5 bytes: 120 MB in all, which is what is broadcast.
+MOST_CELL_BITS = 22
+MOST_SLOT_BITS = 24
 LEAST_BITS = 14
 BLOCK_ROWS_BITS = 13
 BLOCK_BYTES = 1 << 18
@@ -59,10 +60,9 @@ INPUTS = 5
 SIZES, MATCHES = 8, 4
 GATES = SIZES * MATCHES * 3
 SSE_GATES, SSE_STEPS = MATCHES * CLASS_BITS, 33
-RATE = 0.8
+RATE = 1.5
 #: Bits that a refining cell's first value counts for, and decisions that a match's first odds count for.
 PRIOR = 50
-MATCH_WEIGHTS = 16
 SPELL_BITS = 18
 _LOW = np.int64((1 << 32) - 1)
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -70,10 +70,11 @@ _START = U64(0x632BE59BD9B4E019)
 _SALTS = [U64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def table_bits(kinds: int) -> tuple[int, int, int]:
-    """Powers of two of the cells of the short and the previous word, and of the matches' slots, by the number of distinct training words."""
-    n = min(MOST_BITS, max(LEAST_BITS, (max(1, kinds) - 1).bit_length() + 1))
-    return max(LEAST_BITS, n - 4), n, n - 2
+def table_bits(kinds: int, total: int) -> tuple[int, int, int]:
+    """Powers of two of the cells of the short and the previous word, by the number of distinct training words, and of the matches' slots, by that of all."""
+    bits = lambda n, most: min(most, max(LEAST_BITS, n.bit_length()))
+    n = bits(2 * kinds, MOST_CELL_BITS)
+    return max(LEAST_BITS, n - 4), n, bits(4 * total, MOST_SLOT_BITS)
 
 
 def end_mark() -> np.ndarray:
@@ -90,7 +91,7 @@ class Tokens:
     word: np.ndarray
     short: np.ndarray
     previous: np.ndarray
-    pair: np.ndarray
+    three: np.ndarray
 
     @property
     def code(self) -> np.ndarray:
@@ -108,11 +109,10 @@ def tokens_of(w: Words) -> Tokens:
     doc = np.repeat(np.arange(docs), w.counts + 1)
     first = np.repeat(w.first[:-1] + np.arange(docs), w.counts + 1)  # of each token's document
     at = np.arange(n)
-    previous, before = np.full(n, _START, dtype=U64), np.full(n, _START, dtype=U64)
-    previous[1:] = mark[:-1]
-    before[2:] = mark[:-2]
-    previous[at == first] = _START
-    before[at <= first + 1] = _START
+    previous, before, third = (np.full(n, _START, dtype=U64) for _ in range(3))
+    for back, words in enumerate((previous, before, third), 1):
+        words[back:] = mark[:-back]
+        words[at < first + back] = _START
     size = np.full(n, 99, dtype=np.int64)
     size[place] = w.end - w.start
     last = np.maximum.accumulate(np.where(size <= SHORT, at, -1))
@@ -121,7 +121,7 @@ def tokens_of(w: Words) -> Tokens:
     short = np.full(n, _START, dtype=U64)
     short[seen] = mark[last[seen]]
     with np.errstate(over="ignore"):
-        return Tokens(mark, doc, word, mix(short ^ _SALTS[0]), mix(previous ^ _SALTS[1]), mix(previous * _SALTS[2] + before))
+        return Tokens(mark, doc, word, mix(short ^ _SALTS[0]), mix(previous ^ _SALTS[1]), mix((previous * _SALTS[2] + before) * _SALTS[2] + third))
 
 
 def bits_of(code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -162,7 +162,7 @@ def _size_class(n: np.ndarray) -> np.ndarray:
 
 
 class Matches:
-    """The word that prevails behind a pair of words, and by how many occurrences: a majority vote per slot."""
+    """The word that prevails behind three words, and by how many occurrences: a majority vote per slot."""
 
     def __init__(self, slots: int):
         self.word, self.votes = np.zeros(slots, dtype=np.uint32), np.zeros(slots, dtype=np.uint8)
@@ -188,7 +188,7 @@ class Matches:
 
 
 def match_slot(tokens: Tokens, bits: tuple[int, int, int]) -> np.ndarray:
-    return (tokens.pair >> U64(64 - bits[2])).astype(np.int64)
+    return (tokens.three >> U64(64 - bits[2])).astype(np.int64)
 
 
 class Spelling:
@@ -268,9 +268,9 @@ class MixingModel:
     """Gated mixing weights, the refining table, and the odds of matches."""
 
     def __init__(self):
-        self.weights = np.repeat(np.array([[0.0], [0.3], [0.4], [0.3], [0.7]], dtype=np.float32), GATES, axis=1)
+        self.weights = np.repeat(np.array([[0.0], [0.3], [0.4], [0.3], [1.5]], dtype=np.float32), GATES, axis=1)
         self.refine = np.tile(_sigmoid(np.linspace(-8, 8, SSE_STEPS)), (SSE_GATES, 1)).astype(np.float32)
-        self.match = np.linspace(0.3, 0.9, MATCH_WEIGHTS)
+        self.match = np.full(MATCHES * 4, 0.9)
 
     def _seen(self, tables: Tables, t: Tokens, own: np.ndarray) -> Iterator[tuple]:
         """Per bit: (bit, inputs, gate, refining gate, mixed logit), each token's own occurrence taken out where ``own`` is 1."""
@@ -278,9 +278,13 @@ class MixingModel:
         slot = match_slot(t, tables.bits)
         word = tables.matches.word.take(slot)
         votes = tables.matches.votes.take(slot).astype(np.int64)
-        votes -= own * (word == (t.mark >> U64(32)).astype(np.uint32))
-        kind = np.minimum(np.maximum(votes, 0), 4)
-        kind = np.where(kind > 2, 3, kind)  # none, one, two, more votes
+        votes -= own * (word == (t.mark >> U64(32)).astype(np.uint32))  # its own occurrence voted too
+        own_word = (t.mark >> U64(32)).astype(np.uint32)
+        hit = (votes > 0) & (word == own_word)
+        run = np.zeros((2, len(hit)), dtype=bool)  # whether the matches of the last token, and of the last two, were right
+        run[0, 1:] = hit[:-1] & (t.doc[1:] == t.doc[:-1])
+        run[1, 1:] = run[0, 1:] & run[0, :-1]
+        kind = np.where(votes > 0, 1 + run.sum(axis=0), 0)
         strength = np.log1p(2 * np.maximum(votes, 0)).astype(np.float32)
         guess = (word >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
         mine = own.astype(np.float32)
@@ -300,7 +304,7 @@ class MixingModel:
             for o, x in enumerate(inputs):
                 z = z + x * self.weights[o + 1].take(gate)
             yield bit, inputs, gate, state * CLASS_BITS + place, z
-        self._votes, self._hit = np.where((kind > 0) & (guess == code), np.minimum(votes, MATCH_WEIGHTS - 1), 0), word == (t.mark >> U64(32)).astype(np.uint32)
+        self._odds, self._hit = np.where((kind > 0) & (guess == code), kind * 4 + np.minimum(votes, 3), 0), word == own_word
 
     @staticmethod
     def _step(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,12 +326,12 @@ class MixingModel:
             sums["bits"] += share
             sums["seen"] += np.bincount(cell, minlength=SSE_GATES * SSE_STEPS)
             sums["ones"] += np.bincount(cell, weights=bit, minlength=SSE_GATES * SSE_STEPS)
-        sums["tried"] += np.bincount(self._votes, minlength=MATCH_WEIGHTS)
-        sums["hits"] += np.bincount(self._votes, weights=self._hit, minlength=MATCH_WEIGHTS)
+        sums["tried"] += np.bincount(self._odds, minlength=MATCHES * 4)
+        sums["hits"] += np.bincount(self._odds, weights=self._hit, minlength=MATCHES * 4)
 
     @staticmethod
     def no_sums() -> dict[str, np.ndarray]:
-        return {"bits": np.zeros(GATES), "seen": np.zeros(SSE_GATES * SSE_STEPS), "ones": np.zeros(SSE_GATES * SSE_STEPS), "tried": np.zeros(MATCH_WEIGHTS), "hits": np.zeros(MATCH_WEIGHTS)}
+        return {"bits": np.zeros(GATES), "seen": np.zeros(SSE_GATES * SSE_STEPS), "ones": np.zeros(SSE_GATES * SSE_STEPS), "tried": np.zeros(MATCHES * 4), "hits": np.zeros(MATCHES * 4)}
 
     def merge(self, weighted: np.ndarray, sums: dict[str, np.ndarray]) -> None:
         """The sum of the tasks' weights times the bits that they saw, and the sums themselves."""
@@ -346,12 +350,12 @@ class MixingModel:
             low, part = self._step(z)
             cell = refining * SSE_STEPS + low
             refined = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
-            p = np.minimum(np.maximum(0.5 * _sigmoid(z) + 0.5 * refined, 1e-6), 1 - 1e-6)
+            p = np.minimum(np.maximum(0.25 * _sigmoid(z) + 0.75 * refined, 1e-6), 1 - 1e-6)
             chance *= np.where(bit == 1, p, 1 - p)
         total = -np.log2(chance)
         code, left = t.code, count - own
-        tried = self._votes > 0
-        odds = self.match.take(self._votes)
+        tried = self._odds > 0
+        odds = self.match.take(self._odds)
         hit = tried & self._hit
         within = tables.of_class.take(code) - own + tables.fresh.take(code)
         known = ~hit & (left > 0)
@@ -548,7 +552,7 @@ def _stable(rows: DataFrame) -> DataFrame:
 def _model(train: DataFrame, tables: Tables):
     """The broadcast tables, and the model's weights and refining table, from every training text."""
     spark, sc, bits = train.sparkSession, train.sparkSession.sparkContext, tables.bits
-    few = train.coalesce(2 * max(1, sc.defaultParallelism))  # tables, one a task, are summed up: not one for every small split
+    few = train.coalesce(max(1, sc.defaultParallelism))  # tables, one a task, are summed up: not one for every small split
     chunks = few.mapInArrow(_counted(bits), "chunk int, cells binary").repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("cells")).mapInArrow(_added(bits), "chunk int, cells binary")
     _, a, b = _chunk_sizes(bits)
     for c, raw in chunks.toLocalIterator():
@@ -585,7 +589,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     for r in per_class:
         of_class[r["code"]], fresh[r["code"]] = r["c"], r["once"]
     kinds, total = sum(r["kinds"] for r in per_class), int(of_class.sum())
-    tables = Tables.empty(table_bits(kinds), of_class, fresh)
+    tables = Tables.empty(table_bits(kinds, total), of_class, fresh)
     for c, raw in found.filter(F.col("chunk").isNotNull()).select("chunk", "cells").repartition("chunk").mapInArrow(_spellings, "chunk int, cells binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(raw)), dtype=np.int64)
         tables.spelling.cells[c * CHUNK : c * CHUNK + len(part)] = part

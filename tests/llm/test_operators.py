@@ -552,7 +552,7 @@ def test_lm_probabilities_are_a_distribution():
     for m, n in counts.items():
         of_class[m >> 52] += n
         fresh[m >> 52] += n == 1
-    tables, model = lm_scoring.Tables.empty(lm_scoring.table_bits(len(counts)), of_class, fresh), lm_scoring.MixingModel()
+    tables, model = lm_scoring.Tables.empty(lm_scoring.table_bits(len(counts), sum(counts.values())), of_class, fresh), lm_scoring.MixingModel()
     code = t.code
     for (_, bit, _), cells in zip(lm_scoring.bits_of(code), lm_scoring.cells_of(t, code, tables.bits), strict=True):
         for x in cells:
@@ -585,10 +585,12 @@ def test_lm_scores_beat_the_base_and_tell_copies_apart(spark):
     got = lm_scores(docs).collect()
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    n = Counter(r.text for r in docs.collect() if len(words(r.text)) >= 30)
-    twice = {r.doc_id for r in docs.collect() if n[r.text] > 1}
-    single = sorted(r.bits_per_byte for r in got if r.doc_id not in twice)
-    assert sum(r.bits_per_byte < single[len(single) // 10] for r in got if r.doc_id in twice and not r.held_out) > 0.8 * sum(not r.held_out for r in got if r.doc_id in twice)
+    # copies of a training text are told apart from the others, whether it is one of them or not
+    n = Counter(r.text for r in docs.collect() if len(words(r.text)) >= 30 and zlib.crc32(str(r.doc_id).encode()) % 10)
+    bits = {r.doc_id: r for r in got}
+    usual = sorted(r.bits_per_byte for r in got)[len(got) // 2]
+    copies = [bits[r.doc_id] for r in docs.collect() if n[r.text] > (not bits[r.doc_id].held_out)]
+    assert len(copies) > 20 and sum(r.bits_per_byte < 0.5 * usual for r in copies) > 0.9 * len(copies)
 
 
 def test_lm_scores_know_the_order_of_words(spark):
@@ -611,8 +613,8 @@ def test_lm_scores_know_the_order_of_words(spark):
 
 
 def test_lm_tables_grow_with_the_vocabulary():
-    cells = [sum(1 << b for b in lm_scoring.table_bits(1 << k)) for k in (16, 18, 20, 22)]
-    assert all(b > 3 * a for a, b in zip(cells, cells[1:], strict=False))
+    cells = [sum(1 << b for b in lm_scoring.table_bits(1 << k, 8 << k)) for k in (14, 16, 18, 20)]
+    assert all(b > 1.9 * a for a, b in zip(cells, cells[1:], strict=False)) and cells[-1] > 30 * cells[0]
 
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
