@@ -49,9 +49,11 @@ CLASS_BITS = 12
 CLASSES = 1 << CLASS_BITS
 #: Words of up to so many bytes are a context of their own.
 SHORT = 3
-#: The table of the previous word has at most 2**22 cells of 8 bytes, and there are at most 2**24 matches of 5 bytes: 120 MB in all, which is what is broadcast.
+#: The table of the previous word has at most 2**22 cells of 8 bytes, and there are at most 2**23 matches of 5 bytes: 78 MB in all, broadcast in compressed form.
 MOST_CELL_BITS = 22
-MOST_SLOT_BITS = 24
+MOST_SLOT_BITS = 23
+#: Up to so many slots there are four a training token, beyond a quarter of one.
+SPARSE_SLOT_BITS = 22
 LEAST_BITS = 14
 BLOCK_ROWS_BITS = 13
 BLOCK_BYTES = 1 << 18
@@ -74,7 +76,7 @@ def table_bits(kinds: int, total: int) -> tuple[int, int, int]:
     """Powers of two of the cells of the short and the previous word, by the number of distinct training words, and of the matches' slots, by that of all."""
     bits = lambda n, most: min(most, max(LEAST_BITS, n.bit_length()))
     n = bits(2 * kinds, MOST_CELL_BITS)
-    return max(LEAST_BITS, n - 4), n, bits(4 * total, MOST_SLOT_BITS)
+    return max(LEAST_BITS, n - 4), n, max(bits(4 * total, SPARSE_SLOT_BITS), bits(total // 4, MOST_SLOT_BITS))
 
 
 def end_mark() -> np.ndarray:
@@ -253,6 +255,16 @@ class Tables:
     matches: Matches
     spelling: Spelling
 
+    def __getstate__(self) -> dict:
+        pack = lambda x: zlib.compress(x.tobytes(), 1)
+        return {"small": (self.bits, self.tree, self.of_class, self.fresh, self.spelling), "cells": pack(self.cells), "word": pack(self.matches.word), "votes": pack(self.matches.votes)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.bits, self.tree, self.of_class, self.fresh, self.spelling = state["small"]
+        unpack = lambda k, kind: np.frombuffer(zlib.decompress(state[k]), dtype=kind)
+        self.cells, self.matches = unpack("cells", np.int64), Matches(0)
+        self.matches.word, self.matches.votes = unpack("word", np.uint32), unpack("votes", np.uint8)
+
     @staticmethod
     def empty(bits: tuple[int, int, int], of_class: np.ndarray, fresh: np.ndarray) -> Tables:
         tree = np.zeros(CLASSES, dtype=np.int64)  # bits seen and ones at each node of the classes' tree

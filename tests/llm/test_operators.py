@@ -613,8 +613,8 @@ def test_lm_scores_know_the_order_of_words(spark):
 
 
 def test_lm_tables_grow_with_the_vocabulary():
-    cells = [sum(1 << b for b in lm_scoring.table_bits(1 << k, 8 << k)) for k in (14, 16, 18, 20)]
-    assert all(b > 1.9 * a for a, b in zip(cells, cells[1:], strict=False)) and cells[-1] > 30 * cells[0]
+    cells = [sum(1 << b for b in lm_scoring.table_bits(1 << k, 8 << k)) for k in (12, 14, 16)]
+    assert all(b > 3 * a for a, b in zip(cells, cells[1:], strict=False))
 
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
