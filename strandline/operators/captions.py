@@ -199,6 +199,12 @@ def best_match(wanted: DataFrame, results: DataFrame, order: str) -> DataFrame:
     return found.withColumn("_", F.lit(1)).join(first, "_").select("scene", "hint", F.when(F.col("fit") > 0, F.col("content")).otherwise(F.col("any")).alias("content"))
 
 
+def shown_scenes(results: DataFrame, order: str, only: DataFrame | None = None) -> DataFrame:
+    """Scenes whose first pass is ok and that have a merged caption (pass1_ok, merged), in order; with ``only`` (scene) those of it."""
+    fine = results.filter(ok_truthy(F.col("pass1_ok")) & (F.coalesce(F.col("merged"), F.lit("")) != "")).select("scene", order)
+    return (fine if only is None else fine.join(only.select("scene"), "scene", "left_semi")).orderBy(order)
+
+
 def latest_file(files: DataFrame, name: str, prefixes: Sequence[str]) -> DataFrame:
     """The last name of the first prefix that any file has."""
     rank = F.coalesce(*[F.when(F.startswith(F.col(name), F.lit(p)), k) for k, p in enumerate(prefixes)])

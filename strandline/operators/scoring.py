@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.functions.text import strip
+from strandline.functions.text import candidate_actions, judge_digit, strip
 from strandline.sources.files import cached
 
 
@@ -249,3 +250,54 @@ def score_batch(samples: DataFrame, vectors: DataFrame, baselines: DataFrame) ->
         "id", F.round("raw", 4).alias("raw"), "normalized", "level", "k", F.size("ground_truth").alias("gt_len"), F.size("prediction").alias("pr_len"), F.col("random_sed").alias("random_baseline"),
         F.when(F.col("several"), F.col("n_candidates")).alias("n_candidates"),
     )
+
+
+def _tried(ask: Callable[..., object], retries: int, wait: Callable[[float], None], *args: object) -> object | None:
+    """The answer of the first call that gives one; None if none does."""
+    for attempt in range(retries):
+        try:
+            answer = ask(*args)
+            if answer is not None:
+                return answer
+        except Exception:  # noqa: BLE001 - a provider may fail in any way
+            pass
+        if attempt + 1 < retries:
+            wait(1.0 + attempt)
+    return None
+
+
+def judged(pairs: DataFrame, judge: Callable[[str, str, str], str], retries: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(gt, pred, context) -> (gt, pred, score): the digit in the judge's reply, null if it gives none after all tries."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            replies = [_tried(judge, retries, wait, *row) for row in f[["gt", "pred", "context"]].itertuples(index=False)]
+            yield pd.DataFrame({"gt": f["gt"], "pred": f["pred"], "reply": pd.Series(replies, index=f.index, dtype=object)})
+
+    return pairs.select("gt", "pred", "context").mapInPandas(ask, "gt string, pred string, reply string").select("gt", "pred", judge_digit(F.col("reply")).alias("score"))
+
+
+def predicted(points: DataFrame, model: Callable[[str, str], str], k: int, retries: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(id, system, user, ground_truth) -> (id, ground_truth, all_predictions) by a model's replies, in order of id.
+
+    A point whose replies hold no candidate after all tries is left out, as it can't be scored; ``captions.coverage`` tells how many are.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            replies = [_tried(lambda a, b: (r := model(a, b)) and ("actions" in r) and r or None, retries, wait, *row) for row in f[["system", "user"]].itertuples(index=False)]
+            yield pd.DataFrame({"id": f["id"], "ground_truth": f["ground_truth"], "reply": pd.Series(replies, index=f.index, dtype=object)})
+
+    rows = points.select(F.col("id").cast("string").alias("id"), "system", "user", F.slice("ground_truth", 1, k).alias("ground_truth"))
+    found = rows.mapInPandas(ask, "id string, ground_truth array<string>, reply string")
+    return found.select("id", "ground_truth", candidate_actions(F.col("reply"), k).alias("all_predictions")).filter(F.size("all_predictions") > 0).orderBy("id")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes soft_edit_distance(costs, width) and sed_score(distance, left, right) known to SQL, as expressions."""
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION soft_edit_distance(costs ARRAY<ARRAY<DOUBLE>>, width INT) RETURNS DOUBLE RETURN
+        IF(width = 0, CAST(size(costs) AS DOUBLE), element_at(aggregate(costs, transform(sequence(0, width), j -> CAST(j AS DOUBLE)),
+          (above, r) -> aggregate(sequence(1, width), array(get(above, 0) + 1), (now, j) -> concat(now, array(least(get(above, j) + 1, get(now, j - 1) + 1, get(above, j - 1) + get(r, j - 1)))))), -1))"""
+    )
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION sed_score(distance DOUBLE, a INT, b INT) RETURNS DOUBLE RETURN IF(greatest(a, b) = 0, 1.0D, 1 - distance / greatest(a, b, 1))")

@@ -212,6 +212,13 @@ def best_result_match(spark, d):
     return captions.best_match(w, r, "i").select("scene", "hint", F.md5("content").alias("content"))
 
 
+@query("SELECT o_orderkey AS scene FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def shown_scenes(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("scene"), (F.col("o_orderstatus") != "F").alias("pass1_ok"), F.when(F.col("o_orderpriority") != "5-LOW", "caption").alias("merged"), F.col("o_orderkey").alias("at"))
+    other = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("scene"))
+    return captions.shown_scenes(rows, "at", other).select("scene")
+
+
 @query("SELECT c_name FROM customer WHERE starts_with(c_name, 'Customer#0000001') ORDER BY c_name DESC LIMIT 1")
 def latest_results_file(spark, d):
     return captions.latest_file(table(spark, d, "customer").select("c_name"), "c_name", ["v9_", "Customer#0000001", "Customer#"])

@@ -245,3 +245,17 @@ query(_batch_sql())(scored_batch)
 @query("SELECT count(*) AS n, round(avg(value), 4) AS raw_mean, round(stddev_pop(value), 4) AS raw_std, round(avg(CASE WHEN value >= 1 THEN value END), 4) AS normalized_mean, round(stddev_pop(CASE WHEN value >= 1 THEN value END), 4) AS normalized_std FROM events")
 def score_means(spark, d):
     return scoring.per_level_means(events(spark, d).withColumn("n", F.when(F.col("value") >= 1, F.col("value"))), "value", "n")
+
+
+def evaluation_in_sql(spark, d):
+    """Scores of the embedding evaluation, by the functions that SQL knows."""
+    samples, vectors = _samples(spark, d)
+    scoring.register(spark)
+    matrices = scoring.embedding_results(samples, vectors).join(samples.select("id", "ground_truth", "prediction"), "id")
+    costs = F.expr("transform(cosine_matrix, r -> transform(r, c -> 1 - c))")
+    rows = matrices.withColumn("costs", costs).withColumn("sed", F.expr("soft_edit_distance(costs, size(prediction))"))
+    near = F.abs(F.expr("sed_score(sed, size(ground_truth), size(prediction))") - F.col("score")) < 0.001
+    return rows.select(F.col("id").cast("long").alias("event_id"), near.alias("near"))
+
+
+query(f"{_embedding_sql()} SELECT event_id, true AS near FROM s")(evaluation_in_sql)

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import delivery, joins, merge, redact
+from strandline.operators import delivery, joins, merge, redact, scoring
 from strandline.operators.delivery import record_names, sanitised
 from strandline.plans import base, registry
 from tests.oracle import SMALL
@@ -221,6 +221,30 @@ def test_merge_outputs(spark, tmp_path):
         merge.write_days(days, str(tmp_path / "day"))
 
 
+def test_providers_are_tried_again(spark):
+    calls = []
+
+    def judge(gt, pred, context):
+        if gt == "bad":
+            raise OSError
+        return "7" if context else "no digit"
+
+    pairs = spark.createDataFrame([("a", "b", "c"), ("a", "d", ""), ("bad", "b", "c")], "gt string, pred string, context string")
+    got = scoring.judged(pairs, judge, 2, calls.append).collect()
+    assert {(r.gt, r.pred): r.score for r in got} == {("a", "b"): 7, ("a", "d"): None, ("bad", "b"): None}
+    points = spark.createDataFrame([("2", "s", "one", ["x", "y", "z"]), ("1", "s", "none", ["x"])], "id string, system string, user string, ground_truth array<string>")
+    got = scoring.predicted(points, lambda system, user: '{"candidates": [{"actions": ["[10:00:00 -> 10:00:01] go", "b", "c"]}]}' if user == "one" else "sorry", 2, wait=calls.append).collect()
+    assert [tuple(r) for r in got] == [("2", ["x", "y"], [["go", "b"]])]
+
+
+def test_refused_samples(spark):
+    rows = spark.createDataFrame([("a", ["x"]), ("b", [])], "id string, gt array<string>")
+    with pytest.raises(Exception, match="sample b: gt empty"):
+        scoring.refused(scoring.validated(rows, "id", ["gt"]), "id").collect()
+    with pytest.raises(ValueError, match="no method"):
+        scoring.evaluate(rows, "none")
+
+
 def test_points_with_nulls_keep_their_hits(spark):
     points = spark.createDataFrame([("a", 5, None), ("a", 50, "x"), ("b", 5, None), (None, 5, "y")], "k string, t int, note string")
     spans = spark.createDataFrame([("a", 0, 10, "one"), ("a", 3, 9, "two"), ("a", 100, 110, "far")], "k string, s0 int, s1 int, name string")
