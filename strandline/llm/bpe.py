@@ -5,15 +5,14 @@ The public 50k byte-level vocabulary splits text by the pattern
 and merges bytes within each piece only, so a piece's ids depend on nothing
 but its bytes. Pieces are found here from code point classes with numpy, equal
 pieces of a block are encoded once, and a bounded cache keeps the ids of pieces
-seen before. A piece's ids come from the ``tokenizers`` library and the vocabulary's
-JSON file. Special tokens of that file (``<|endoftext|>``) stand for themselves in a
-text, as they do for the library.
+seen before. Ranks come from the vocabulary's JSON file, in which later merges have
+larger ids. Special tokens of that file (``<|endoftext|>``) stand for themselves in a
+text, as they do for the ``tokenizers`` library, whose ids these are.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -22,6 +21,8 @@ import numpy as np
 
 from strandline.llm.textbuf import span_hashes
 
+# Fixed values of the public vocabulary's pre-tokeniser.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 CACHE_PIECES = 1_000_000
@@ -108,16 +109,25 @@ def pieces(buf: np.ndarray, off: np.ndarray, special: np.ndarray | None = None)
     return start, np.searchsorted(start, off)
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of blocks of documents, by a public tokenizer's JSON file."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self._bpe = Tokenizer.from_file(path)
         with open(path, "rb") as f:
-            self.special = {t["content"].encode(): t["id"] for t in json.load(f).get("added_tokens", [])}
+            whole = json.load(f)
+        self.special = {t["content"].encode(): t["id"] for t in whole.get("added_tokens", [])}
+        alphabet = _byte_alphabet()
+        ranks = {bytes(map(alphabet.__getitem__, token)): i for token, i in whole["model"]["vocab"].items() if token.encode() not in self.special}
+        self._bpe = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._mark = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         #: Bytes of the longest special token.
         self.reach = max(map(len, self.special), default=0)
@@ -136,8 +146,8 @@ class Encoder:
         return np.array(found, dtype=np.int64).reshape(-1, 2)
 
     def _encoded(self, found: list[bytes]) -> list[list[int]]:
-        plain = self._bpe.encode_batch([x.decode() for x in found], add_special_tokens=False)
-        return [p.ids for p in plain]
+        encode, special = self._bpe.encode_ordinary, self.special
+        return [[special[x]] if x in special else encode(x.decode()) for x in found]
 
     def _clear(self) -> None:
         self._marks = np.zeros(0, dtype=np.uint64)  # sorted hashes of known pieces
