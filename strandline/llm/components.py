@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import settled
+from strandline.llm.cluster import settled, spread_join
 
 MOST_ROUNDS = 60
 
@@ -13,8 +13,9 @@ MOST_ROUNDS = 60
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's larger (large) or smaller-or-equal (small) neighbours are linked to the least one around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    near = both.join(least, "a")
+    least = settled(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+    near = spread_join(both, least, ["a"], "n")  # a node may hold a third of all edges
+    least = least.drop("n")
     if large:
         out = near.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
