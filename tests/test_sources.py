@@ -35,6 +35,21 @@ def test_lines(spark, tmp_path):
     assert [r.line for r in files.numbered_lines(spark, str(tmp_path / "e.txt"), True).orderBy("line_no").collect()] == ["a b", "", "b", "c"]
 
 
+def test_lenient_clips_and_inventory(spark, tmp_path):
+    for name, text in (("clip_2.json", '{"clip_id": 7, "ok": true}'), ("clip_1.json", '{"ok": false}'), ("clip_3.json", '{"clip_id": 3'), ("clip_4.json", "")):
+        (tmp_path / name).write_text(text)
+    got = files.read_json_lenient(spark, str(tmp_path / "clip_*.json")).orderBy("clip_id").collect()
+    assert [r.clip_id for r in got] == [0, 7]
+    for place, text in (("ego/A1_X/L1/day1", "a\n\nb\n"), ("ego/A1_X/L1/day2", "c"), ("ego/.hidden/L1/day1", "d"), ("next/u/L5/r1", "e\x0bf\u2028g")):
+        path = tmp_path / "data" / f"{place}.txt"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    lines = lambda keep: files.numbered_lines(spark, str(tmp_path / "data/*/*/*/*.txt"), keep)
+    count = lambda keep: {(r.source, r.participant, r.level, r.day): r.events for r in files.inventory(lines(keep)).collect()}
+    assert count(True) == {("ego", "A1_X", "L1", "day1"): 3, ("ego", "A1_X", "L1", "day2"): 1, ("next", "u", "L5", "r1"): 3}
+    assert count(False)["ego", "A1_X", "L1", "day1"] == 2
+
+
 def test_replies(spark, tmp_path):
     chunk = '{"candidates":[{"content":{"parts":[{"text":"%s"%s}]}}],"usageMetadata":{"promptTokenCount":5,"candidatesTokenCount":%d}}'
     lines = [chunk % ("hm", ',"thought":true', 1), chunk % ("```json\\n{}", "", 2), chunk % ("\\n```", "", 3)]
