@@ -51,6 +51,14 @@ def _times(line: Column, mark: str) -> Column:
     return F.try_divide(F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit(""))), F.lit(len(mark))).cast("int")
 
 
+def _any(low: Column) -> Column:
+    """Whether any of the fixed phrases is there: plain searches, which most lines need nothing more than."""
+    hit = F.contains(low, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
+        hit = hit | F.contains(low, F.lit(phrase))
+    return hit
+
+
 def line_fails(line: Column) -> Column:
     """True if the line breaks the punctuation, navigation or boilerplate rules; blank lines pass."""
     words = _times(line, " ") + 1
@@ -61,7 +69,7 @@ def line_fails(line: Column) -> Column:
         | (_times(line, "|") * 100 > words * MAX_BARS_PERCENT)
         | (_times(line, "!!") * 100 > words * MAX_SHOUTS_PERCENT)
         | (symbols * 100 > words * MAX_SYMBOLS_PERCENT)
-        | (F.regexp_count(low, F.lit("|".join(BOILERPLATE))) * 100 > words * MAX_PHRASES_PERCENT)
+        | F.when(_any(low), F.regexp_count(low, F.lit("|".join(BOILERPLATE))) * 100 > words * MAX_PHRASES_PERCENT).otherwise(F.lit(False))
     )
 
 
@@ -97,13 +105,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lit(0),
         lambda a, b: a + b,
     )
-    solid = F.filter("lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = rows.withColumn("solid", solid).withColumn("failing", F.filter("solid", line_fails))
+    # each line is judged once, for the counts and for the cleaned text
+    judged = F.transform("lines", lambda x: F.struct(x.alias("x"), x.rlike("[^\\x20\\x09-\\x0D]").alias("solid"), line_fails(x).alias("bad")))
+    rows = rows.withColumn("judged", judged)
+    solid = F.transform(F.filter("judged", lambda j: j["solid"]), lambda j: j["x"])
+    failing = F.transform(F.filter("judged", lambda j: j["solid"] & j["bad"]), lambda j: j["x"])
+    rows = rows.withColumn("solid", solid).withColumn("failing", failing)
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
     counted = rows.select(
         "doc_id",
         *kept_columns,
-        *(["text", "lines"] if with_text else []),
+        *(["judged"] if with_text else []),
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -114,16 +126,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         size("solid").alias("line_chars"),
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    judged = counted.withColumn("base_failed", base).withColumn(
+    verdict = counted.withColumn("base_failed", base).withColumn(
         "kept", ~F.col("base_failed") & (F.col("chars_removed") * 100 <= F.col("line_chars") * MAX_LOSS_PERCENT)
     )
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "chars_removed"]
-    cleaned = [F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n").alias("cleaned_text")] if with_text else []
+    cleaned = [F.array_join(F.transform(F.filter("judged", lambda j: ~j["bad"]), lambda j: j["x"]), "\n").alias("cleaned_text")] if with_text else []
     # A filter on the verdict must not be pushed below: it would put the expressions above into one another's
     # lambdas and run them once per element. Generators are a barrier to that.
     row = F.explode(F.array(F.struct(*out, *cleaned))).alias("row")
-    judged = judged.select("doc_id", *kept_columns, row)
+    verdict = verdict.select("doc_id", *kept_columns, row)
     own = [F.col(f"row.{c}").alias(c) for c in [*out, *(["cleaned_text"] if with_text else [])] if c not in set(carry)]
     if carry:
-        return judged.select(*[F.col(k).alias(c) for k, c in kept_columns.items()], *own, F.col("row.kept").alias("verdict_kept"))
-    return judged.select("doc_id", *own)
+        return verdict.select(*[F.col(k).alias(c) for k, c in kept_columns.items()], *own, F.col("row.kept").alias("verdict_kept"))
+    return verdict.select("doc_id", *own)
