@@ -53,7 +53,7 @@ SLOTS = 1 << 22
 CHUNK = 1 << 16
 #: Bits of prefix bitmaps: three a shingle or more, within these limits. Fuller ones don't make sure edges.
 SIGNATURE_BITS = (512, 2048)
-SMALL = 512
+SMALL = 128
 #: Bitmaps that allow this share of the smaller prefix make an edge without a count.
 ALIKE_PERCENT = 60
 BLOCK_SHINGLES = 1_000_000
