@@ -56,7 +56,8 @@ MOST_SLOT_BITS = 23
 SPARSE_SLOT_BITS = 22
 LEAST_BITS = 14
 BLOCK_ROWS_BITS = 13
-BLOCK_BYTES = 1 << 18
+#: Blocks are small, so that the cells of all their contexts stay in a core's cache while their bits are told.
+BLOCK_BYTES = 1 << 16
 CHUNK = 1 << 16
 INPUTS = 5
 SIZES, MATCHES = 8, 4
