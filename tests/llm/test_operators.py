@@ -48,6 +48,7 @@ def odd(spark):
     near = list(base)
     near[50] = "changed"
     texts += [" ".join(near), " ".join(base[:60]), "\n".join(["A line of words here."] * 12), " ".join(["run"] * 3000), "z" * 5000, "Home | About | Contact | Terms | Login | Help"]
+    texts += [" ".join(f"Long{k % 37_000}." for k in range(45_000))]  # longer than any block of bytes that the operators work on
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["b", "a", None, "c"]), 0, "w", -1, "k", "s", "l") for i, t in enumerate(texts)]
     rows += [rows[9], rows[9], (None, " ".join(base), "en", "a", 0, "w", -1, "k", "s", "l"), (None, None, None, None, None, None, None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA)
