@@ -31,6 +31,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,10 @@ RATE = 1.5
 #: Bits that a refining cell's first value counts for, and decisions that a match's first odds count for.
 PRIOR = 50
 SPELL_BITS = 18
+#: A task remembers so many words as spelt; after that it begins anew, so that some are spelt again.
+MOST_KNOWN = 2_000_000
 _LOW = np.int64((1 << 32) - 1)
+_ONE = float(1 << 24)
 _BASE = U64(0x9E3779B97F4A7C15)
 _START = U64(0x632BE59BD9B4E019)
 _SALTS = [U64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -146,6 +150,13 @@ def cells_of(tokens: Tokens, code: np.ndarray, bits: tuple[int, int, int]) -> It
             yield [s | node for s in slots]
 
 
+def _pairs(cells: np.ndarray) -> np.ndarray:
+    """Cells as (bits seen, ones) in the two parts of one number, so that one access gets both as floats."""
+    out = np.empty(len(cells), dtype=np.complex64)
+    out.real, out.imag = cells & _LOW, cells >> 32
+    return out
+
+
 def _split(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of bits seen and of ones among them; a cell holds both."""
     return (cells & _LOW).astype(np.float32), (cells >> 32).astype(np.float32)
@@ -161,7 +172,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _size_class(n: np.ndarray) -> np.ndarray:
     """The number of whole powers of two in n + 1, from a float's exponent."""
-    return np.minimum(((np.maximum(n, 0) + np.float32(1)).view(np.int32) >> 23) - 127, SIZES - 1).astype(np.int64)
+    return np.minimum(((np.maximum(n, np.float32(0)) + np.float32(1)).view(np.int32) >> 23) - 127, SIZES - 1).astype(np.int64)
 
 
 class Matches:
@@ -256,6 +267,11 @@ class Tables:
     matches: Matches
     spelling: Spelling
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tree's and the contexts' cells for reading; not to be asked for before they are final."""
+        return _pairs(self.tree), _pairs(self.cells)
+
     def __getstate__(self) -> dict:
         pack = lambda x: zlib.compress(x.tobytes(), 1)
         return {"small": (self.bits, self.tree, self.of_class, self.fresh, self.spelling), "cells": pack(self.cells), "word": pack(self.matches.word), "votes": pack(self.matches.votes)}
@@ -300,14 +316,15 @@ class MixingModel:
         kind = np.where(votes > 0, 1 + run.sum(axis=0), 0)
         strength = np.log1p(2 * np.maximum(votes, 0)).astype(np.float32)
         guess = (word >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
-        mine = own.astype(np.float32)
+        mine, (tree, contexts) = own.astype(np.float32), tables.pairs
         for (place, bit, node), cells in zip(bits_of(code), cells_of(t, code, tables.bits), strict=True):
-            one = mine * bit.astype(np.float32)
+            itself = (mine + 1j * (mine * bit)).astype(np.complex64)
             inputs, n = [], None
-            for found in (tables.tree.take(node), *(tables.cells.take(c) for c in cells)):
-                n, ones = _split(found)
-                n = n - mine
-                inputs.append(_logit(ones - one, n))
+            for table, at in ((tree, node), *((contexts, c) for c in cells)):
+                found = table.take(at)
+                found -= itself
+                n = found.real
+                inputs.append(_logit(found.imag, n))
             agrees = (kind > 0) & ((guess >> (CLASS_BITS - place)) == (code >> (CLASS_BITS - place)))
             side = ((guess >> (CLASS_BITS - 1 - place)) & 1) * 2 - 1
             inputs.append(np.where(agrees, side * strength, np.float32(0)).astype(np.float32))
@@ -337,8 +354,9 @@ class MixingModel:
                 self.weights[o + 1] += rate * np.bincount(gate, weights=error * x, minlength=GATES)
             cell = refining * SSE_STEPS + self._step(z)[0]
             sums["bits"] += share
-            sums["seen"] += np.bincount(cell, minlength=SSE_GATES * SSE_STEPS)
-            sums["ones"] += np.bincount(cell, weights=bit, minlength=SSE_GATES * SSE_STEPS)
+            both = np.bincount(cell, weights=1 + bit * _ONE, minlength=SSE_GATES * SSE_STEPS)  # two counts in a float, which is exact
+            sums["seen"] += both % _ONE
+            sums["ones"] += both // _ONE
         sums["tried"] += np.bincount(self._odds, minlength=MATCHES * 4)
         sums["hits"] += np.bincount(self._odds, weights=self._hit, minlength=MATCHES * 4)
 
@@ -390,6 +408,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, hash, number in training texts) of the blocks' distinct words, and in chunks how words of training texts are spelt."""
     names = ["block", "mark", "n", "chunk", "cells"]
     spelling, some = Spelling(), False
+    known = np.zeros(0, dtype=U64)  # words that the task has spelt, in order
     held: list[tuple[np.ndarray, np.ndarray]] = []
     now, ends, rows = None, 0, 0
 
@@ -419,8 +438,10 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 distinct, one, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
                 n = np.bincount(where, weights=train[a + i : a + j][w.doc()], minlength=len(distinct)).astype(np.int64)
                 held.append((distinct, n))
-                learnt = one[n > 0]
-                spelling.learn(w.buf, w.start[learnt], w.end[learnt])
+                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+                new = (n > 0) & (known[at] != distinct) if len(known) else n > 0
+                spelling.learn(w.buf, w.start[one[new]], w.end[one[new]])
+                known = np.insert(known, np.searchsorted(known, distinct[new]), distinct[new]) if len(known) < MOST_KNOWN else distinct[new]
                 some = True
     if rows:
         yield flush()
@@ -530,10 +551,11 @@ def _scorer(shared, model: MixingModel, total: int, distinct: int):
         out = {k: np.zeros(rows) for k in ("n_tokens", "n_known", "base_score", "bits", "n_bytes")}
         for i, j, w in word_blocks(texts.column("text"), lower=True, most=BLOCK_BYTES):
             t = tokens_of(w)
-            at = np.minimum(np.searchsorted(mark, t.mark), len(mark) - 1)
-            if (mark[at] != t.mark).any():
+            asked, where = np.unique(t.mark, return_inverse=True)  # in order, which makes the search a walk
+            at = np.minimum(np.searchsorted(mark, asked), len(mark) - 1)
+            if (mark[at] != asked).any():
                 raise RuntimeError("a word has no count: the input's blocks changed between two reads")
-            n = j - i
+            at, n = at[where], j - i
             out["n_tokens"][i:j] = w.counts + 1
             out["n_known"][i:j] = np.bincount(t.doc, weights=count[at] > 0, minlength=n)
             out["base_score"][i:j] = np.bincount(t.doc, weights=base[at], minlength=n)
@@ -593,11 +615,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     blocks = rows.select("doc_id", held_out.alias("held_out"), "text", block.alias("block"))
     found = written(blocks.select((~F.col("held_out")).alias("train"), "text", "block").mapInArrow(_vocabulary, "block long, mark long, n long, chunk int, cells binary"))
     words = found.filter(F.col("mark").isNotNull()).select("block", "mark", "n").repartition("mark")
-    sums = words.groupBy("mark").agg(F.sum("n").alias("c"))
-    counted = written(words.join(sums, "mark").select("block", "mark", "c"))
+    sums = words.groupBy("mark").agg(F.sum("n").alias("c"), F.min("block").alias("lead"))
+    counted = written(words.join(sums, "mark").select("block", "mark", "c", (F.col("block") == F.col("lead")).alias("lead")))
     release(spark)
     code = F.shiftrightunsigned("mark", 64 - CLASS_BITS)
-    per_class = found.filter(F.col("mark").isNotNull()).groupBy("mark").agg(F.sum("n").alias("c")).filter("c > 0").groupBy(code.alias("code")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("kinds")).collect()
+    per_class = counted.filter("lead and c > 0").groupBy(code.alias("code")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("kinds")).collect()
     of_class, fresh = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
     for r in per_class:
         of_class[r["code"]], fresh[r["code"]] = r["c"], r["once"]
@@ -608,4 +630,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         tables.spelling.cells[c * CHUNK : c * CHUNK + len(part)] = part
     shared, model = _model(rows.filter(~held_out).select("text"), tables)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_scorer(shared, model, total, kinds), schema)
+    return blocks.groupBy("block").cogroup(counted.select("block", "mark", "c").groupBy("block")).applyInArrow(_scorer(shared, model, total, kinds), schema)
