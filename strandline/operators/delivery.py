@@ -13,7 +13,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,3 +251,31 @@ def write_delivery(parts: dict[str, DataFrame], path: str) -> None:
         parts[name].select("recording", "line_no", F.col("line").alias("value")).repartition("recording").sortWithinPartitions("recording", "line_no").select("recording", "value").write.mode("errorifexists").partitionBy("recording").text(f"{path}/{name}")
     for name in ("audit", "audit_locations", "stats", "index", "summary"):
         parts[name].write.mode("errorifexists").json(f"{path}/{name}")
+
+
+def copied_files(spark: SparkSession, source: str, target: str, leave: tuple[str, ...] = ("captions.jsonl", "captions.txt", "index.json")) -> DataFrame:
+    """Copies all files below a folder but those of the given names, each by the task that holds its path: (rel, length) of what was copied."""
+    from strandline.session import ship
+
+    ship(spark)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "length")
+    root = source.rstrip("/") + "/"
+    rel = F.substring_index("path", root, -1)
+    rows = found.select("path", "length", rel.alias("rel")).filter(~F.regexp_extract("path", "([^/]*)$", 1).isin(*leave))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def place(path: str) -> tuple[fs.FileSystem, str]:
+            return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+        for batch in batches:
+            for path, name in zip(batch.column("path").to_pylist(), batch.column("rel").to_pylist(), strict=True):
+                (system, at), (other, to) = place(path), place(f"{target.rstrip('/')}/{name}")
+                other.create_dir(to.rsplit("/", 1)[0])
+                with system.open_input_stream(at) as read, other.open_output_stream(to) as write:
+                    while part := read.read(1 << 20):
+                        write.write(part)
+            yield pa.RecordBatch.from_arrays([batch.column("rel"), batch.column("length")], ["rel", "length"])
+
+    return rows.mapInArrow(copy, "rel string, length long")

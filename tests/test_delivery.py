@@ -96,6 +96,17 @@ def test_a_delivery_is_written_once(delivered, tmp_path):
         delivery.write_delivery(delivered, str(tmp_path / "out"))
 
 
+def test_other_files_are_copied(spark, tmp_path):
+    for name in ("r1/captions.jsonl", "r1/note.md", "index.json", "r2/deep/a.bin"):
+        path = tmp_path / "src" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(name.encode() * 3)
+    got = delivery.copied_files(spark, str(tmp_path / "src"), str(tmp_path / "dst")).collect()
+    assert {r.rel: r.length for r in got} == {"r1/note.md": 30, "r2/deep/a.bin": 39}
+    found = {str(f.relative_to(tmp_path / "dst")): f.read_bytes() for f in (tmp_path / "dst").rglob("*") if f.is_file()}
+    assert found == {x: x.encode() * 3 for x in ("r1/note.md", "r2/deep/a.bin")}
+
+
 def _plain_masked(text, rules):
     hits = {}
     for category, pattern, new in rules:
