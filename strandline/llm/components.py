@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.cluster import settled, spread_join
+from strandline.llm.cluster import release, settled, spread_join
 
 MOST_ROUNDS = 60
 
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     for _ in range(MOST_ROUNDS):
         edges = settled(_star(_star(edges, True), False))
+        release(edges.sparkSession)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(now) == mark:
             labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -521,10 +521,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = written(links)
     joined = components(links)
 
-    named = of_set.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     rows = sets.filter("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("rows"))
-    component = written(named.join(least, "label").join(rows, "sid").select("sid", "component_id", "rows"))
+    named = settled(of_set.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label")).join(rows, "sid"))
+    least = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    component = written(spread_join(named, least, ["label"], "members").select("sid", "component_id", "rows"))
     linked = spread_join(sets.filter("n > 0"), component, ["sid"], "rows")
     blank = sets.filter("n = 0").select(*own, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     if not with_links:
