@@ -60,7 +60,7 @@ BLOCK_ROWS_BITS = 13
 #: Blocks are small, so that the cells of all their contexts stay in a core's cache while their bits are told.
 BLOCK_BYTES = 1 << 16
 CHUNK = 1 << 16
-INPUTS = 5
+INPUTS = 4
 SIZES, MATCHES = 8, 4
 GATES = SIZES * MATCHES * 3
 SSE_GATES, SSE_STEPS = MATCHES * CLASS_BITS, 33
@@ -167,7 +167,8 @@ def _logit(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.minimum(np.maximum(x, -30), 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def _size_class(n: np.ndarray) -> np.ndarray:
@@ -268,9 +269,15 @@ class Tables:
     spelling: Spelling
 
     @cached_property
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The tree's and the contexts' cells for reading; not to be asked for before they are final."""
-        return _pairs(self.tree), _pairs(self.cells)
+    def pairs(self) -> np.ndarray:
+        """The contexts' cells for reading; not to be asked for before they are final."""
+        return _pairs(self.cells)
+
+    @cached_property
+    def tree_logits(self) -> np.ndarray:
+        """Logits at the nodes of the classes' tree: as they are, and less an own zero, and less an own one."""
+        n, ones = _split(self.tree)
+        return np.concatenate([_logit(np.maximum(ones - b, 0), np.maximum(n - a, np.maximum(ones - b, 0))) for a, b in ((0, 0), (1, 0), (1, 1))])
 
     def __getstate__(self) -> dict:
         pack = lambda x: zlib.compress(x.tobytes(), 1)
@@ -297,7 +304,7 @@ class MixingModel:
     """Gated mixing weights, the refining table, and the odds of matches."""
 
     def __init__(self):
-        self.weights = np.repeat(np.array([[0.0], [0.3], [0.4], [0.3], [1.5]], dtype=np.float32), GATES, axis=1)
+        self.weights = np.repeat(np.array([[0.3], [0.4], [0.3], [1.5]], dtype=np.float32), GATES, axis=1)
         self.refine = np.tile(_sigmoid(np.linspace(-8, 8, SSE_STEPS)), (SSE_GATES, 1)).astype(np.float32)
         self.match = np.full(MATCHES * 4, 0.9)
 
@@ -316,12 +323,12 @@ class MixingModel:
         kind = np.where(votes > 0, 1 + run.sum(axis=0), 0)
         strength = np.log1p(2 * np.maximum(votes, 0)).astype(np.float32)
         guess = (word >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
-        mine, (tree, contexts) = own.astype(np.float32), tables.pairs
+        mine, contexts, nothing = own.astype(np.float32), tables.pairs, tables.tree_logits
         for (place, bit, node), cells in zip(bits_of(code), cells_of(t, code, tables.bits), strict=True):
             itself = (mine + 1j * (mine * bit)).astype(np.complex64)
-            inputs, n = [], None
-            for table, at in ((tree, node), *((contexts, c) for c in cells)):
-                found = table.take(at)
+            inputs, n = [nothing.take(node + own * (1 + bit) * CLASSES)], None
+            for c in cells:
+                found = contexts.take(c)
                 found -= itself
                 n = found.real
                 inputs.append(_logit(found.imag, n))
@@ -330,17 +337,14 @@ class MixingModel:
             inputs.append(np.where(agrees, side * strength, np.float32(0)).astype(np.float32))
             state = np.where(agrees, kind, 0)
             gate = (_size_class(n) * MATCHES + state) * 3 + place // 4
-            z = self.weights[0].take(gate)
-            for o, x in enumerate(inputs):
-                z = z + x * self.weights[o + 1].take(gate)
+            z = sum(x * self.weights[o].take(gate) for o, x in enumerate(inputs))
             yield bit, inputs, gate, state * CLASS_BITS + place, z
         self._odds, self._hit = np.where((kind > 0) & (guess == code), kind * 4 + np.minimum(votes, 3), 0), word == own_word
 
     @staticmethod
-    def _step(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.minimum(np.maximum((z + 8) * np.float32((SSE_STEPS - 1) / 16), 0), np.float32(SSE_STEPS - 1.001))
-        low = place.astype(np.int64)
-        return low, place - low.astype(np.float32)
+    def _place(z: np.ndarray) -> np.ndarray:
+        """Where a logit lies among a refining gate's steps."""
+        return np.minimum(np.maximum((z + np.float32(8)) * np.float32((SSE_STEPS - 1) / 16), np.float32(0)), np.float32(SSE_STEPS - 1.001))
 
     def learn(self, tables: Tables, t: Tokens, sums: dict[str, np.ndarray]) -> None:
         """Online steps over the tokens; adds to the sums of bits and ones per refining cell, bits per gate, and match decisions."""
@@ -349,10 +353,9 @@ class MixingModel:
             error = bit - _sigmoid(z)
             share = np.bincount(gate, minlength=GATES)
             rate = RATE * np.minimum(1.0, share / 500) / np.maximum(share, 1)
-            self.weights[0] += rate * np.bincount(gate, weights=error, minlength=GATES)
             for o, x in enumerate(inputs):
-                self.weights[o + 1] += rate * np.bincount(gate, weights=error * x, minlength=GATES)
-            cell = refining * SSE_STEPS + self._step(z)[0]
+                self.weights[o] += rate * np.bincount(gate, weights=error * x, minlength=GATES)
+            cell = refining * SSE_STEPS + self._place(z).astype(np.int64)
             sums["bits"] += share
             both = np.bincount(cell, weights=1 + bit * _ONE, minlength=SSE_GATES * SSE_STEPS)  # two counts in a float, which is exact
             sums["seen"] += both % _ONE
@@ -378,8 +381,9 @@ class MixingModel:
         total, chance = np.zeros(len(t.mark)), np.ones(len(t.mark))
         flat = self.refine.ravel()
         for bit, _, _, refining, z in self._seen(tables, t, own):
-            low, part = self._step(z)
-            cell = refining * SSE_STEPS + low
+            place = self._place(z)
+            low = place.astype(np.int64)
+            part, cell = place - low.astype(np.float32), refining * SSE_STEPS + low
             refined = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
             p = np.minimum(np.maximum(0.25 * _sigmoid(z) + 0.75 * refined, 1e-6), 1 - 1e-6)
             chance *= np.where(bit == 1, p, 1 - p)
