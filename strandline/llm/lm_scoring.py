@@ -150,11 +150,18 @@ def cells_of(tokens: Tokens, code: np.ndarray, bits: tuple[int, int, int]) -> It
             yield [s | node for s in slots]
 
 
-def _pairs(cells: np.ndarray) -> np.ndarray:
-    """Cells as (bits seen, ones) in the two parts of one number, so that one access gets both as floats."""
-    out = np.empty(len(cells), dtype=np.complex64)
-    out.real, out.imag = cells & _LOW, cells >> 32
-    return out
+def _codes(cells: np.ndarray) -> np.ndarray:
+    """Cells as (bits seen, ones) in two bytes, larger counts in proportion: an eighth of the size, which is what random access costs.
+
+    A count of ones or zeros that isn't 0 stays at least 1, so an own occurrence can be taken out of any code.
+    """
+    n, ones = (cells & _LOW).astype(np.float64), (cells >> 32).astype(np.float64)
+    share = np.minimum(1.0, 255 / np.maximum(n, 1))
+    seen = np.rint(n * share)
+    few = np.rint(ones * share)
+    few = np.where(ones > 0, np.maximum(few, 1), 0)
+    few = np.where(ones < n, np.minimum(few, seen - 1), seen)
+    return (seen + 256 * few).astype(np.uint16)
 
 
 def _split(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +183,12 @@ def _size_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(((np.maximum(n, np.float32(0)) + np.float32(1)).view(np.int32) >> 23) - 127, SIZES - 1).astype(np.int64)
 
 
+_SEEN, _ONES = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+#: By code: the logit, and the size class of the bits seen.
+_LOGITS = _logit(np.minimum(_ONES, _SEEN).astype(np.float32), _SEEN.astype(np.float32))
+_SIZE_OF = _size_class(_SEEN.astype(np.float32))
+
+
 class Matches:
     """The word that prevails behind three words, and by how many occurrences: a majority vote per slot."""
 
@@ -269,9 +282,9 @@ class Tables:
     spelling: Spelling
 
     @cached_property
-    def pairs(self) -> np.ndarray:
+    def codes(self) -> np.ndarray:
         """The contexts' cells for reading; not to be asked for before they are final."""
-        return _pairs(self.cells)
+        return _codes(self.cells)
 
     @cached_property
     def tree_logits(self) -> np.ndarray:
@@ -281,12 +294,12 @@ class Tables:
 
     def __getstate__(self) -> dict:
         pack = lambda x: zlib.compress(x.tobytes(), 1)
-        return {"small": (self.bits, self.tree, self.of_class, self.fresh, self.spelling), "cells": pack(self.cells), "word": pack(self.matches.word), "votes": pack(self.matches.votes)}
+        return {"small": (self.bits, self.tree, self.of_class, self.fresh, self.spelling), "codes": pack(self.codes), "word": pack(self.matches.word), "votes": pack(self.matches.votes)}
 
     def __setstate__(self, state: dict) -> None:
         self.bits, self.tree, self.of_class, self.fresh, self.spelling = state["small"]
         unpack = lambda k, kind: np.frombuffer(zlib.decompress(state[k]), dtype=kind)
-        self.cells, self.matches = unpack("cells", np.int64), Matches(0)
+        self.cells, self.codes, self.matches = np.zeros(0, dtype=np.int64), unpack("codes", np.uint16), Matches(0)
         self.matches.word, self.matches.votes = unpack("word", np.uint32), unpack("votes", np.uint8)
 
     @staticmethod
@@ -323,20 +336,18 @@ class MixingModel:
         kind = np.where(votes > 0, 1 + run.sum(axis=0), 0)
         strength = np.log1p(2 * np.maximum(votes, 0)).astype(np.float32)
         guess = (word >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
-        mine, contexts, nothing = own.astype(np.float32), tables.pairs, tables.tree_logits
+        codes, nothing = tables.codes, tables.tree_logits
         for (place, bit, node), cells in zip(bits_of(code), cells_of(t, code, tables.bits), strict=True):
-            itself = (mine + 1j * (mine * bit)).astype(np.complex64)
-            inputs, n = [nothing.take(node + own * (1 + bit) * CLASSES)], None
+            itself = own * (1 + bit * 256)
+            inputs, code_of = [nothing.take(node + own * (1 + bit) * CLASSES)], None
             for c in cells:
-                found = contexts.take(c)
-                found -= itself
-                n = found.real
-                inputs.append(_logit(found.imag, n))
+                code_of = codes.take(c) - itself
+                inputs.append(_LOGITS.take(code_of))
             agrees = (kind > 0) & ((guess >> (CLASS_BITS - place)) == (code >> (CLASS_BITS - place)))
             side = ((guess >> (CLASS_BITS - 1 - place)) & 1) * 2 - 1
             inputs.append(np.where(agrees, side * strength, np.float32(0)).astype(np.float32))
             state = np.where(agrees, kind, 0)
-            gate = (_size_class(n) * MATCHES + state) * 3 + place // 4
+            gate = (_SIZE_OF.take(code_of) * MATCHES + state) * 3 + place // 4
             z = sum(x * self.weights[o].take(gate) for o, x in enumerate(inputs))
             yield bit, inputs, gate, state * CLASS_BITS + place, z
         self._odds, self._hit = np.where((kind > 0) & (guess == code), kind * 4 + np.minimum(votes, 3), 0), word == own_word
