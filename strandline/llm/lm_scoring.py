@@ -14,7 +14,7 @@ other training token has is spelt: bits of its bytes, by order two blended with
 Training texts are scored as the others are: every occurrence is taken out of the counts
 that predict it, so a text is cheap only if other texts make it so.
 
-Word counts meet without texts: blocks of documents (``BLOCK_ROWS`` consecutive rows of an
+Word counts meet without texts: blocks of documents (2**``BLOCK_ROWS_BITS`` rows in a row of an
 input split) send their distinct words' hashes, and get the sums back. The model's tables
 grow with the counted words up to a size that can be broadcast (``MOST_CELL_BITS``, ``MOST_SLOT_BITS``);
 tasks, of which training has one per core, send theirs in compressed chunks to be added up.
@@ -50,7 +50,8 @@ CLASS_BITS = 12
 CLASSES = 1 << CLASS_BITS
 #: Words of up to so many bytes are a context of their own.
 SHORT = 3
-#: The table of the previous word has at most 2**22 cells of 8 bytes, and there are at most 2**23 matches of 5 bytes: 78 MB in all, broadcast in compressed form.
+#: The table of the previous word has at most 2**22 cells (8 bytes to count with, 2 to read), and there are at most 2**23 matches
+#: of 5 bytes: tasks count in 78 MB, and at most 51 MB are broadcast.
 MOST_CELL_BITS = 22
 MOST_SLOT_BITS = 23
 #: Up to so many slots there are four a training token, beyond a quarter of one.
