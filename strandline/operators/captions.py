@@ -188,15 +188,26 @@ def coverage(done: DataFrame, total: DataFrame, on: str) -> DataFrame:
 def best_match(wanted: DataFrame, results: DataFrame, order: str) -> DataFrame:
     """For each (scene, hint) the first result (scene, model, content) of its scene and model, else of its scene, else the first of all.
 
-    Scenes match if one name holds the other; a missing hint fits every model. ``wanted`` is the small side: scenes that someone asks for.
+    Scenes match if one name holds the other; a missing hint fits every model. A match without content takes the first of all too.
+
+    Names meet by equi-joins on their substrings, of those lengths alone that the other side's names have: rows grow with the
+    number of names (and with the square of a name's length at most), not with the product of both sides. Results are
+    reduced by scene and model before, and by substring and model before they meet ``wanted``; contents are looked up last.
     """
     asked = wanted.select("scene", "hint").distinct()
-    same = F.contains(F.col("r.scene"), F.col("w.scene")) | F.contains(F.col("w.scene"), F.col("r.scene"))
-    model = (F.coalesce(F.col("w.hint"), F.lit("")) == "") | F.contains(F.lower("r.model"), F.lower("w.hint"))
-    pairs = asked.alias("w").join(results.alias("r"), same, "left").withColumn("fit", F.when(F.col("r.scene").isNull(), 0).when(model, 2).otherwise(1))
-    found = pairs.groupBy(F.col("w.scene").alias("scene"), F.col("w.hint").alias("hint")).agg(F.max("fit").alias("fit"), F.max_by(F.col("r.content"), F.struct("fit", -F.col(f"r.{order}"))).alias("content"))
-    first = results.agg(F.min_by("content", order).alias("any")).withColumn("_", F.lit(1))
-    return found.withColumn("_", F.lit(1)).join(first, "_").select("scene", "hint", F.when(F.col("fit") > 0, F.col("content")).otherwise(F.col("any")).alias("content"))
+    known = results.filter("scene is not null").groupBy(F.col("scene").alias("of"), "model").agg(F.min(order).alias("at"))
+    held = joins.substrings_of(known, asked, "of", "scene").groupBy(F.col("part").alias("scene"), "model").agg(F.min(F.struct("at", "of")).alias("first"))
+    holders = asked.join(held.select("scene", "model", "first.*"), "scene")
+    holding = joins.substrings_of(asked, known, "scene", "of").join(known.withColumnRenamed("of", "part"), "part").withColumnRenamed("part", "of")
+    model = (F.coalesce(F.col("hint"), F.lit("")) == "") | F.contains(F.lower("model"), F.lower("hint"))
+    pick = F.struct(F.when(model, 0).otherwise(1).alias("miss"), "at", "of", "model").alias("pick")
+    pairs = holders.select("scene", "hint", pick).unionByName(holding.select("scene", "hint", pick)).unionByName(asked, allowMissingColumns=True)
+    found = pairs.groupBy("scene", "hint").agg(F.min("pick").alias("pick"))
+    texts = results.groupBy(F.col("scene").alias("of"), "model").agg(F.min(F.struct(F.col(order).alias("at"), "content"))["content"].alias("content"))
+    same = (F.col("pick.of") == F.col("t.of")) & F.col("pick.model").eqNullSafe(F.col("t.model"))
+    first = results.agg(F.min(F.struct(F.col(order).alias("at"), "content"))["content"].alias("any"))
+    met = found.join(texts.alias("t"), same, "left").select("scene", "hint", "content")
+    return met.crossJoin(F.broadcast(first)).select("scene", "hint", F.coalesce("content", "any").alias("content"))
 
 
 def shown_scenes(results: DataFrame, order: str, only: DataFrame | None = None) -> DataFrame:

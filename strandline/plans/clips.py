@@ -202,11 +202,10 @@ p AS (SELECT w.scene, w.hint, r.i, r.content, CASE WHEN r.i IS NULL THEN 0 WHEN
 SELECT scene, hint, md5(coalesce(content, (SELECT content FROM r WHERE i = 1))) AS content FROM (SELECT *, row_number() OVER (PARTITION BY scene, hint ORDER BY fit DESC, i) AS k FROM p) WHERE k = 1"""
 )
 def best_result_match(spark, d):
-    from pyspark.sql import Window
-
     c = table(spark, d, "conversations")
     scene = F.concat(F.lit("scene_"), _text(F.col("conv_id")))
-    r = c.select(F.row_number().over(Window.orderBy("conv_id", "turn")).alias("i"), scene.alias("scene"), F.col("role").alias("model"), F.col("text").alias("content"))
+    place = F.struct(*[x for k in ("conv_id", "turn") for x in (F.col(k).isNull(), F.col(k))])  # nulls last, as in the SQL
+    r = c.select(place.alias("i"), scene.alias("scene"), F.col("role").alias("model"), F.col("text").alias("content"))
     hint = F.when(F.col("conv_id") % 3 == 0, "user").when(F.col("conv_id") % 3 == 1, "none")
     w = c.select(F.concat(scene, F.when(F.col("conv_id") % 2 == 0, "_x").otherwise("")).alias("scene"), hint.alias("hint")).distinct()
     return captions.best_match(w, r, "i").select("scene", "hint", F.md5("content").alias("content"))

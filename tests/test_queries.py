@@ -1,5 +1,8 @@
+import duckdb
+import pyarrow as pa
 import pytest
 
+from strandline.operators import captions
 from strandline.plans import registry
 from tests.oracle import SMALL, assert_same, connection
 
@@ -24,3 +27,24 @@ def test_runs(spark, name):
 def test_scores_need_no_python(spark):
     plan = registry.repeat_scores(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_best_match_of_odd_names(spark):
+    """Names inside others, equal, empty, null, of other letters; missing hints, models and contents; against the nested loop."""
+    names = ["scene_1", "scene_12", "x_scene_1_y", "ene", "n", "", "eeee", "ee", "übung", "bung 😀", "😀", None, "none of them"]
+    asked = [(s, h) for s in names[:12] for h in ("user", "", None, "none")] + [("far away", "user")]
+    results = [(s, m, None if (i * 7 + j) % 5 == 0 else f"{s}/{m}", (i * 3 + j) * 7 % 41) for i, s in enumerate(names) if s != "" for j, m in enumerate(("user", "assistant", None))]
+    con = duckdb.connect()
+    for some in (results, results[:3], [(None, "user", "only", 1)], [("", "user", "all", 50), *results]):
+        r = spark.createDataFrame(some, "scene string, model string, content string, i int")
+        w = spark.createDataFrame(asked + asked[:3], "scene string, hint string")
+        con.register("r", pa.table(dict(zip(r.columns, map(list, zip(*some))))))
+        con.register("w", pa.table(dict(zip(w.columns, map(list, zip(*asked))))))
+        sql = """WITH p AS (SELECT w.scene, w.hint, i, content, CASE WHEN i IS NULL THEN 0 WHEN coalesce(hint, '') = '' OR contains(model, hint) THEN 2 ELSE 1 END AS fit FROM w LEFT JOIN r ON contains(r.scene, w.scene) OR contains(w.scene, r.scene))
+        SELECT scene, hint, coalesce(content, (SELECT arg_min_null(content, i) FROM r)) AS content FROM (SELECT *, row_number() OVER (PARTITION BY scene, hint ORDER BY fit DESC, i) AS k FROM p) WHERE k = 1"""
+        assert_same(captions.best_match(w, r, "i"), con, sql)
+
+
+def test_best_match_compares_no_pairs(spark):
+    plan = QUERIES["best_result_match"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "Contains" in x] and "Window" not in plan
