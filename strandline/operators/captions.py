@@ -144,7 +144,7 @@ def model_comparison(clips: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def cost_by_wave(totals: DataFrame, moved: Sequence[str], first_of_second: str, year: int, prefix: int = 28) -> DataFrame:
-    """Cost, clips and ok clips of both waves: recordings named in ``moved`` (whole or by a prefix) are of wave B, others by day."""
+    """Cost, clips and ok clips of both waves: recordings named in ``moved`` (whole, or either cut at ``prefix``) are of wave B, others by day."""
     wave = joins.in_either_prefix(F.col("recording"), moved, prefix)
     day = recording_day(F.col("recording"), year)
     rows = totals.withColumn("wave", F.when(wave, "B").when(day < first_of_second, "A").otherwise("B"))

@@ -163,7 +163,8 @@ SELECT CASE WHEN user_id IN (3, 7) OR user_id % 6 + 1 >= 5 THEN 'B' ELSE 'A' END
 )
 def cost_by_wave(spark, d):
     u = F.col("user_id")
-    name = F.concat(_text(u % 6 + 1), F.lit("-"), _text(u % 28 + 1), F.lit("_hkt0900-1000_60m_"), _text(u))
+    place = lambda n: _text(F.greatest(u % n + 1, F.lit(0)))  # noqa: E731  # users below 0 or unknown are of no late month, as in the SQL
+    name = F.concat(place(6), F.lit("-"), place(28), F.lit("_hkt0900-1000_60m_"), F.coalesce(_text(u), F.lit("")))
     totals = events(spark, d).groupBy("user_id").agg(F.sum("value").alias("usd"), F.count(F.lit(1)).alias("clips"), F.count_if(F.col("value") >= 1).alias("ok")).withColumn("recording", name)
     moved = ["4-4_hkt0900-1000_60m_3", "2-8_hkt0900-1000_60m_7"]
     return captions.cost_by_wave(totals, moved, "2026-05-01", 2026, 40).withColumn("usd", F.round("usd", 4))
