@@ -37,6 +37,8 @@ from strandline.llm.textbuf import blocks, text_buffers
 LEAF = 32
 FAN = 16
 BLOCK_BYTES = 1 << 18
+#: Bytes of texts that are searched at once for what to scrub.
+SCRUB_BYTES = 1 << 22
 #: Bytes behind a piece on which its end may depend: a contraction, a code point, or a special token of the vocabulary.
 LOOKAHEAD = 16
 #: Edits of the query: e-mail addresses, addresses of four numbers and long numbers make way for placeholders.
@@ -257,33 +259,45 @@ def _edited(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
         for batch in batches:
-            out: list[tuple] = []
-            for text, tree, edits in zip(batch.column("text").to_pylist(), batch.column("tree").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                grown = TokenTree((text or "").encode(), *_unpacked(tree), bpe)
-                for e in sorted(edits, key=lambda e: e["begin"], reverse=True):
-                    grown.edit(e["begin"], e["end"], bytes(e["new"]))
-                out.append((grown.text.decode("utf-8", "replace"), _packed(grown.sizes(), grown.counts()), len(edits), grown.total, grown.reencoded))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_hash"), *columns], ["key", "text_hash", "text", "tree", "n_edits", "n_tokens_edited", "n_reencoded"])
+            for i, j in blocks(text_buffers(batch.column("text"))[1], BLOCK_BYTES):
+                part, out = batch.slice(i, j - i), []
+                for text, tree, edits in zip(part.column("text"), part.column("tree"), part.column("edits"), strict=True):
+                    grown = TokenTree((text.as_py() or "").encode(), *_unpacked(tree.as_py()), bpe)
+                    begin, end, new = (edits.values.field(k) for k in ("begin", "end", "new"))
+                    for e in np.argsort(-begin.to_numpy(), kind="stable").tolist():
+                        grown.edit(begin[e].as_py(), end[e].as_py(), new[e].as_py())
+                    out.append((grown.text.decode("utf-8", "replace"), _packed(grown.sizes(), grown.counts()), len(begin), grown.total, grown.reencoded))
+                columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("text_hash"), *columns], ["key", "text_hash", "text", "tree", "n_edits", "n_tokens_edited", "n_reencoded"])
 
     return run
 
 
+def _edit_lists(spans: list[np.ndarray]) -> pa.ListArray:
+    """The edits that put the placeholder in the place of each row's spans."""
+    begin, end = np.concatenate(spans).T
+    new = pa.repeat(pa.scalar(PLACEHOLDER, pa.binary()), len(begin))
+    edits = pa.StructArray.from_arrays([pa.array(begin), pa.array(end), new], ["begin", "end", "new"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]), pa.int32()), edits)
+
+
 def _scrubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has something to scrub, with the edits."""
-    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("new", pa.binary())]))
+    """Rows whose text has something to scrub, with the edits; a block of rows at a time, as a batch may hold much text."""
     for batch in batches:
         buf, off = text_buffers(batch.column("text"))
-        hits = np.concatenate([[0], np.cumsum(_MAY_MATCH[buf])])
-        rows, edits = [], []
-        for d in np.flatnonzero(np.diff(hits[off])).tolist():
-            found = [{"begin": m.start(), "end": m.end(), "new": PLACEHOLDER} for m in SCRUB.finditer(buf[off[d] : off[d + 1]].tobytes())]
-            if found:
-                rows.append(d)
-                edits.append(found)
-        if rows:
-            some = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([some.column("key"), some.column("text_hash"), some.column("text"), pa.array(edits, kind)], ["key", "text_hash", "text", "edits"])
+        for i, j in blocks(off, SCRUB_BYTES):
+            part, at = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+            full = np.flatnonzero(np.diff(at))  # a run of bytes from one of these to the next is one text
+            may = full[np.logical_or.reduceat(_MAY_MATCH[part], at[full])] if len(full) else full
+            rows, spans = [], []
+            for d in may.tolist():
+                found = np.fromiter((x for m in SCRUB.finditer(part[at[d] : at[d + 1]].tobytes()) for x in m.span()), dtype=np.int64)
+                if len(found):
+                    rows.append(i + d)
+                    spans.append(found.reshape(-1, 2))
+            if rows:
+                some = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([some.column("key"), some.column("text_hash"), some.column("text"), _edit_lists(spans)], ["key", "text_hash", "text", "edits"])
 
 
 _EDITS = "key long, text_hash long, text string, edits array<struct<begin:long,end:long,new:binary>>"

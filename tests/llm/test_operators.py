@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -26,7 +27,7 @@ from strandline.llm.quality_classifier import quality_classifier
 from strandline.llm.quality_rules import quality_rules
 from strandline.llm.substring_dedup import substring_dedup
 from strandline.llm.textbuf import split_words, text_buffers
-from strandline.llm.token_counts import SCRUB, TokenTree, edited_trees, token_counts, token_trees
+from strandline.llm.token_counts import SCRUB, TokenTree, _scrubs, edited_trees, token_counts, token_trees
 from tests.oracle import SMALL, assert_same, connection
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -465,6 +466,32 @@ def test_token_counts(spark, odd, none):
     assert sorted(((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_scrubs_take_little_memory():
+    """A batch is searched a block at a time, and its edits are kept as numbers (it took 17 and 40 times the text)."""
+    plain = ["Call 5 of 17 at 10.20.30.40, " + "then some more words, and the year 1999. " * 100] * 4000
+    dense = ["1234567 " * 250_000]
+    for texts, most in ((plain, 1.5), (dense, 16)):
+        text = pa.array(texts)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [text], ["key", "text_hash", "text"])
+        tracemalloc.start()
+        held = tracemalloc.get_traced_memory()[0]
+        n = sum(len(e) for b in _scrubs(iter([batch])) for e in b.column("edits"))
+        peak = tracemalloc.get_traced_memory()[1] - held
+        tracemalloc.stop()
+        assert n == sum(len(SCRUB.findall(t.encode())) for t in texts) and peak < most * text.nbytes
+
+
+def test_scrubs_of_several_blocks():
+    texts = [None, "", "x 1234567", *["words " * 40_000, "", "a@b.org 1.2.3.4"] * 30, "9" * (5 << 20), None, "12345678", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 100 + len(texts)))] * 2 + [pa.array(texts)], ["key", "text_hash", "text"])
+    got = [r for part in (batch, batch.slice(3, 8), batch.slice(0, 0)) for b in _scrubs(iter([part])) for r in b.to_pylist()]
+    want = []
+    for k in [*range(len(texts)), *range(3, 11)]:
+        edits = [{"begin": m.start(), "end": m.end(), "new": b"[removed]"} for m in SCRUB.finditer((texts[k] or "").encode())]
+        want += [{"key": 100 + k, "text_hash": 100 + k, "text": texts[k], "edits": edits}] if edits else []
+    assert got == want
+
+
 def test_kept_trees_take_edits(spark):
     rows = [(k, " ".join(f"w{k + i}" for i in range(3000))) for k in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
